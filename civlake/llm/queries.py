@@ -1,8 +1,11 @@
 """The queries of the training-data operators, and their SQL where SQL can say the same."""
 
-from civlake.llm import exact_dedup
+from civlake.llm import exact_dedup, mixing, sentence_pieces, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_source_mix": mixing.op3_source_mix,
+    "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
