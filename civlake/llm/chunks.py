@@ -22,6 +22,18 @@ def chunks(text: str) -> list[str]:
     return _BEFORE_WORD.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
 
 
+def stretches(text: str, limit: int = 100_000) -> list[str]:
+    """The text in stretches of about `limit` characters that are encoded apart; one longer only where no space before a word is."""
+    out, start = [], 0
+    while len(text) - start > limit:
+        cut = _BEFORE_WORD.search(text, start + limit)
+        if not cut:
+            break
+        out.append(text[start : cut.start()])
+        start = cut.start()
+    return [*out, text[start:]]
+
+
 class Known:
     """What is known of chunks seen so far; held to a bounded number of them."""
 

@@ -1,11 +1,13 @@
 """The queries of the training-data operators, and their SQL where SQL can say the same."""
 
-from civlake.llm import exact_dedup, mixing, sentence_pieces, token_counts
+from civlake.llm import exact_dedup, language_id, mixing, packing, sentence_pieces, token_counts
 
 QUERIES = {
+    "op1_packed_ids": packing.op1_packed_ids,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_source_mix": mixing.op3_source_mix,
     "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
+    "op6_language_id": language_id.op6_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
