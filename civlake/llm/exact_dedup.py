@@ -152,7 +152,7 @@ def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     found = stash(hits.join(snapshot.groups, "text_sha256"), "found")
     # the bytes of both representatives of each digest that is on both sides
     wanted = found.select("text_sha256", F.explode(F.array("new_id", "keep_id")).alias("doc_id")).filter("doc_id is not null").distinct()
-    texts = own.select("doc_id", normalised(text_or_empty()).alias("t")).join(wanted, "doc_id").filter(F.sha2(F.encode("t", "UTF-8"), 256) == F.col("text_sha256"))
+    texts = own.select("doc_id", normalised(text_or_empty()).alias("t")).join(wanted.hint("merge"), "doc_id").filter(F.sha2(F.encode("t", "UTF-8"), 256) == F.col("text_sha256"))
     equal = texts.groupBy("text_sha256").agg((F.min("t") == F.max("t")).alias("same_bytes"))
     both = found.join(equal, "text_sha256", "left").filter(F.coalesce("same_bytes", F.lit(True)))
     merged = both.select("text_sha256", F.least("keep_id", "new_id").alias("keep_id"), (F.col("group_size") + F.col("new_size")).alias("group_size"))
