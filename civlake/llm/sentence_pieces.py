@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from civlake.llm.common import documents, slices
 from civlake.llm.token_counts import tokenizer_path
@@ -200,7 +201,7 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str =
     Null and empty texts have no ids. All other columns are kept as they are.
     """
     rows = docs.drop(into).withColumn("__text", F.col(text_col).cast("string"))
-    schema = docs.drop(into).schema.add(into, "array<int>")
+    schema = docs.drop(into).schema.add(into, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         m = piece_model(model)
