@@ -42,13 +42,13 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each piece holds about `limit` bytes of the column's text."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each piece holds about `limit` bytes of the column's text and at most so many rows."""
     _, offsets = utf8(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
-        end = min(max(end, start + 1), batch.num_rows)
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
 
