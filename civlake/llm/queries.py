@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can say the same."""
 
-from civlake.llm import exact_dedup, language_id, lsh_forest, mixing, packing, quality, sentence_pieces, token_counts
+from civlake.llm import exact_dedup, language_id, lsh_forest, mixing, packing, quality, sentence_pieces, spot_signatures, token_counts
 
 QUERIES = {
     "op1_packed_ids": packing.op1_packed_ids,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
     "op6_language_id": language_id.op6_language_id,
     "op7_quality": quality.op7_quality,
+    "op8_spot_fingerprints": spot_signatures.op8_spot_fingerprints,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_near_dedup": lsh_forest.op10_near_dedup,
 }

@@ -14,37 +14,52 @@ from pyspark.sql import functions as F
 
 from civlake.llm.common import documents, stash, text_or_empty
 
-#: Common words of the languages at hand; a parameter of every function here.
-ANCHORS = tuple(
+#: Words that open a spot, and the common words that its chain passes over; both are parameters of signature().
+ANCHORS = tuple("the is was to der ist und die le la est el es los".split())
+COMMON = tuple(
     "the of and to in a is that it for was with on be as by this at are from an he or not but his her have had they which you we "
     "der die das und zu den von sich mit des für auf ist im nicht ein eine dem als auch es er sie war aus bei nach "
     "le la les de et en que du un une qui est pour au par dans sur pas avec il elle ce ne se plus son "
     "el los del y las con no para su lo al como más o pero sus una por".split()
 )
+#: ASCII other than letters and digits parts words; all other characters belong to them.
+_APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CHAIN = 2
-#: Ranges of ids that are dealt out together hold about so many rows; there are at most MAX_RANGES of them, which bounds what is broadcast.
-RANGE_ROWS, QUANTILES, MAX_RANGES = 128, 64, 20_000
+#: Ids that one window orders, about.
+IDS_A_RANGE = 1024
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased letters and digits, single spaces around every word."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Lower-cased words, single spaces around every one."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _APART, " "), F.lit(" "))
 
 
-def spot_pattern(anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> str:
-    common = "(?:" + "|".join(sorted(set(anchors), key=lambda w: (-len(w), w))) + ")"
-    return rf"(?= ({common}(?:(?: {common}(?= )){{0,3}} (?!{common} )[^ ]+){{{chain}}}) )"
+def any_of(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words that tells them apart letter by letter, which a long alternation would not."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted({w for w in words if w}):
+        heads.setdefault(w[0], []).append(w[1:])
+    body = "|".join(h + any_of(tuple(rest)) for h, rest in heads.items())
+    return f"(?:{body})" + ("?" if "" in words else "") if body else ""
 
 
-def signature(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The sorted distinct 64-bit hashes of a text's spots.
+def spot_pattern(anchors: tuple[str, ...] = ANCHORS, common: tuple[str, ...] = COMMON, chain: int = CHAIN) -> str:
+    passed = any_of(common)
+    return rf"(?= ({any_of(anchors)}(?:(?: {passed}(?= )){{0,3}} (?!{passed} )[^ ]+){{{chain}}}) )"
+
+
+def signature(text: Column, anchors: tuple[str, ...] = ANCHORS, common: tuple[str, ...] = COMMON, chain: int = CHAIN) -> Column:
+    """The sorted distinct hashes of a text's spots.
 
     A text with words but without a spot has the hashes of its words instead; one without words has none. Null counts as empty.
     """
     words = words_of(F.coalesce(text, F.lit("")))
-    spots = F.regexp_extract_all(words, F.lit(spot_pattern(anchors, chain)), F.lit(1))
-    plain = F.filter(F.split(words, " "), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(F.when(F.size(spots) > 0, spots).otherwise(plain), lambda s: F.xxhash64(s))))
+    # a lambda's variable holds what is worked out once and used twice
+    spots = F.transform(
+        F.array(words),
+        lambda w: F.transform(F.array(F.regexp_extract_all(w, F.lit(spot_pattern(anchors, common, chain)), F.lit(1))), lambda s: F.when(F.size(s) > 0, s).otherwise(F.filter(F.split(w, " "), lambda x: x != "")))[0],
+    )[0]
+    return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.hash(s))))
 
 
 def fingerprint(sig: Column) -> Column:
@@ -87,22 +102,55 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), signature(F.col(text_col)).alias("sig"))
 
 
-def _ranges(docs: DataFrame) -> tuple[Column, DataFrame]:
-    """A number for each row's range of ids, rising with the id, and a small table of the ranges: bucket, below (the next lower range that has rows).
+def _predecessors(ids: DataFrame, most: int = IDS_A_RANGE, levels: int = 3) -> DataFrame:
+    """(id, before): the next smaller of some distinct ids, null for the smallest.
 
-    Quantiles of the ids bound up to QUANTILES stretches, and each is cut evenly; ranges number at most MAX_RANGES.
+    Inside a range of ids a window finds it; the smallest id of a range follows the largest of the range
+    below, which the same step finds over one row a range. The last of `levels` steps sees one row for some most ** 2 ids.
+    """
+    n, low, high = ids.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
+    if levels == 1 or not n or n <= most:
+        return ids.select("id", F.lag("id").over(Window.orderBy("id")).alias("before"))
+    width = max(1, -(-(high - low + 1) // -(-n // most)))
+    ranged = ids.withColumn("range", (F.col("id") - F.pmod("id", F.lit(width))).cast("long"))
+    inside = ranged.withColumn("before", F.lag("id").over(Window.partitionBy("range").orderBy("id")))
+    tops = stash(ranged.groupBy("range").agg(F.min("id").alias("first"), F.max("id").alias("id")), "ranges")
+    across = _predecessors(tops.select("id"), most, levels - 1).join(tops, "id").select(F.col("first").alias("id"), F.col("before").alias("below"))
+    return inside.join(across, "id", "left").select("id", F.coalesce("before", "below").alias("before"))
+
+
+def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row of docs.
+
+    The edited text has the last third of a text's code points replaced by the first as many of the text of
+    the next document in descending id order; the last document's next is the first. Null texts count as empty. Rows that
+    repeat an id share one next document, and where the next id repeats, its smallest text is taken. A row with a
+    null id has no next: its edited text lacks the last third, and near_next is null. A single document
+    is its own next. An empty table gives an empty result; other columns are not carried. Ids are whole numbers.
     """
-    stats = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 10_000).alias("q")).first()
-    bounds = sorted(set(stats["q"] or [0]))
-    parts = max(1, min(MAX_RANGES // (QUANTILES + 1), -(-stats["n"] // (RANGE_ROWS * QUANTILES))))
-    d = F.col("doc_id")
-    bucket = F.lit(0)
-    for k, low in enumerate(bounds):
-        high = bounds[k + 1] if k + 1 < len(bounds) else low + 1
-        part = F.floor((d.cast("double") - low) / max(high - low, 1) * parts)
-        bucket = F.when(d >= low, k * parts + F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))).otherwise(bucket) if k == 0 else F.when(d >= low, k * parts + F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))).otherwise(bucket)
-    return bucket.cast("long"), None
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = stash(own.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("taken"), F.count(F.lit(1)).alias("rows")), "ids")
+    before = stash(_predecessors(rows.select("id")), "before")
+    top, repeats = rows.agg(F.max("id"), F.max("rows") > 1).first()
+    order = before.select("id", F.coalesce("before", F.lit(top)).cast("long").alias("next_id")).join(rows, "id")
+    asked = order.select(F.col("next_id").alias("doc_id"), F.col("id").alias("for_id"), "taken")
+    # each document's set, and as much of its beginning as the one before it takes; own is shuffled once for both joins
+    given = own.join(asked.hint("merge"), "doc_id").select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("taken")).alias("head"), signature(F.col("text")).alias("next_sig"), "text")
+    given = given.groupBy("doc_id").agg(F.min_by(F.struct("head", "next_sig"), "text").alias("g")).select("doc_id", "g.*") if repeats else given.drop("text")
+    signed = own.join(given.hint("merge"), "doc_id", "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int")).withColumn("sig", signature(F.col("text")))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.coalesce("head", F.lit("")))
+    done = signed.withColumn("edited", edited).withColumn("edited_sig", signature(F.col("edited")))
+    return done.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprint(F.col("sig")).alias("fingerprint"),
+        fingerprint(F.col("edited_sig")).alias("edited_fingerprint"),
+        likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
+    )
 
 
 def op8_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, its edited text and the next document."""
     return edited_and_next(documents(spark, sf_dir))
