@@ -1,11 +1,12 @@
 """The queries of the training-data operators, and their SQL where SQL can say the same."""
 
-from civlake.llm import exact_dedup, language_id, lsh_forest, mixing, packing, quality, sentence_pieces, spot_signatures, token_counts
+from civlake.llm import exact_dedup, language_id, lsh_forest, mixing, packing, quality, repeats, sentence_pieces, spot_signatures, token_counts
 
 QUERIES = {
     "op1_packed_ids": packing.op1_packed_ids,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_repeats": repeats.op4_repeats,
     "op5_sentence_pieces": sentence_pieces.op5_sentence_pieces,
     "op6_language_id": language_id.op6_language_id,
     "op7_quality": quality.op7_quality,
