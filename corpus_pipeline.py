@@ -1,18 +1,55 @@
-"""A training corpus from raw documents: STAGES in order, each reading what the one before it wrote."""
+"""A training corpus from raw documents: STAGES in order, each reading what the one before it wrote.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs.
+An empty table passes through; rows with a null text count as empty texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from civlake.llm import exact_dedup, lsh_forest, mixing, quality, sentence_pieces
 from civlake.llm.common import documents, stash
 
-STAGES: list = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels, takes for good ones."""
+    scorer = quality.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, scorer).filter("predicted = 1").select(docs.columns)
+
+
+def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of equal texts."""
+    found = exact_dedup.exact_dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    return docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates (five words, a similarity of 0.8)."""
+    found = lsh_forest.near_duplicates(docs, 5, 80)
+    return docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
+    return docs.join(taken, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and the piece ids of every text."""
+    return sentence_pieces.encode(docs).select("doc_id", "source", "piece_ids")
+
+
+STAGES = [("quality", good_quality), ("exact_dedup", exact_copies_out), ("near_dedup", near_copies_out), ("mixing", mixed), ("sentence_pieces", encoded)]
 
 #: SQL cannot express the classifier or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written to the shared folder and read back."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name)
