@@ -129,15 +129,18 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is its own next. An empty table gives an empty result; other columns are not carried. Ids are whole numbers.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stash(own.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("taken"), F.count(F.lit(1)).alias("rows")), "ids")
+    known, nameless = own.filter("doc_id is not null"), own.filter("doc_id is null")
+    rows = stash(known.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("taken"), F.count(F.lit(1)).alias("rows")), "ids")
     before = stash(_predecessors(rows.select("id")), "before")
     top, repeats = rows.agg(F.max("id"), F.max("rows") > 1).first()
     order = before.select("id", F.coalesce("before", F.lit(top)).cast("long").alias("next_id")).join(rows, "id")
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("id").alias("for_id"), "taken")
-    # each document's set, and as much of its beginning as the one before it takes; own is shuffled once for both joins
-    given = own.join(asked.hint("merge"), "doc_id").select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("taken")).alias("head"), signature(F.col("text")).alias("next_sig"), "text")
+    # each document's set, and as much of its beginning as the one before it takes; `known` is shuffled once for both joins
+    given = known.join(asked.hint("merge"), "doc_id").select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("taken")).alias("head"), signature(F.col("text")).alias("next_sig"), "text")
     given = given.groupBy("doc_id").agg(F.min_by(F.struct("head", "next_sig"), "text").alias("g")).select("doc_id", "g.*") if repeats else given.drop("text")
-    signed = own.join(given.hint("merge"), "doc_id", "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int")).withColumn("sig", signature(F.col("text")))
+    alone = nameless.withColumn("head", F.lit(None).cast("string")).withColumn("next_sig", F.lit(None).cast("array<int>"))
+    joined = known.join(given.hint("merge"), "doc_id").unionByName(alone)
+    signed = joined.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int")).withColumn("sig", signature(F.col("text")))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.coalesce("head", F.lit("")))
     done = signed.withColumn("edited", edited).withColumn("edited_sig", signature(F.col("edited")))
     return done.select(
