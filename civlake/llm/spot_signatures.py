@@ -128,7 +128,9 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id has no next: its edited text lacks the last third, and near_next is null. A single document
     is its own next. An empty table gives an empty result; other columns are not carried. Ids are whole numbers.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # no alias where none is needed: it would keep the two joins below from sharing one shuffle
+    own = (docs if id_col == "doc_id" else docs.drop("doc_id").withColumnRenamed(id_col, "doc_id")).withColumn("text", F.coalesce(F.col(text_col), F.lit(""))).select("doc_id", "text")
+    own = own if dict(own.dtypes)["doc_id"] == "bigint" else own.withColumn("doc_id", F.col("doc_id").cast("long"))
     known, nameless = own.filter("doc_id is not null"), own.filter("doc_id is null")
     rows = stash(known.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("taken"), F.count(F.lit(1)).alias("rows")), "ids")
     before = stash(_predecessors(rows.select("id")), "before")
