@@ -25,6 +25,8 @@ SHARD_DOCS = 4096
 SALTS = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 EPS = 1e-9
+#: Exchanges after the rounding, at most.
+EXCHANGES = 16
 
 
 def flight(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -61,8 +63,7 @@ def flight(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
 def landing(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Round the last few probabilities so that words, then documents, come nearest to what is expected.
 
-    One exchange of a document that is in for one that is out then takes back most of the words
-    that the rounding moved.
+    Exchanges of a document that is in for one that is out then take back the words that the rounding moved.
     """
     open_ = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
     words, docs = float((sizes[open_] * p[open_]).sum()), float(p[open_].sum())
@@ -70,14 +71,22 @@ def landing(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
     out = np.round(p)
     out[open_] = best
     over = float(np.dot(sizes, out - p))
-    inside, outside = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
-    if len(inside) and len(outside):
-        by_size = outside[np.argsort(sizes[outside], kind="stable")]
-        at = np.searchsorted(sizes[by_size], sizes[inside] - over)
-        pairs = [(abs(over + sizes[j] - sizes[i]), i, j) for k in (0, 1) for i, j in zip(inside, by_size[np.clip(at - k, 0, len(by_size) - 1)], strict=True)]
-        left, i, j = min(pairs)
-        if left < abs(over):
-            out[i], out[j] = 0.0, 1.0
+    for _ in range(EXCHANGES):
+        inside, outside = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+        moves = []
+        if len(inside) and len(outside):
+            by_size = outside[np.argsort(sizes[outside], kind="stable")]
+            at = np.searchsorted(sizes[by_size], sizes[inside] - over)
+            moves += [(abs(over + sizes[j] - sizes[i]), 0, i, j) for k in (0, 1) for i, j in zip(inside, by_size[np.clip(at - k, 0, len(by_size) - 1)], strict=True)]
+        # where no exchange helps, one document alone goes in or out
+        moves += [(abs(over - sizes[i]), 1, i, -1) for i in inside] + [(abs(over + sizes[j]), 1, -1, j) for j in outside]
+        if not moves or (best_move := min(moves))[0] >= abs(over):
+            break
+        _, _, i, j = best_move
+        if i >= 0:
+            out[i], over = 0.0, over - sizes[i]
+        if j >= 0:
+            out[j], over = 1.0, over + sizes[j]
     return out
 
 
