@@ -9,10 +9,11 @@ committed and forgotten. The window is bounded by the longest piece, not by the
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,14 @@ from civlake.llm.token_counts import tokenizer_path
 SPACE_MARK = "▁"
 #: A rank behind all others, and the rank from which scores say no order.
 NEVER, UNRANKED = float("inf"), 1e8
+_ALNUM = re.compile(r"[^\W_]")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Words are cut off as units when no piece of the vocabulary has the space mark behind a letter.
-_UNITS = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+|\n+")
 
 
 class PieceModel:
     """The pieces of a SentencePiece BPE model with byte fallback."""
 
-    def __init__(self, path: str, known: int = 300_000):
+    def __init__(self, path: str, known: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,14 +45,28 @@ class PieceModel:
         self.bytes = {int(_BYTE.fullmatch(p)[1], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.hidden = {i for i in range(sp.vocab_size()) if sp.is_control(i)}
+        self.plain = set(range(sp.vocab_size())) - self.hidden - set(self.of_byte)
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.ids))
-        # True: a piece; False: only the beginning of one
-        self.kinds = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        # the pieces as a tree of characters; "" holds the piece that ends at a node
+        self.tree: dict = {}
+        for piece in self.ids:
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.normalize = sp.normalize
         self.words_apart = not any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in self.ids)
-        self.follows = lru_cache(maxsize=1 << 20)(self._follows)
-        self.limit, self.known, self.edges = known, {}, {}
+        self.units = self._unit_pattern()
+        self.follows = lru_cache(maxsize=1 << 17)(self._follows)
+        self.limit, self.known, self.older, self.edges = known, {}, {}, {}
+
+    def _unit_pattern(self) -> re.Pattern:
+        """What cuts a text into units that no piece can cross: words, and a letter or digit from a sign that no piece has behind one."""
+        behind = {b for p in self.ids for a, b in pairwise(p) if _ALNUM.match(a)}
+        signs = sorted({c for p in self.ids for c in p if not _ALNUM.match(c)} - behind - {SPACE_MARK, "\n"})
+        own = "".join(map(re.escape, signs)) or "\0"
+        return re.compile(f"{SPACE_MARK}*[{own}]?(?:[^{SPACE_MARK}\n{own}]|(?<!{_ALNUM.pattern})[{own}])+|{SPACE_MARK}*[{own}]|{SPACE_MARK}+|\n+")
 
     def _simulated(self, text: str) -> tuple[list[str], dict[str, tuple[str, str]]]:
         """What the model makes of a text by merging the best-scored pair again and again (the leftmost of equals), and the merges it made."""
@@ -102,22 +116,21 @@ class PieceModel:
 
     def stream(self, characters: str, check: int = 64) -> Iterator[str]:
         """The pieces of a text, committed as soon as all surviving paths agree; a character without a piece stands alone."""
-        kinds, follows, total = self.kinds, self.follows, len(characters)
+        tree, pieces, follows, total = self.tree, self.ids, self.follows, len(characters)
         base, back = 0, [""] + [None] * min(self.longest, total)  # back[i - base]: the piece that ends at i
         for start in range(total):
             u = back[start - base]
-            free = u not in kinds
-            end = start + 1
-            while end <= total:
-                t = characters[start:end]
-                kind = kinds.get(t)
-                if kind is None:
-                    if end == start + 1:
-                        back[end - base] = t
-                    break
-                if kind and back[end - base] is None and (free or follows(u, t)):
-                    back[end - base] = t
+            free = u not in pieces
+            node, end = tree, start - base
+            for c in characters[start : start + self.longest]:
+                node = node.get(c)
                 end += 1
+                if node is None:
+                    if end == start - base + 1:
+                        back[end] = c
+                    break
+                if "" in node and back[end] is None and (free or follows(u, node[""])):
+                    back[end] = node[""]
             if start + self.longest < total:
                 back.append(None)
             if start % check == check - 1:
@@ -158,22 +171,25 @@ class PieceModel:
     def encode(self, text: str) -> list[int]:
         """The ids of a text (the empty text: none)."""
         marked = self.normalize(text)
-        units = _UNITS.findall(marked) if self.words_apart else [marked]
-        known = self.known
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, units)))
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            own = {}
-            for u in units:
-                if u not in known:
-                    got = self._ids_of(self.stream(u))
-                    (known if len(u) <= 256 else own)[u] = got
-            return list(chain.from_iterable(known[u] if u in known else own[u] for u in units))
+        units = self.units.findall(marked) if self.words_apart else [marked]
+        if len(self.known) > self.limit:
+            # what is used again moves over from the older half; the rest is forgotten with it
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = set(units).difference(known)
+        for u in missing:
+            got = older.get(u)
+            known[u] = self._ids_of(self.stream(u)) if got is None else got
+        ids = list(chain.from_iterable(map(known.__getitem__, units)))
+        for u in missing:
+            if len(u) > 256:
+                del known[u]
+        return ids
 
     def decode(self, ids) -> str:
         """The text of ids: bytes are gathered and read as UTF-8, marks become spaces, the leading mark goes."""
+        if self.plain.issuperset(ids):
+            return "".join(map(self.pieces.__getitem__, ids)).removeprefix(SPACE_MARK).replace(SPACE_MARK, " ")
         parts, held = [], bytearray()
         for i in ids:
             b = self.of_byte.get(i)
@@ -192,26 +208,32 @@ class PieceModel:
 
 @lru_cache(maxsize=2)
 def piece_model(name: str) -> PieceModel:
-    return PieceModel(tokenizer_path(name))
+    model = PieceModel(tokenizer_path(name))
+    # the tables hold no cycles; looking through them for some takes a sixth of the time
+    gc.freeze()
+    gc.set_threshold(1_000_000)
+    return model
 
 
-def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str = "text", into: str = "piece_ids") -> DataFrame:
+def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str = "text", into: str = "piece_ids", check: str | None = None) -> DataFrame:
     """docs with the ids of each row's text in the column `into` (array of int), which replaces one of that name.
 
-    Null and empty texts have no ids. All other columns are kept as they are.
+    check names a boolean column that says whether decoding the ids gives the text back. Null and empty texts have no ids. All other columns are kept as they are.
     """
-    rows = docs.drop(into).withColumn("__text", F.col(text_col).cast("string"))
-    schema = docs.drop(into).schema.add(into, T.ArrayType(T.IntegerType()))
+    rest = docs.drop(into, *([check] if check else []))
+    rows = rest.withColumn("__text", docs[text_col].cast("string"))
+    schema = T.StructType([*rest.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else []))
 
     def run(batches):
         m = piece_model(model)
         for whole in batches:
             for b in slices(whole, "__text"):
-                lists = [m.encode(t) if t else [] for t in b.column("__text").to_pylist()]
+                texts = [t or "" for t in b.column("__text").to_pylist()]
+                lists = [m.encode(t) if t else [] for t in texts]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 flat = pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1])))
-                b = b.drop_columns(["__text"])
-                yield b.append_column(into, pa.ListArray.from_arrays(pa.array(offsets), flat))
+                b = b.drop_columns(["__text"]).append_column(into, pa.ListArray.from_arrays(pa.array(offsets), flat))
+                yield b.append_column(check, pa.array([m.decode(x) == t for x, t in zip(lists, texts, strict=True)], pa.bool_())) if check else b
 
     return rows.mapInArrow(run, schema)
 
@@ -232,6 +254,5 @@ def decode(docs: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether decoding them gives its text back."""
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(docs))
-    return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), check="round_trip")
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
