@@ -34,7 +34,7 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 class PieceModel:
     """The pieces of a SentencePiece BPE model with byte fallback."""
 
-    def __init__(self, path: str, known: int = 150_000):
+    def __init__(self, path: str, known: int = 60_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,7 +58,7 @@ class PieceModel:
         self.normalize = sp.normalize
         self.words_apart = not any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in self.ids)
         self.units = self._unit_pattern()
-        self.follows = lru_cache(maxsize=1 << 17)(self._follows)
+        self.follows = lru_cache(maxsize=1 << 16)(self._follows)
         self.limit, self.known, self.older, self.edges = known, {}, {}, {}
 
     def _unit_pattern(self) -> re.Pattern:
