@@ -4,14 +4,15 @@ Each distinct shingle set has a signature of MinHash values. Each tree of the fo
 the signatures; range partitioning deals the sorted rows out, so that no group of alike rows has to fit in one task. Neighbours
 with a long common prefix, whose further values mostly agree, are candidates, and candidates that
 hang together are a family. A family's full sets are compared exactly. A family too large for one
-task is cut into regions of the trees, each as deep as its size asks for.
+task is cut into regions of the trees, each as deep as its size asks for, which ties most of it together;
+sets of it that are still apart are then joined on their rarest shingles, so that no link in a family is missed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civlake.llm.common import documents, slices, stash, utf8
@@ -23,6 +24,8 @@ TREES, DEPTH, PATH, VALUE_BYTES = 16, 3, 10, 3
 AGREE, BACK = 4, 3
 #: A family or region compared in one task holds at most so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Rows of one shingle that meet in one block of the join on rare shingles, and shingles in a piece of a set, about.
+KEY_ROWS, PIECE_SHINGLES = 1024, 4096
 SLICE = 1 << 20
 _FACTORS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -135,17 +138,17 @@ def linked_sets(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndar
     return label
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """(block, rep): sets that are compared with each other in one task, from (root, rep, n, sig)."""
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, rep, hot), sets that are compared with each other in one task, and (root, rep, n) of the families too large for one; from (root, rep, n, sig)."""
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     fits = (F.col("sets") <= BLOCK_SETS) & (F.col("shingles") <= BLOCK_SHINGLES)
     sized = members.join(size, "root")
     small = sized.filter(fits).select(F.col("root").alias("block"), "rep", F.lit(False).alias("hot"))
     hot = stash(_forest(sized.filter(~fits), "root", "rep", "n"), "hot")
-    done = small
+    done, large = small, hot.filter("tree = 0").select("root", "rep", "n")
     for depth in range(DEPTH, PATH + 1):
         if hot.isEmpty():
-            return done
+            return done, large
         block = F.xxhash64("root", "tree", F.substring("path", 1, depth * VALUE_BYTES))
         level = hot.withColumn("block", block)
         size = level.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"), F.min("rep").alias("pivot"))
@@ -158,7 +161,64 @@ def _blocks(members: DataFrame) -> DataFrame:
     part = lambda k: F.xxhash64("block", k).alias("block")
     spread = level.filter("rep != pivot").select(part(F.pmod(F.xxhash64("rep"), parts)), "rep", F.lit(True).alias("hot"))
     pivots = level.filter("rep = pivot").select("block", "rep", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("k")).select(part(F.col("k")), "rep", F.lit(True).alias("hot"))
-    return done.unionByName(spread).unionByName(pivots)
+    return done.unionByName(spread).unionByName(pivots), large
+
+
+def _pieces(texts: DataFrame, k: int) -> DataFrame:
+    """(root, comp, rep, n, own, piece, part): the shingle set `own` of each text in `pieces` ranges of hash values."""
+    schema = "root long, comp long, rep long, n long, own long, piece long, part array<long>"
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text", SLICE, 1 << TEXT_BITS):
+                hashes, bounds = shingle_sets(*utf8(b.column("text")), k)
+                one, _ = set_keys(hashes, bounds)
+                for i, (root, comp, rep, pieces) in enumerate(zip(*(b.column(c).to_pylist() for c in ("root", "comp", "rep", "pieces")), strict=True)):
+                    own = hashes[bounds[i] : bounds[i + 1]]
+                    width = -(-(1 << 64 - TEXT_BITS) // pieces)
+                    cuts = np.searchsorted(own, np.arange(pieces + 1, dtype=np.uint64) * np.uint64(width))
+                    some = np.flatnonzero(np.diff(cuts))
+                    if not len(some):
+                        continue
+                    part = pa.ListArray.from_arrays(pa.array(np.append(cuts[some], cuts[some[-1] + 1]).astype(np.int32)), pa.array(own.astype(np.int64)))
+                    same = [pa.array(np.full(len(some), x, np.int64)) for x in (root, comp, rep, len(own), one[i])]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(some.astype(np.int64)), part], ["root", "comp", "rep", "n", "own", "piece", "part"])
+
+    return texts.mapInArrow(run, schema)
+
+
+def _rest(own: DataFrame, large: DataFrame, tied: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links (a, b) between sets of one large family that lie in different components of `tied` (rep, comp).
+
+    With the shingles of a family ordered from rare to common, two sets of the similarity asked for share one of the
+    first n - ceil(percent * n / 100) + 1 of each. A shingle that many sets have there is dealt into pairs of
+    blocks. What meets is compared by whole sets, piece by piece, so that no set has to fit in one row.
+    """
+    held = large.join(tied, "rep", "left").groupBy("root", "rep").agg(F.coalesce(F.first("comp"), "rep").alias("comp"), F.max("n").alias("n"))
+    apart = held.groupBy("root").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(F.max("n") / PIECE_SHINGLES).alias("pieces"))
+    wanted = held.join(apart.filter("least < most").select("root", "pieces"), "root").select("root", "rep", "comp", "pieces")
+    texts = own.join(wanted.hint("merge"), own.doc_id == wanted.rep).select("root", "comp", "rep", "pieces", "text")
+    # a document's rows of one text are one set
+    pieces = stash(_pieces(texts, k).dropDuplicates(["rep", "own", "piece"]), "pieces")
+    each = pieces.select("root", "comp", "rep", "n", "own", F.explode("part").alias("shingle"))
+    often = each.groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep", "own").orderBy("df", "shingle"))
+    first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    prefix = each.join(often.filter("df > 1"), ["root", "shingle"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", place)
+    prefix = stash(prefix.filter((F.col("place") <= first) & (F.col("df") > 1)).select("root", "shingle", "comp", "rep", "own", "n"), "prefix")
+    keys = prefix.groupBy("root", "shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    dealt = prefix.join(keys.select("root", "shingle", F.ceil(F.col("rows") / KEY_ROWS).alias("blocks")), ["root", "shingle"]).withColumn("block", F.pmod(F.xxhash64("rep", "own"), "blocks"))
+    a = dealt.select("root", "shingle", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("comp", "rep", "own", "n")))
+    b = dealt.select("root", "shingle", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"{c}_b") for c in ("comp", "rep", "own", "n")))
+    fits = "comp_a != comp_b and (i < j or rep_a < rep_b)" + f" and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    # inside one block each pair meets both ways, between two blocks once
+    met = a.join(b, ["root", "shingle", "i", "j"]).filter(fits).withColumn("turned", F.col("rep_a") > F.col("rep_b"))
+    side = lambda c, x, y: F.when(F.col("turned"), F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}")
+    pairs = stash(met.select(*(side(c, x, y) for c in ("rep", "own", "n") for x, y in ("ab", "ba"))).distinct(), "pairs")
+    of = lambda x: pieces.select(F.col("rep").alias(f"rep_{x}"), F.col("own").alias(f"own_{x}"), "piece", F.col("part").alias(f"part_{x}"))
+    both = pairs.join(of("a"), ["rep_a", "own_a"]).join(of("b"), ["rep_b", "own_b", "piece"])
+    shared = both.groupBy("rep_a", "own_a", "n_a", "rep_b", "own_b", "n_b").agg(F.sum(F.size(F.array_intersect("part_a", "part_b"))).alias("both"))
+    return shared.filter(f"100 * both >= {percent} * (n_a + n_b - both)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,8 +230,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     document as far as links go. A row with a null id stands alone with a null component_id, and is kept. An empty table gives an
     empty result, and other columns of docs are not carried. Ids are whole numbers.
 
-    A link between two texts is found if they share a tree's first DEPTH values and agree behind them: for
-    two sets of similarity 0.85 one pair in three million is in no common region.
+    Every link between two sets of one family is found, whatever the family's size. Sets come into one family if chains of
+    candidates join them, which share a tree's first DEPTH values and agree behind them: of
+    two sets of similarity 0.85 one pair in three million never does.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stash(_signed(own, k), "signed")
@@ -179,7 +240,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ordered = _forest(classes, "rep").repartitionByRange("tree", "path", "rep").sortWithinPartitions("tree", "path", "rep")
     families = stash(components(ordered.mapInArrow(_neighbours, "a long, b long")), "families")
     members = families.join(classes.select(F.col("rep").alias("node"), "n", "sig"), "node").select("root", F.col("node").alias("rep"), "n", "sig")
-    blocks = stash(_blocks(members), "blocks")
+    blocks, large = _blocks(members)
+    blocks = stash(blocks, "blocks")
     texts = own.join(blocks.hint("merge"), own.doc_id == blocks.rep).select("block", "hot", "rep", "text")
 
     def link(table: pa.Table) -> pa.Table:
@@ -202,7 +264,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64()), "hot": pa.array([hot] * len(pairs), pa.bool_())})
 
     links = stash(texts.groupBy("block").applyInArrow(link, "a long, b long, hot boolean"), "confirmed")
-    found = links.filter("not hot").select(F.col("a").alias("rep"), F.col("b").alias("root")).unionByName(components(links.filter("hot").select("a", "b")).toDF("rep", "root"))
+    tied = components(links.filter("hot").select("a", "b")).toDF("rep", "root")
+    if not large.isEmpty():
+        rest = stash(_rest(own, large, tied.toDF("rep", "comp"), k, percent), "rest")
+        if not rest.isEmpty():
+            tied = components(tied.toDF("a", "b").unionByName(rest)).toDF("rep", "root")
+    found = links.filter("not hot").select(F.col("a").alias("rep"), F.col("b").alias("root")).unionByName(tied)
     found = found.groupBy("rep").agg(F.min("root").alias("root"))
     named = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     final = rows.join(named, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))

@@ -298,6 +298,31 @@ def test_near_duplicates_in_families_too_large_for_a_task(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(len(texts))] == root
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_in_large_families_miss_no_link(spark, monkeypatch, percent):
+    rng = random.Random(percent)
+    # chains whose neighbours are barely alike, all through one text, so that candidates tie them to one family
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(12):
+        words = list(base)
+        for _ in range(6):
+            texts.append(" ".join(words))
+            for at in rng.sample(range(0, 195, 5), 5 if percent == 85 else 7):
+                words[at] = f"w{rng.randrange(10**6)}"
+    giant = " ".join(f"g{rng.randrange(10**6)}" for _ in range(3000))
+    texts += [giant, giant.replace(" g1", " h1"), giant.rsplit(" ", 300)[0]]
+    _, root = brute_components(texts, 3, percent)
+    rows = [*enumerate(texts), (40, texts[40]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, most in {"BLOCK_SETS": 2, "BLOCK_SHINGLES": 1000}.items():
+        monkeypatch.setattr(lsh_forest, name, most)
+    for name, most in {"KEY_ROWS": 3, "PIECE_SHINGLES": 100}.items():
+        monkeypatch.setattr(lsh_forest, name, most, raising=False)
+    got = by_id(lsh_forest.near_duplicates(df, 3, percent))
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(None, 3), (5, 5)]
