@@ -29,7 +29,7 @@ def letters_only(text: str) -> str:
 
 
 def train(labelled: DataFrame, parts: int = SAMPLE_PARTS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language, the most frequent first, from rows (doc_id, text, lang); those without lang or text are left out.
+    """A dictionary for each language, the most frequent first, from rows (doc_id, text, lang); those without lang or text are left out, and so are languages without a letter in their sample.
 
     The sample is bounded: the row with the smallest hash of each of `parts` parts of a language's
     rows, `chars` characters of each, `size` bytes in all. It reaches the driver; nothing else does.
@@ -44,8 +44,8 @@ def train(labelled: DataFrame, parts: int = SAMPLE_PARTS, chars: int = SAMPLE_CH
         rows[lang] = rows.get(lang, 0) + n
     samples = {lang: samples[lang] for lang in sorted(rows, key=lambda x: (-rows[x], x))}
     joined = {lang: " ".join(ts).encode("utf-8", "replace") for lang, ts in samples.items()}
-    even = min([size, *map(len, joined.values())])  # no language wins by knowing more
-    return {lang: text[:even] for lang, text in joined.items() if text}
+    # each as much as it has: a dictionary of another language leaves more bytes than none, so that size alone does not win
+    return {lang: text[:size] for lang, text in joined.items() if text.strip()}
 
 
 @lru_cache(maxsize=2)

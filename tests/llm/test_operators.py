@@ -192,6 +192,27 @@ def test_language_id_on_held_out_rows(spark, docs, empty):
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
 
 
+def test_language_id_with_languages_of_little_or_no_text(spark):
+    rows = documents(spark, SMALL).filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "kolme pient\u00e4 kissaa", "fi"), (-2, "123 456 789", "zz"), (-3, "000 --- 11", "zz")], "doc_id long, text string, lang string")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    dictionaries = language_id.train(rows.filter(~held_out).unionByName(odd))
+    assert "zz" not in dictionaries and dictionaries["fi"] == "kolme pient\u00e4 kissaa".encode()
+    assert min(len(d) for lang, d in dictionaries.items() if lang != "fi") > 1000
+    got = language_id.identify(rows.filter(held_out), dictionaries).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.85
+    assert language_id.train(odd.filter("lang = 'zz'")) == {}
+
+
+def test_a_large_dictionary_does_not_win_by_its_size():
+    rng = random.Random(3)
+    kinds = {lang: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)] for lang in "ab"}
+    text = lambda lang, n: " ".join(rng.choice(kinds[lang]) for _ in range(n))
+    held = (("a", text("a", 9000).encode()), ("b", text("b", 60).encode()))
+    for lang in "ab":
+        assert np.mean([language_id.classify(text(lang, 40), held)[0] == lang for _ in range(50)]) > 0.95
+
+
 def test_quality_ranks_held_out_rows(spark, docs, empty):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = [r for r in QUERIES["op7_quality"](spark, "/root/testdata/sf0.01").collect() if r["held_out"] and r["doc_id"] in labels]
