@@ -136,16 +136,16 @@ def screened(snapshot: Snapshot, groups: DataFrame) -> DataFrame:
     return keyed.groupBy("fbucket").cogroup(snapshot.filters.groupBy("fbucket")).applyInPandas(screen, schema)
 
 
-def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs.
+def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the columns `others` of every row of docs.
 
     in_snapshot is a condition on docs: the rows it holds for are the snapshot, the rest are the new
     batch. Null texts count as empty; equal texts share a group whatever side they are on. Rows that
     repeat an id with the same text are all kept or all dropped. A null id is larger than any other.
-    An empty table gives an empty result, and other columns of docs are not carried.
+    An empty table gives an empty result, and further columns of docs are not carried.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(in_snapshot, F.lit(False)).alias("in_snapshot"))
-    rows = stash(digests(own, "in_snapshot"), "digests")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others, F.coalesce(in_snapshot, F.lit(False)).alias("in_snapshot"))
+    rows = stash(digests(own, "in_snapshot", *others), "digests")
     snapshot = build_snapshot(rows.filter("in_snapshot"))
     new = stash(grouped(rows.filter("not in_snapshot")), "newgroups")
     hits = screened(snapshot, new).select("text_sha256", F.col("keep_id").alias("new_id"), F.col("group_size").alias("new_size"))
@@ -158,7 +158,7 @@ def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     merged = both.select("text_sha256", F.least("keep_id", "new_id").alias("keep_id"), (F.col("group_size") + F.col("new_size")).alias("group_size"))
     alone = snapshot.groups.select("text_sha256", "keep_id", "group_size").unionByName(new.select("text_sha256", "keep_id", "group_size")).join(merged.select("text_sha256"), "text_sha256", "left_anti")
     groups = merged.unionByName(alone)
-    return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *others)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,8 @@ def paths(signature: np.ndarray, tree: int) -> np.ndarray:
     return np.ascontiguousarray(values[:, :, 4 - VALUE_BYTES :]).reshape(-1, PATH * VALUE_BYTES)
 
 
-def _signed(docs: DataFrame, k: int) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def _signed(docs: DataFrame, k: int, others: tuple[str, ...] = ()) -> DataFrame:
+    kept_types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *others))
 
     def run(batches):
         for whole in batches:
@@ -68,9 +68,9 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 some = np.diff(bounds) > 0
                 sig = iter(signatures(hashes, bounds))
                 kept = pa.array([next(sig).tobytes() if x else None for x in some], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(one), pa.array(two), kept], ["doc_id", "n_shingles", "s1", "s2", "sig"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *others)), pa.array(np.diff(bounds).astype(np.int64)), pa.array(one), pa.array(two), kept], ["doc_id", *others, "n_shingles", "s1", "s2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select("doc_id", "text", *others).mapInArrow(run, f"{kept_types}, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def _forest(rows: DataFrame, *keys: str) -> DataFrame:
@@ -221,21 +221,21 @@ def _rest(own: DataFrame, large: DataFrame, tied: DataFrame, k: int, percent: in
     return shared.filter(f"100 * both >= {percent} * (n_a + n_b - both)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the columns `others` of every row of docs.
 
     Texts whose sets of k-word shingles have 100 * intersection >= percent * union are linked; a component is
     named by the smallest id in it, whose row is kept. A text without words, or null, has an empty set
     and stands alone. Rows that repeat an id are one
     document as far as links go. A row with a null id stands alone with a null component_id, and is kept. An empty table gives an
-    empty result, and other columns of docs are not carried. Ids are whole numbers.
+    empty result, and further columns of docs are not carried. Ids are whole numbers.
 
     Every link between two sets of one family is found, whatever the family's size. Sets come into one family if chains of
     candidates join them, which share a tree's first DEPTH values and agree behind them: of
     two sets of similarity 0.85 one pair in three million never does.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stash(_signed(own, k), "signed")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
+    rows = stash(_signed(own, k, others), "signed")
     classes = stash(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     ordered = _forest(classes, "rep").repartitionByRange("tree", "path", "rep").sortWithinPartitions("tree", "path", "rep")
     families = stash(components(ordered.mapInArrow(_neighbours, "a long, b long")), "families")
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = found.groupBy("rep").agg(F.min("root").alias("root"))
     named = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
     final = rows.join(named, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
-    return final.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return final.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *others)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

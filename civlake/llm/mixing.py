@@ -120,15 +120,15 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return s.select("source", "n_docs", "source_size", F.least(full, F.coalesce(F.col("common") * F.col("w"), full)).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of every row of docs.
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_docs: int = SHARD_DOCS, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and the columns `others` of every row of docs.
 
     Null texts have size 0; a null source is a source of its own; a source without words has target
     0 and no copies. Rows that repeat an id are separate documents. A null id sorts last. An empty
-    table gives an empty result, and other columns of docs are not carried.
+    table gives an empty result, and further columns of docs are not carried.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    base = stash(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    base = stash(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *others), "sizes")
     per_source = base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     dim = targets(per_source, share, most, weights).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")).withColumnRenamed("source", "__source")
@@ -153,7 +153,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
             break
         fewer = F.ceil(F.col("shards") * 2 / shard_docs)
         level = flown.filter(open_).withColumn("shards", fewer).withColumn("shard", F.pmod("shard", F.col("shards"))).withColumn("last", F.col("shards") == 1)
-    return done.select(F.col("doc_id").cast(docs.schema[id_col].dataType), "source", "size", "source_size", "target", (F.col("whole") + F.round("p")).cast("long").alias("copies"))
+    return done.select(F.col("doc_id").cast(docs.schema[id_col].dataType), "source", "size", "source_size", "target", (F.col("whole") + F.round("p")).cast("long").alias("copies"), *others)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """A training corpus from raw documents: STAGES in order, each reading what the one before it wrote.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of docs.
-An empty table passes through; rows with a null text count as empty texts.
+An empty table passes through; rows with a null text count as empty texts. What an operator decides goes back to its own row by a
+row key, so that rows without an id or of one id are told apart.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from civlake.llm import exact_dedup, lsh_forest, mixing, quality, sentence_pieces
 from civlake.llm.common import documents, stash
 
+ROW = "__row"
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels, takes for good ones."""
@@ -19,22 +22,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, scorer).filter("predicted = 1").select(docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written first so that it stays the same."""
+    return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal texts."""
-    found = exact_dedup.exact_dedup(docs, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
-    return docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """The document with the smallest id of each group of equal texts, a null id being the largest; its rows all stay if it repeats."""
+    rows = keyed(docs)
+    found = exact_dedup.exact_dedup(rows, F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, others=(ROW,))
+    return rows.join(found.filter("kept").select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates (five words, a similarity of 0.8)."""
-    found = lsh_forest.near_duplicates(docs, 5, 80)
-    return docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """The document with the smallest id of each component of near duplicates (five words, a similarity of 0.8); rows without an id stay."""
+    rows = keyed(docs)
+    found = lsh_forest.near_duplicates(rows, 5, 80, others=(ROW,))
+    return rows.join(found.filter("kept").select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    """Each row as often as the mix takes it."""
+    rows = keyed(docs)
+    taken = mixing.mix(rows, others=(ROW,)).filter("copies > 0").select(ROW, "copies")
+    return rows.join(taken, ROW).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

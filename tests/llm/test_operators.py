@@ -365,3 +365,21 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, stage(spark, docs, SMALL)
         assert docs.columns == before.columns, name
+
+
+def test_pipeline_stages_on_rows_without_ids_and_of_one_id(spark):
+    import corpus_pipeline
+
+    exact = spark.createDataFrame([(5, "a", None, "s", 1), (7, "a", None, "s", 1), (7, "b", None, "s", 1), (None, "a", None, "s", 1), (None, "c", None, None, 1), (9, None, None, "s", 1)], SCHEMA)
+    rows = lambda df: sorted((tuple(r)[:2] for r in df.collect()), key=str)
+    assert rows(corpus_pipeline.exact_copies_out(spark, exact, SMALL)) == sorted([(5, "a"), (7, "b"), (None, "c"), (9, None)], key=str)
+
+    base = [f"w{k}" for k in range(60)]
+    near, far = " ".join([*base[:-1], "x"]), " ".join(f"v{k}" for k in range(60))
+    docs = spark.createDataFrame([(5, " ".join(base), None, "s", 1), (8, near, None, "s", 1), (None, near, None, "s", 1), (None, None, None, "s", 1), (9, far, None, "s", 1), (9, far, None, "s", 1)], SCHEMA)
+    assert rows(corpus_pipeline.near_copies_out(spark, docs, SMALL)) == sorted([(5, " ".join(base)), (None, near), (None, None), (9, far), (9, far)], key=str)
+
+    # words of one source are taken 1.5 times; four rows of one id, four of none
+    many = spark.createDataFrame([(3, f"p{k} q r s", None, "s", 1) for k in range(4)] + [(None, f"n{k} q r s", None, "s", 1) for k in range(4)], SCHEMA)
+    got = collections.Counter(r["text"] for r in corpus_pipeline.mixed(spark, many, SMALL).collect())
+    assert sum(got.values()) == 12 and set(got.values()) == {1, 2} and len(got) == 8
