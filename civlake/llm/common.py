@@ -15,16 +15,24 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: No slice of a batch that goes through numpy holds more text than this, but for a single longer row.
 SLICE_BYTES = 8 << 20
+#: The folders that stash() wrote in this session, in order.
+WRITTEN: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: A key with more rows than this, and more than one in HOT_KEYS of all rows, is hot; so there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a temporary one is set in local mode (tests); on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="civlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -35,9 +43,29 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that stash() wrote, once nothing reads them any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """The inner join of rows and keyed, which has one row a key and tells in the column `size` how many of the rows have it.
+
+    Keys with more than HOT_ROWS rows and more than one in HOT_KEYS of all `total` rows are at most HOT_KEYS; these are broadcast, so
+    that their rows are not shuffled and never meet in one task. The others are joined by a shuffle.
+    """
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = keyed.filter(F.col(size) > most), keyed.filter(F.col(size) <= most)
+    apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(apart.join(cold.hint("merge"), keys))
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civlake.llm.common import SPACE, documents, stash, text_or_empty
+from civlake.llm.common import SPACE, documents, join_hot, stash, text_or_empty
 
 _M = np.uint64(0xBF58476D1CE4E5B9)
 FILTER_SCHEMA = "fbucket long, seed long, n_slots long, segment long, slots binary"
@@ -141,7 +141,9 @@ def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
 
     in_snapshot is a condition on docs: the rows it holds for are the snapshot, the rest are the new
     batch. Null texts count as empty; equal texts share a group whatever side they are on. Rows that
-    repeat an id with the same text are all kept or all dropped. A null id is larger than any other.
+    repeat an id with the same text are all kept or all dropped. A null id is larger than any other. Texts are told apart by their
+    sha256; bytes are compared between the two sides' representatives of a digest, not within a side. Very long texts are hashed whole. Copies
+    of a text that many rows share are not shuffled to one task.
     An empty table gives an empty result, and further columns of docs are not carried.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *others, F.coalesce(in_snapshot, F.lit(False)).alias("in_snapshot"))
@@ -157,8 +159,9 @@ def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     both = found.join(equal, "text_sha256", "left").filter(F.coalesce("same_bytes", F.lit(True)))
     merged = both.select("text_sha256", F.least("keep_id", "new_id").alias("keep_id"), (F.col("group_size") + F.col("new_size")).alias("group_size"))
     alone = snapshot.groups.select("text_sha256", "keep_id", "group_size").unionByName(new.select("text_sha256", "keep_id", "group_size")).join(merged.select("text_sha256"), "text_sha256", "left_anti")
-    groups = merged.unionByName(alone)
-    return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *others)
+    groups = stash(merged.unionByName(alone), "groups")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    return join_hot(rows, groups, ["text_sha256"], "group_size", total).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *others)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
