@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civlake.llm.common import documents, slices, stash, utf8
+from civlake.llm.common import documents, join_hot, slices, stash, utf8
 from civlake.llm.graph import components, spanning
 from civlake.llm.shingles import TEXT_BITS, mixed, shingle_sets
 
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
     rows = stash(_signed(own, k, others), "signed")
-    classes = stash(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    total = rows.count()
+    classes = stash(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
     ordered = _forest(classes, "rep").repartitionByRange("tree", "path", "rep").sortWithinPartitions("tree", "path", "rep")
     families = stash(components(ordered.mapInArrow(_neighbours, "a long, b long")), "families")
     members = families.join(classes.select(F.col("rep").alias("node"), "n", "sig"), "node").select("root", F.col("node").alias("rep"), "n", "sig")
@@ -271,8 +272,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             tied = components(tied.toDF("a", "b").unionByName(rest)).toDF("rep", "root")
     found = links.filter("not hot").select(F.col("a").alias("rep"), F.col("b").alias("root")).unionByName(tied)
     found = found.groupBy("rep").agg(F.min("root").alias("root"))
-    named = classes.join(found, "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
-    final = rows.join(named, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
+    named = stash(classes.join(found, "rep", "left").select("s1", "s2", "copies", F.coalesce("root", "rep").alias("root")), "named")
+    has_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    met = join_hot(rows.filter(has_class), named, ["s1", "s2"], "copies", total).drop("copies")
+    final = met.unionByName(rows.filter(~has_class).withColumn("root", F.lit(None).cast("long"))).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return final.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *others)
 
 
