@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civlake.llm.common import documents, slices, stash, utf8
+from civlake.llm.common import HOT_KEYS, HOT_ROWS, documents, slices, stash, utf8
 from civlake.llm.shingles import mixed
 
 GRAM, PIECE = 32, 12
@@ -206,10 +206,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", w
     Each byte that a string of `length` bytes covers which also starts anywhere else, in the same
     text or another, is removed; texts are judged as they come in, as UTF-8, null as empty. n_spans counts the maximal
     removed runs. Repeated rows repeat each other, whatever their ids. Texts shorter than `length` stay whole. An empty
-    table gives an empty result. Copies of a text are cut alike, each on its own. Columns of the result's names are replaced; others are kept. Equal bytes are told by 64-bit hashes.
+    table gives an empty result. Copies of a text are cut alike; a text that more than HOT_ROWS rows have (and more than one in HOT_KEYS of such rows, so that
+    hot texts are few enough to broadcast) goes through the work once. Columns of the result's names are replaced; others are kept. Equal bytes, and
+    equal texts, are told by 64-bit hashes. A text is worked on whole: memory is some forty times the longest one's bytes.
     """
     own = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "tid").withColumnRenamed(text_col, "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tid", F.xxhash64("text"))
-    keyed = own.select("tid", "text")
+    # of a text that very many rows have, one row goes through the work; all of its copies repeat each other from end to end
+    row = F.xxhash64(*[f.name for f in own.schema if f.name != "text" and "map<" not in f.dataType.simpleString()])
+    classes = stash(own.select("tid", row.alias("row")).groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("carrier")).filter(f"copies > {HOT_ROWS}"), "copies")
+    most = max(HOT_ROWS, (classes.agg(F.sum("copies")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(classes.filter(F.col("copies") > most).select("tid", "carrier"))
+    keyed = own.select("tid", "text", row.alias("row")).join(hot, "tid", "left").filter("carrier is null or carrier = row").select("tid", "text")
     level = _sorted(keyed.mapInArrow(lambda batches: _phrases(batches, length), PIECE_SCHEMA))
     columns = ("tid", "start", "windows")
     found = level.filter("repeats").select(*columns)
@@ -218,14 +225,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", w
     single = stash(_finer(keyed, level.filter("cut").select(*columns, "trigger"), 1, length), "windows")
     twice = single.groupBy("full").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = found.unionByName(single.join(twice, "full").select(*columns))
-    spans = found.distinct().groupBy("tid").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = found.distinct().groupBy("tid").agg(F.collect_list(F.struct("start", "windows")).alias("__spans"))
     kept = [f for f in own.schema if f.name not in ("text", "tid")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"] + ["kept_bytes binary"] * with_text)
 
     def strip(batches):
         for b in batches:
             rest = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 left, at, removed, runs = [], 0, 0, 0
                 end = -1
@@ -245,7 +252,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", w
                 columns.append(pa.array([r[4] for r in rest], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_text)
 
-    return own.join(spans, "tid", "left").mapInArrow(strip, schema)
+    whole = F.octet_length("text") - length + 1
+    copies = own.join(hot, "tid", "left_semi").withColumn("__spans", F.when(whole > 0, F.array(F.struct(F.lit(0).alias("start"), whole.cast("int").alias("windows")))))
+    rest = own.join(hot, "tid", "left_anti").join(spans, "tid", "left")
+    return rest.unionByName(copies).mapInArrow(strip, schema)
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
