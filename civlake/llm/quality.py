@@ -94,28 +94,41 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk_and_gradient(w: list[np.ndarray], x: np.ndarray, positive: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """The risk of the network w and the direction to descend along.
+
+    With a prior, the risk of positives and that of negatives, which is the unlabelled rows' less the prior's share of the positives'; where it is
+    below zero the direction is that which raises it. Without, the plain risk of telling positive from unlabelled rows.
+    """
+    n_p, n_u = positive.sum(), (~positive).sum()
+    h = np.tanh(x @ w[0] + w[1])
+    z = np.clip(h @ w[2] + w[3], -40, 40)
+    g = 1 / (1 + np.exp(-z))
+    as_positive, as_negative = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+    # the logistic loss of calling a row positive has slope g - 1, of calling it negative g
+    if prior is None:
+        risk = as_positive[positive].mean() + as_negative[~positive].mean()
+        slope = np.where(positive, (g - 1) / n_p, g / n_u)
+    else:
+        negatives = as_negative[~positive].mean() - prior * as_negative[positive].mean()
+        risk = prior * as_positive[positive].mean() + max(negatives, 0.0)
+        if negatives >= 0:
+            slope = np.where(positive, (prior * (g - 1) - prior * g) / n_p, g / n_u)
+        else:
+            slope = np.where(positive, prior * g / n_p, -g / n_u)
+    dh = slope[:, None] * w[2] * (1 - h * h)
+    return float(risk), [x.T @ dh, dh.sum(0), h.T @ slope, slope.sum(keepdims=True)]
+
+
 def _fit(x: np.ndarray, positive: np.ndarray, prior: float | None, seed: int = 7) -> list[np.ndarray]:
     """Adam on the non-negative risk with the logistic loss; without a prior, plain positive against unlabelled."""
     rng = np.random.default_rng(seed)
     w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    n_p, n_u = positive.sum(), (~positive).sum()
     for step in range(1, STEPS + 1):
-        h = np.tanh(x @ w[0] + w[1])
-        z = np.clip(h @ w[2] + w[3], -40, 40)
-        g = 1 / (1 + np.exp(-z))
-        # the logistic loss of calling a row positive has slope g - 1, of calling it negative g
-        if prior is None:
-            slope = np.where(positive, (g - 1) / n_p, g / n_u)
-        else:
-            as_negative = np.log1p(np.exp(z))
-            negatives = as_negative[~positive].mean() - prior * as_negative[positive].mean()
-            if negatives >= 0:
-                slope = np.where(positive, (prior * (g - 1) - prior * g) / n_p, g / n_u)
-            else:
-                slope = np.where(positive, prior * g / n_p, -g / n_u)
-        dh = slope[:, None] * w[2] * (1 - h * h)
-        grads = [x.T @ dh + DECAY * w[0], dh.sum(0), h.T @ slope + DECAY * w[2], slope.sum(keepdims=True)]
+        _, grads = risk_and_gradient(w, x, positive, prior)
+        for k in (0, 2):
+            grads[k] += DECAY * w[k]
         for k, d in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.999 * v[k] + 0.001 * d * d
@@ -138,15 +151,19 @@ def estimated_prior(positive_scores: np.ndarray, unlabelled_scores: np.ndarray,
 
 
 def fit(docs: DataFrame, trusted: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
-    """Fit on at most `positives` of the trusted doc_ids and `unlabelled` rows of docs (doc_id, text), the smallest by hash.
+    """Fit on at most `positives` of the trusted doc_ids and `unlabelled` ids of docs (doc_id, text), the smallest by hash.
 
-    Only the sample's ids are broadcast and only its features reach the driver. Without any positive, every score is 0.5.
+    The unlabelled sample is drawn from all rows, trusted and held-out ones among them, without a look at any label. Only the sample's ids
+    are broadcast, and one row of features an id reaches the driver: of rows that repeat an id, the one with the smallest text; rows without an id are
+    not used, null texts count as empty, very long ones are read whole. Without any positive, or without documents, every score is 0.5; with a single one
+    the prior cannot be read off and is taken as one half. Further columns are ignored.
     """
     order = F.xxhash64("doc_id", F.lit(17))
     p_ids = trusted.select("doc_id").filter("doc_id is not null").distinct().orderBy(order).limit(positives)
     u_ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(order).limit(unlabelled)
     ids = p_ids.withColumn("positive", F.lit(True)).unionByName(u_ids.withColumn("positive", F.lit(False)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("positive", "text")
+    # texts of one id meet in partial aggregates, so that an id that many rows have is one row
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("positive", "doc_id").agg(F.min("text").alias("text"))
 
     def run(batches):
         for whole in batches:
@@ -162,22 +179,31 @@ def fit(docs: DataFrame, trusted: DataFrame, positives: int = POSITIVES, unlabel
     mean, scale = x.mean(0), x.std(0) + 1e-2
     x = np.clip((x - mean) / scale, -6, 6)
     # half of either sample fits the ranking from which the prior is read off the other half
-    half = np.random.default_rng(3).random(len(x)) < 0.5
-    w1, b1, w2, b2 = _fit(x[half], positive[half], None)
-    rank = np.tanh(x[~half] @ w1 + b1) @ w2 + b2
-    prior = estimated_prior(rank[positive[~half]], rank[~positive[~half]])
+    half = np.zeros(len(x), bool)
+    for own in (np.flatnonzero(positive), np.flatnonzero(~positive)):
+        half[np.random.default_rng(3).permutation(own)[: (len(own) + 1) // 2]] = True
+    prior = 0.5
+    if all((part & (positive == p)).any() for part in (half, ~half) for p in (True, False)):
+        w1, b1, w2, b2 = _fit(x[half], positive[half], None)
+        rank = np.tanh(x[~half] @ w1 + b1) @ w2 + b2
+        prior = estimated_prior(rank[positive[~half]], rank[~positive[~half]])
     return Scorer(mean, scale, _fit(x, positive, PRIOR_SHADE * prior), prior)
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0); null texts count as empty. Columns of these names are replaced."""
+    """docs with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
+
+    Null texts count as empty; very long ones are scored whole; equal texts have equal scores, whatever their ids. An empty table
+    gives an empty result. Columns of these names are replaced, others are kept.
+    """
     rows = docs.drop("score", "predicted")
     schema = docs.drop("score", "predicted").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, text_col, SLICE):
-                s = scorer.scores(features(*utf8(b.column(text_col))))
+                # rounded, so that equal texts have equal scores whatever stands beside them in a batch
+                s = np.round(scorer.scores(features(*utf8(b.column(text_col)))), 9)
                 b = b.append_column("score", pa.array(s, pa.float64()))
                 yield b.append_column("predicted", pa.array((s >= 0.5).astype(np.int32), pa.int32()))
 
@@ -185,16 +211,17 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Whether a row's labels are kept from learning; rows without an id are."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Fit on the labels of rows that are not held out; only their positives are used."""
+    """Fit on the labels of rows that are not held out; only their positives are used. See fit() for empty tables, nulls and repeats."""
     return fit(docs, labels.filter((F.col("quality") == 1) & ~held_out()))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's quality score, learnt from the positive labels of rows whose crc32(doc_id) mod 3 is not 1."""
+    """Every document's quality score, learnt from the positive labels of rows whose crc32(doc_id) mod 3 is not 1, and the estimated prior."""
     docs = documents(spark, sf_dir)
     scorer = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs.select("doc_id", held_out().alias("held_out"), "text"), scorer).drop("text")
+    return score(docs.select("doc_id", held_out().alias("held_out"), "text"), scorer).drop("text").withColumn("prior", F.lit(float(scorer.prior)))
