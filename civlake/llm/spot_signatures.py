@@ -3,12 +3,14 @@
 A common word followed by a chain of content words (other common words between them are passed
 over, up to three at a time) is a spot; the set of a text's spots is its signature set, and the
 sorted hashes of the set are its fingerprint. Likeness is the Jaccard similarity of two sets. Near
-duplicates are found by joining on each set's rarest spots, between sets whose sizes allow the
-similarity asked for.
+duplicates are found by joining on each set's rarest spots inside partitions by length, between sets whose
+sizes and places allow the similarity asked for.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ COMMON = tuple(
 #: ASCII other than letters and digits parts words; all other characters belong to them.
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CHAIN = 2
-#: Ids that one window orders, about.
-IDS_A_RANGE = 1024
+#: Rows of one spot and length that meet in one block, about.
+CELL_ROWS = 1024
+#: Ids that one window orders, about, and ranges at most: one window orders a row a range.
+IDS_A_RANGE, RANGES = 1024, 4096
 
 
 def words_of(text: Column) -> Column:
@@ -51,7 +55,8 @@ def spot_pattern(anchors: tuple[str, ...] = ANCHORS, common: tuple[str, ...] = C
 def signature(text: Column, anchors: tuple[str, ...] = ANCHORS, common: tuple[str, ...] = COMMON, chain: int = CHAIN) -> Column:
     """The sorted distinct hashes of a text's spots.
 
-    A text with words but without a spot has the hashes of its words instead; one without words has none. Null counts as empty.
+    A text with words but without a spot has the hashes of its words instead, so that short texts can be told apart too; a set of words and a set
+    of spots have nothing in common, as two texts of which only one has spots are not alike. A text without words has none. Null counts as empty.
     """
     words = words_of(F.coalesce(text, F.lit("")))
     # a lambda's variable holds what is worked out once and used twice
@@ -59,7 +64,7 @@ def signature(text: Column, anchors: tuple[str, ...] = ANCHORS, common: tuple[st
         F.array(words),
         lambda w: F.transform(F.array(F.regexp_extract_all(w, F.lit(spot_pattern(anchors, common, chain)), F.lit(1))), lambda s: F.when(F.size(s) > 0, s).otherwise(F.filter(F.split(w, " "), lambda x: x != "")))[0],
     )[0]
-    return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.hash(s))))
+    return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.xxhash64(s))))
 
 
 def fingerprint(sig: Column) -> Column:
@@ -75,26 +80,40 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rep_a, rep_b, similarity) of pairs of distinct signature sets that are alike, and so membership in `members`.
+    """(rep_a, rep_b, similarity) of pairs of distinct signature sets that are alike; members() tells whose set a row has.
+
+    Rows with equal sets are one class, named by its smallest id (rows without an id take part in no class); each pair of classes appears once. Sets
+    without spots in common are never alike; empty sets, of null and wordless texts, are left out. An empty table gives an empty result, and further columns
+    are not carried.
 
-    Rows with equal sets are one class, named by its smallest id; each pair of classes appears once, the
-    smaller id first. Sets without spots in common are never alike; empty sets are left out. Spots are ordered from rare to
-    common over the whole corpus; two sets that are alike share one of the first
-    n - ceil(threshold * n) + 1 of each, and the smaller has at least threshold times the larger's size.
-    Returns the pairs; see members() for the classes.
+    Sets are partitioned by length, each partition 1 / threshold times as wide as the one before, so that alike sets lie in one or in
+    neighbouring partitions. Spots are ordered from rare to common over the whole corpus; two sets that are alike share one of the first
+    n - ceil(threshold * n) + 1 of each. Pairs whose sizes, or the spots left behind the shared one, do not allow the similarity are
+    dropped before sets are fetched. A spot that many sets of a partition have is dealt into pairs of blocks.
     """
-    classes = members(docs, id_col, text_col).groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    classes = stash(classes.filter(F.size("sig") > 0), "spotclasses")
-    n = F.size("sig")
-    spots = classes.select("rep", n.alias("n"), F.explode("sig").alias("spot"))
+    classes = members(docs, id_col, text_col).filter("doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    part = F.floor(F.log(F.col("n")) / F.lit(-math.log(threshold)) + 1e-9)
+    classes = stash(classes.filter(F.size("sig") > 0).withColumn("n", F.size("sig")).withColumn("part", part), "spotclasses")
+    spots = classes.select("rep", "n", "part", F.explode("sig").alias("spot"))
     often = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     ranked = spots.join(often, "spot", "left").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "spot")))
-    prefix = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & F.col("df").isNotNull()).select("rep", "n", "spot")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.spot") == F.col("b.spot")) & (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold)
-    pairs = a.join(b, fits).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b")).distinct()
-    with_sets = pairs.join(classes.select(F.col("rep").alias("rep_a"), F.col("sig").alias("sa")), "rep_a").join(classes.select(F.col("rep").alias("rep_b"), F.col("sig").alias("sb")), "rep_b")
-    return with_sets.withColumn("similarity", likeness(F.col("sa"), F.col("sb"))).filter(F.col("similarity") >= threshold).select("rep_a", "rep_b", "similarity")
+    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    prefix = stash(ranked.filter((F.col("place") <= first) & F.col("df").isNotNull()).select("rep", "n", "part", "spot", "place"), "spotprefix")
+    # a cell holds the sets of a partition and those of the next longer one
+    cells = prefix.withColumn("cell", F.explode(F.array(F.col("part"), F.col("part") - 1)))
+    size = cells.groupBy("spot", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("blocks"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    dealt = cells.join(size, ["spot", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "part", "place")]
+    a = dealt.filter("part = cell").select("spot", "cell", F.col("block").alias("i"), F.explode(others).alias("j"), *side("a"))
+    b = dealt.select("spot", "cell", F.explode(others).alias("i"), F.col("block").alias("j"), *side("b"))
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1 >= least
+    met = a.join(b, ["spot", "cell", "i", "j"]).filter((F.expr("part_b > part_a or rep_a < rep_b")) & sizes & left)
+    pairs = met.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
+    of = lambda x: classes.select(F.col("rep").alias(f"rep_{x}"), F.col("sig").alias(f"s{x}"))
+    return pairs.join(of("a"), "rep_a").join(of("b"), "rep_b").withColumn("similarity", likeness(F.col("sa"), F.col("sb"))).filter(F.col("similarity") >= threshold).select("rep_a", "rep_b", "similarity")
 
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,20 +121,17 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), signature(F.col(text_col)).alias("sig"))
 
 
-def _predecessors(ids: DataFrame, most: int = IDS_A_RANGE, levels: int = 3) -> DataFrame:
+def _predecessors(ids: DataFrame, most: int = IDS_A_RANGE) -> DataFrame:
     """(id, before): the next smaller of some distinct ids, null for the smallest.
 
-    Inside a range of ids a window finds it; the smallest id of a range follows the largest of the range
-    below, which the same step finds over one row a range. The last of `levels` steps sees one row for some most ** 2 ids.
+    Ids are dealt out by ranges of about equally many rows, whatever their values. Inside a range a window finds the next smaller id;
+    the smallest of a range follows the largest of the range below, found over one row a range, of which there are at most RANGES.
     """
-    n, low, high = ids.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
-    if levels == 1 or not n or n <= most:
-        return ids.select("id", F.lag("id").over(Window.orderBy("id")).alias("before"))
-    width = max(1, -(-(high - low + 1) // -(-n // most)))
-    ranged = ids.withColumn("range", (F.col("id") - F.pmod("id", F.lit(width))).cast("long"))
+    parts = max(1, min(RANGES, -(-ids.count() // most)))
+    ranged = stash(ids.repartitionByRange(parts, "id").withColumn("range", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("before", F.lag("id").over(Window.partitionBy("range").orderBy("id")))
-    tops = stash(ranged.groupBy("range").agg(F.min("id").alias("first"), F.max("id").alias("id")), "ranges")
-    across = _predecessors(tops.select("id"), most, levels - 1).join(tops, "id").select(F.col("first").alias("id"), F.col("before").alias("below"))
+    tops = ranged.groupBy("range").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    across = tops.select("id", F.lag("last").over(Window.orderBy("id")).alias("below"))
     return inside.join(across, "id", "left").select("id", F.coalesce("before", "below").alias("before"))
 
 
@@ -140,7 +156,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each document's set, and as much of its beginning as the one before it takes; `known` is shuffled once for both joins
     given = known.join(asked.hint("merge"), "doc_id").select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("taken")).alias("head"), signature(F.col("text")).alias("next_sig"), "text")
     given = given.groupBy("doc_id").agg(F.min_by(F.struct("head", "next_sig"), "text").alias("g")).select("doc_id", "g.*") if repeats else given.drop("text")
-    alone = nameless.withColumn("head", F.lit(None).cast("string")).withColumn("next_sig", F.lit(None).cast("array<int>"))
+    alone = nameless.withColumn("head", F.lit(None).cast("string")).withColumn("next_sig", F.lit(None).cast("array<bigint>"))
     joined = known.join(given.hint("merge"), "doc_id").unionByName(alone)
     signed = joined.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int")).withColumn("sig", signature(F.col("text")))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.coalesce("head", F.lit("")))
