@@ -154,37 +154,52 @@ def pack_tokens(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bp
     return rows.mapInArrow(run, schema)
 
 
-def id_matrices(packed: DataFrame, rows_a_matrix: int = 256, capacity: int = 2048, pad_id: int = 0) -> DataFrame:
-    """Matrices of rows_a_matrix packed rows each, padded to `capacity`: matrix_id, n_rows, ids (int32, row by row) and positions (int32).
+def id_matrices(packed: DataFrame, rows_a_matrix: int = 64, capacity: int = 2048, pad_id: int = 0, positions: bool = True) -> DataFrame:
+    """Matrices of at most rows_a_matrix packed rows each, from the rows of pack_tokens().
 
-    Positions start at 0 at each segment; padding has position 0. Each task builds its own matrices.
+    matrix_id, n_rows and ids (n_rows * capacity little-endian int32, row by row, padded with pad_id); positions, if asked for, is laid
+    out alike and starts at 0 at each segment and in padding. n_tokens, cu_seqlens, reset_at, segment_doc and segment_start hold
+    one entry a row, as in the packed rows. Each task builds its own matrices and holds one of them, so nothing is shuffled. An empty table has no matrix; rows
+    that repeat are separate rows, and null or repeated ids of documents pass through. Other columns are not carried.
     """
+    rows = packed.select("n_tokens", "input_ids", "cu_seqlens", "reset_at", "segment_doc", "segment_start")
+    nested = ["n_tokens", "cu_seqlens", "reset_at", "segment_doc", "segment_start"]
+    schema = "matrix_id long, n_rows int, ids binary, " + "positions binary, " * positions + ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in nested)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = TaskContext.get().partitionId() << 33, []
+        number = TaskContext.get().partitionId() << 33
+        held: list[pa.RecordBatch] = []
 
         def matrix() -> pa.RecordBatch:
-            ids = np.full((len(held), capacity), pad_id, "<i4")
-            positions = np.zeros((len(held), capacity), "<i4")
-            for k, (own, cu) in enumerate(held):
-                own = np.frombuffer(own, "<i4")
+            b = pa.Table.from_batches(held).combine_chunks()
+            ids, place = np.full((b.num_rows, capacity), pad_id, "<i4"), np.zeros((b.num_rows, capacity), "<i4")
+            for k, (own, cu) in enumerate(zip(b.column("input_ids").to_pylist(), b.column("cu_seqlens").to_pylist(), strict=True)):
+                own, cu = np.frombuffer(own, "<i4"), np.asarray(cu)
                 ids[k, : len(own)] = own
-                cu = np.asarray(cu)
-                positions[k, : len(own)] = np.arange(len(own)) - np.repeat(cu[:-1], np.diff(cu))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(held)], pa.int32()), pa.array([ids.tobytes()]), pa.array([positions.tobytes()])], ["matrix_id", "n_rows", "ids", "positions"])
+                if positions:
+                    place[k, : len(own)] = np.arange(len(own)) - np.repeat(cu[:-1], np.diff(cu))
+            columns = [pa.array([number], pa.int64()), pa.array([b.num_rows], pa.int32()), pa.array([ids.tobytes()], pa.binary())]
+            columns += [pa.array([place.tobytes()], pa.binary())] * positions
+            for c in nested:
+                own = b.column(c).combine_chunks()
+                columns.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
+            return pa.RecordBatch.from_arrays(columns, ["matrix_id", "n_rows", "ids", *["positions"] * positions, *nested])
 
         for b in batches:
-            for own in zip(b.column("input_ids").to_pylist(), b.column("cu_seqlens").to_pylist(), strict=True):
-                held.append(own)
-                if len(held) == rows_a_matrix:
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, rows_a_matrix - sum(x.num_rows for x in held))
+                held.append(part)
+                at += part.num_rows
+                if sum(x.num_rows for x in held) == rows_a_matrix:
                     yield matrix()
                     number, held = number + 1, []
         if held:
             yield matrix()
 
-    return packed.select("input_ids", "cu_seqlens").mapInArrow(run, "matrix_id long, n_rows int, ids binary, positions binary")
+    return rows.mapInArrow(run, schema)
 
 
 def op1_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into rows of 2048 ids."""
-    return pack_tokens(documents(spark, sf_dir))
+    """All documents as matrices of rows of 2048 ids, with the cumulative lengths, resets, documents and starts of the rows' segments."""
+    return id_matrices(pack_tokens(documents(spark, sf_dir)), positions=False)
