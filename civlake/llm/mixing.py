@@ -29,15 +29,15 @@ EPS = 1e-9
 EXCHANGES = 16
 
 
-def flight(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
+def flight(sizes: np.ndarray, p: np.ndarray, seed: int = 0) -> np.ndarray:
     """Move probabilities until at most two are fractional, holding their sum and their sum weighted by size.
 
     Three fractional units at a time: the null vector of [[1, 1, 1], [s1, s2, s3]] is
     (s3 - s2, s1 - s3, s2 - s1). The step is drawn so that expectations hold; the generator
-    is seeded by the shard's own rows, so that reruns agree.
+    is seeded by the shard's own rows (their number, words and the seed given), so that reruns agree.
     """
     p, s = p.tolist(), sizes.astype(float).tolist()
-    rng = np.random.default_rng(len(s) * 1_000_003 + int(sum(s)) % 1_000_003)
+    rng = np.random.default_rng([len(s), int(sum(s)) & (1 << 60) - 1, seed & (1 << 63) - 1])
     draws = iter(rng.random(len(s) + 8).tolist())
     held: list[int] = []
     for k in range(len(p)):
@@ -93,7 +93,7 @@ def landing(sizes: np.ndarray, p: np.ndarray) -> np.ndarray:
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     # largest first, so that small documents are left for the landing
     pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    pdf["p"] = flight(pdf["size"].to_numpy(), pdf["p"].to_numpy())
+    pdf["p"] = flight(pdf["size"].to_numpy(), pdf["p"].to_numpy(), int(np.bitwise_xor.reduce(pdf["order"].to_numpy())))
     if pdf["last"].iloc[0]:
         pdf["p"] = landing(pdf["size"].to_numpy(float), pdf["p"].to_numpy())
     return pdf
@@ -125,7 +125,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
     Null texts have size 0; a null source is a source of its own; a source without words has target
     0 and no copies. Rows that repeat an id are separate documents. A null id sorts last. An empty
-    table gives an empty result, and further columns of docs are not carried.
+    table gives an empty result, and further columns of docs are not carried. Of equal rows any may be the one that is taken more often.
+
+    A source whose target is a whole multiple of its words is met exactly. Any other misses its target by less than the largest of the at most `shard_docs`
+    documents that take part in its landing, as a rule by far less, since these are small and exchanges follow.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
     base = stash(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *others), "sizes")

@@ -173,4 +173,5 @@ def token_counts(docs: DataFrame, limit: int = 512, tokenizer: str = "byte_bpe_5
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, against a limit of 512."""
     return token_counts(documents(spark, sf_dir))
