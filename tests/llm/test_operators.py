@@ -77,6 +77,15 @@ def test_packing_loses_nothing(docs, texts, empty):
     for k, t in enumerate(texts):
         assert [x for s in sorted(own[k]) for x in own[k][s]] == [*enc.encode_ordinary(t or ""), 50256]
     matrices = packing.id_matrices(packed, 8, 64).collect()
+    rows = packed.orderBy("pack_id").collect()
+    at = 0
+    for m in sorted(matrices, key=lambda m: m["matrix_id"]):
+        ids, places = (np.frombuffer(m[c], "<i4").reshape(m["n_rows"], 64) for c in ("ids", "positions"))
+        for k, r in enumerate(rows[at : at + m["n_rows"]]):
+            assert ids[k].tobytes() == bytes(r["input_ids"]) + bytes(4 * (64 - r["n_tokens"]))
+            assert [c for c in ("n_tokens", "cu_seqlens", "reset_at", "segment_doc", "segment_start") if m[c][k] != r[c]] == []
+            assert places[k].tolist() == [i - max(s for s in r["reset_at"] if s <= i) for i in range(r["n_tokens"])] + [0] * (64 - r["n_tokens"])
+        at += m["n_rows"]
     assert sum(m["n_rows"] for m in matrices) == packed.count()
     assert packing.pack_tokens(empty).count() == 0
 
@@ -246,14 +255,20 @@ def test_predecessors_over_many_ranges(spark):
     assert got == dict(zip(ids, [None, *ids[:-1]], strict=True))
 
 
-def test_spot_near_duplicates(spark):
+def test_spot_near_duplicates(spark, monkeypatch):
     rng = random.Random(8)
     base = [" ".join(rng.choice(["the", "is", "le", f"w{rng.randrange(500)}", f"w{rng.randrange(500)}"]) for _ in range(150)) for _ in range(12)]
-    rows = [(k, t) for k, t in enumerate(base + [b + " tail end" for b in base])]
+    rows = [(k, t) for k, t in enumerate(base + [b + " tail end" for b in base] + [b.rsplit(" ", n)[0] for b in base for n in (8, 15, 25, 40)])] + [(None, base[0]), (3, base[3])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sigs = {r["doc_id"]: set(r["sig"]) for r in spot_signatures.members(df).collect()}
-    want = {(a, b) for a in sigs for b in sigs if a < b and sigs[a] != sigs[b] and len(sigs[a] & sigs[b]) >= 0.8 * len(sigs[a] | sigs[b])}
+    reps = {}
+    for r in spot_signatures.members(df).filter("doc_id is not null").collect():
+        reps[frozenset(r["sig"])] = min(r["doc_id"], reps.get(frozenset(r["sig"]), r["doc_id"]))
+    want = {tuple(sorted((reps[a], reps[b]))) for a in reps for b in reps if a != b and len(a & b) >= 0.8 * len(a | b)}
+    assert len(want) > 60
     assert {(r["rep_a"], r["rep_b"]) for r in spot_signatures.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(spot_signatures, "CELL_ROWS", 3)
+    assert {(r["rep_a"], r["rep_b"]) for r in spot_signatures.near_duplicates(df).collect()} == want
+    assert spot_signatures.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_exact_dedup(docs, texts, empty):
@@ -383,3 +398,133 @@ def test_pipeline_stages_on_rows_without_ids_and_of_one_id(spark):
     many = spark.createDataFrame([(3, f"p{k} q r s", None, "s", 1) for k in range(4)] + [(None, f"n{k} q r s", None, "s", 1) for k in range(4)], SCHEMA)
     got = collections.Counter(r["text"] for r in corpus_pipeline.mixed(spark, many, SMALL).collect())
     assert sum(got.values()) == 12 and set(got.values()) == {1, 2} and len(got) == 8
+
+
+def brute_signature(text):
+    """The spots of a text, word by word: an anchor, then a chain of words that are not common, up to three common ones before each."""
+    words = re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower())
+    words = [w for w in words if w]
+    common, spots = set(spot_signatures.COMMON), set()
+    for i, w in enumerate(words):
+        if w in spot_signatures.ANCHORS:
+            at, chain = i + 1, [w]
+            for _ in range(spot_signatures.CHAIN):
+                start = at
+                while at < len(words) and words[at] in common and at - start < 3:
+                    at += 1
+                if at >= len(words) or words[at] in common:
+                    break
+                chain += words[start : at + 1]
+                at += 1
+            else:
+                spots.add(" ".join(chain))
+    return spots or set(words)
+
+
+def test_signatures_and_likeness_against_brute_force(spark, docs, texts):
+    rng = random.Random(12)
+    pool = "the is was to of and a in der und la el red blue green car Haus maison 12 x-ray".split()
+    made_texts = [" ".join(rng.choices(pool, k=rng.randrange(60))) for _ in range(60)] + texts
+    df = spark.createDataFrame(list(enumerate(made_texts)), "doc_id long, text string")
+    got = by_id(spot_signatures.edited_and_next(df))
+    names = {}
+    sizes = {r["doc_id"]: r["n"] for r in spot_signatures.members(df).select("doc_id", F.size("sig").alias("n")).collect()}
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for k, t in enumerate(made_texts):
+        t, nxt = t or "", made_texts[k - 1] or ""
+        cut = len(t) // 3
+        own, edited, other = (brute_signature(x) for x in (t, t[: len(t) - cut] + nxt[:cut], nxt))
+        assert sizes[k] == len(own), k
+        assert names.setdefault(frozenset(own), got[k]["fingerprint"]) == got[k]["fingerprint"]
+        tagged = [{(" " in x, x) for x in s} if any(" " in x for x in s) else {(False, x) for x in s} for s in (own, edited, other)]
+        assert got[k]["near_edited"] == pytest.approx(like(tagged[0], tagged[1])), k
+        assert got[k]["near_next"] == pytest.approx(like(tagged[0], tagged[2])), k
+
+
+def test_predecessors_with_an_id_far_away(spark):
+    ids = [*range(5000), 4 * 10**18]
+    df = spot_signatures._predecessors(spark.range(5000).select(F.col("id")).unionByName(spark.createDataFrame([(4 * 10**18,)], "id long")), 100)
+    assert dict(df.collect()) == dict(zip(ids, [None, *ids[:-1]], strict=True))
+
+
+def test_language_id_equals_plain_compression(spark):
+    import zstandard
+
+    held = (("b", b"the cat sat on the mat and the dog " * 20), ("a", b"der hund und die katze sitzen auf " * 20))
+    rng = random.Random(3)
+    for _ in range(40):
+        text = " ".join(rng.choices("the cat dog sat hund katze und die 12 ! naive".split(), k=rng.randrange(1, 900)))
+        own = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()).encode()
+        sizes = []
+        for _, d in held:
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(own[i : i + language_id.BLOCK_BYTES])) for i in range(0, len(own), language_id.BLOCK_BYTES)))
+        got = language_id.classify(text, held)
+        if sizes[0] + sizes[1]:
+            assert got[0] == held[sizes[1] < sizes[0]][0] and got[1] == pytest.approx(1 - min(sizes) / max(sizes))
+
+
+def test_language_id_of_texts_without_letters_null_ids_and_clashes(spark):
+    rows = [(None, "\u00b2 \u00bd 3 \u2460 \u2163"), (1, "123 --"), (1, None), (2, ""), (None, "wort und wort"), (2, "\u0301")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x"))
+    got = language_id.identify(df, {"de": b"wort und satz", "en": b"word and phrase"}).collect()
+    assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(k, "de" if t and "wort" in t else "und") for k, t in rows]
+    assert {r["score"] for r in got if r["lang_pred"] == "und"} == {0.0}
+    many = spark.createDataFrame([(None, f"{x} {x}{x}", x) for x in "abcdef"] + [(None, "f f", "f")], "doc_id long, text string, lang string")
+    assert list(language_id.train(many, languages=2)) == ["f", "a"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_quality_with_few_positives(spark, docs, n):
+    trusted = spark.createDataFrame([(k,) for k in range(n)] + [(None,)] * 2, "doc_id long")
+    scorer = quality.fit(docs, trusted)
+    rows = quality.score(docs.withColumn("score", F.lit("clash")), scorer).collect()
+    assert all(0 <= r["score"] <= 1 for r in rows) and len({(r["text"] or "", r["score"]) for r in rows}) == len({r["text"] or "" for r in rows})
+
+
+def test_quality_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "_fit", lambda x, positive, prior, seed=7: seen.append(len(x)) or [np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
+    many = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("a text "), F.col("id").cast("string")).alias("text"))
+    quality.fit(many, spark.createDataFrame([(0,)], "doc_id long"), positives=5, unlabelled=5)
+    assert max(seen) == 3
+
+
+def test_quality_risk_gradient_against_finite_differences():
+    rng = np.random.default_rng(0)
+    x, positive, prior = rng.normal(0, 1, (40, 5)), np.arange(40) < 12, 0.4
+    w = [rng.normal(0, 1, (5, quality.HIDDEN)), rng.normal(0, 1, quality.HIDDEN), rng.normal(0, 1, quality.HIDDEN), rng.normal(0, 1, 1)]
+
+    def risk(w):
+        z = np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
+        as_positive, as_negative = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+        return prior * as_positive[positive].mean() + as_negative[~positive].mean() - prior * as_negative[positive].mean()
+
+    value, grads = quality.risk_and_gradient(w, x, positive, prior)
+    assert value == pytest.approx(risk(w))
+    for k, part in enumerate(w):
+        for at in list(np.ndindex(part.shape))[:6]:
+            more, less = [p.copy() for p in w], [p.copy() for p in w]
+            more[k][at] += 1e-6
+            less[k][at] -= 1e-6
+            assert grads[k][at] == pytest.approx((risk(more) - risk(less)) / 2e-6, abs=1e-5)
+
+
+def test_join_hot_equals_a_plain_join(spark, monkeypatch):
+    from civlake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(500).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 40).alias("k"), "id")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most"))
+    want = sorted(map(tuple, rows.join(keyed, "k").select("k", "id", "n", "most").collect()))
+    assert sorted(map(tuple, common.join_hot(rows, keyed, ["k"], "n", 500).select("k", "id", "n", "most").collect())) == want
+
+
+def test_repeats_with_very_many_copies_of_a_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_ROWS", 20)
+    rng = random.Random(4)
+    hot, part = ("".join(rng.choices("abcdefg ", k=500)) for _ in range(2))
+    texts = [hot] * 60 + ["short"] * 60 + [hot[100:350] + part, part[:300], part[50:260], None, "", "x" * 600]
+    df = spark.createDataFrame([(k % 70, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r)[1:] for r in repeats.remove_repeats(df).collect())
+    assert got == sorted(brute_repeats(texts, 200))
