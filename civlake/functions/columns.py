@@ -42,20 +42,24 @@ def rounded(x: Column) -> Column:
 
 def place_key(name: Column) -> Column:
     """A place's name to compare by: upper case, without punctuation, kind of place or state."""
-    bare = F.regexp_replace(F.upper(clean(name)), "[.,']", "")
-    bare = F.regexp_replace(bare, "^(CITY|VILLAGE|TOWN) OF ", "")
-    bare = F.regexp_replace(bare, " (CITY|VILLAGE|TWP|TOWNSHIP|CORP)$", "")
-    bare = F.regexp_replace(bare, "^SAINT ", "ST ")
-    return F.regexp_replace(bare, "^(MOUNT|MT) ", "MT ")
+    s = F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"\b(?:THE\s+)?(?:CITY|VILLAGE)\s+OF\b", " ")
+    s = F.regexp_replace(s, "[^A-Z0-9 ]", " ")
+    for pattern, short in ((r"\b(?:HEIGHTS|HGTS)\b", "HTS"), (r"\bMOUNT\b", "MT"), (r"\bSAINT\b", "ST"), (r"\s+OH(?:IO)?\s*$", ""), (r"\s+(?:TOWNSHIP|TWP|CITY|VILLAGE)\s*$", "")):
+        s = F.regexp_replace(s, pattern, short)
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
 def title_case(name: Column) -> Column:
-    """Each word and hyphenated part capitalised, and the letter after Mc."""
-    lower = F.lower(clean(name))
-    part = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))
-    mc = lambda p: F.when(p.rlike("^mc[a-z]{2}"), F.concat(F.lit("Mc"), part(F.substring(p, 3, 1 << 20)))).otherwise(part(p))
-    word = lambda w: F.array_join(F.transform(F.split(w, "-"), mc), "-")
-    return F.array_join(F.transform(F.split(lower, " "), word), " ")
+    """Each word capitalised, the letter after Mc too; "-on-", "-the-" and "-of-" inside hyphens stay small."""
+    # a word begins behind anything that is not a letter, a digit or an underscore
+    words = F.split(F.lower(clean(name)), "(?<=[^a-z0-9_])(?=[a-z0-9_])")
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    begin = lambda w: F.concat(F.translate(F.substring(w, 1, 1), small, large), F.substring(w, 2, 1 << 20))
+    word = lambda w: F.when(w.rlike("^mc[a-z]"), F.concat(F.lit("Mc"), begin(F.substring(w, 3, 1 << 20)))).otherwise(begin(w))
+    named = F.array_join(F.transform(words, word), "")
+    for w in ("On", "The", "Of"):
+        named = F.regexp_replace(named, f"-{w}(?=-)", f"-{w.lower()}")
+    return named
 
 
 def parcel_key(raw: Column) -> Column:
@@ -73,6 +77,13 @@ def assessed(value: Column, rate: float = 0.35) -> Column:
     return rounded(value * rate / 10) * 10
 
 
+def assessed_value(land: Column, building: Column, total: Column, rule: str) -> Column:
+    """By "components", land and building each rounded, or by "total"; counties differ."""
+    if rule not in ("components", "total"):
+        raise ValueError(f"no rule {rule}")
+    return assessed(total) if rule == "total" else assessed(land) + assessed(building)
+
+
 def general_election_day(year: Column) -> Column:
     """The Tuesday after the first Monday in November."""
     return F.date_add(F.next_day(F.make_date(year, F.lit(10), F.lit(31)), "Mon"), 1)
@@ -85,8 +96,18 @@ def iso_date(text: Column) -> Column:
     return F.when(y == "", F.lit("")).otherwise(F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
 
 
+def any_date(value: Column) -> Column:
+    """iso_date, and days since the end of 1899 as spreadsheets count them, and yyyymmdd; anything else as the empty text."""
+    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    days = F.regexp_extract(text, r"^(\d{5})(?:\.\d+)?$", 1).try_cast("int")
+    compact = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return F.when(days.isNotNull(), F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), days), "yyyy-MM-dd")).when(text.rlike(r"^\d{8}$"), compact).otherwise(iso_date(text))
+
+
 def decoded_entities(html: Column) -> Column:
-    """The five named entities and the no-break space as characters; the ampersand last."""
+    """The five named entities, the no-break space and decimal numbers of ASCII characters as characters; the ampersand last."""
+    codes = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r"&#(\d{2,3});"), F.lit(1)), lambda n: n.cast("int")))
+    html = F.aggregate(F.filter(codes, lambda n: (n > 31) & (n < 127)), html, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n.cast("string"), F.lit(";")), F.char(n)))
     for name, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         html = F.replace(html, F.lit(name), F.lit(plain))
     return html

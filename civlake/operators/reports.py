@@ -144,3 +144,15 @@ def undated_returns(voters: DataFrame, as_of: str) -> DataFrame:
     back = F.col("ballot") == "returned"
     late = F.to_date("returned") > F.lit(as_of).cast("date")
     return voters.agg(count_if(back).alias("returned"), count_if(back & late).alias("undated"), F.date_format(F.max(F.when(back & ~late, F.to_date("returned"))), "yyyy-MM-dd").alias("latest"))
+
+
+def match_status(lookups: DataFrame, matches: DataFrame, apps: DataFrame, state: str = "39") -> DataFrame:
+    """lookup, status and links of each lookup: found, none, not-ohio (no match in the state) or no-app (none in a county with an app).
+
+    matches have lookup and fips, a county's five digits; apps have fips. A lookup may have no match.
+    """
+    known = matches.join(apps.select("fips", F.lit(True).alias("app")), "fips", "left")
+    inside = F.col("fips").startswith(state) & (F.length("fips") == 5)
+    counted = known.groupBy("lookup").agg(count_if(inside).alias("inside"), count_if(inside & F.col("app").isNotNull()).alias("links"))
+    status = F.when(F.col("inside").isNull(), "none").when(F.col("inside") == 0, "not-ohio").when(F.col("links") == 0, "no-app").otherwise("found")
+    return lookups.join(counted, "lookup", "left").select("lookup", status.alias("status"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

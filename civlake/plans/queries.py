@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civlake.functions import columns as C
-from civlake.operators import address, elections, ingest, jobs, parcels, ranking, reports, spatial
+from civlake.operators import address, elections, ingest, parcels, ranking, reports, spatial
 from civlake.operators.selection import Selection, facet_counts, voted_in, word_prefixes
+from civlake.plans import job_queries, text_queries  # noqa: F401  register their queries
 from civlake.plans.adapter import ELECTIONS, A, V, address_points, addresses, table, voters, votes
+from civlake.plans.registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a function as a query of its name; doubles are rounded to 6 places, as the SQL does."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 BITS = "(SELECT unnest(range(7))::INTEGER AS bit) b"
 NV, NE = "bit_count(mask & 63)", "bit_count(elig & 63)"
@@ -348,47 +330,6 @@ def range_expand(spark, d):
     return p.select("p_partkey", F.explode(address.expanded_range(F.col("lo"), F.col("hi"))).alias("number"))
 
 
-@query("""SELECT n_nationkey, regexp_replace(regexp_replace(upper(trim(CASE n_nationkey % 3 WHEN 0 THEN 'City of ' || n_name WHEN 1 THEN n_name || ' Twp.' ELSE '  ' || n_name END)), '[.,'']', '', 'g'), '^(CITY|VILLAGE|TOWN) OF | (CITY|VILLAGE|TWP|TOWNSHIP|CORP)$', '') AS place FROM nation""")
-def place_key(spark, d):
-    n = table(spark, d, "nation")
-    k = F.col("n_nationkey") % 3
-    raw = F.when(k == 0, F.concat(F.lit("City of "), "n_name")).when(k == 1, F.concat("n_name", F.lit(" Twp."))).otherwise(F.concat(F.lit("  "), "n_name"))
-    return n.select("n_nationkey", C.place_key(raw).alias("place"))
-
-
-@query("""WITH n AS (SELECT c_custkey AS id, (100 + c_custkey * 7 % 400)::VARCHAR AS number, ['MAIN ST', 'N HIGH ST', 'OAK AVE NE', 'ELM DR', 'S PARK RD W', 'RIVER LN'][(c_custkey % 6 + 1)::INTEGER] AS street FROM customer)
-SELECT id, number::INTEGER AS number, street, regexp_replace(street, '( (N|S|E|W|NE|NW|SE|SW))+$', '') AS plain, ['MAIN', 'HIGH', 'OAK', 'ELM', 'PARK', 'RIVER'][(id % 6 + 1)::INTEGER] AS core FROM n""")
-def tokenize_core(spark, d):
-    spelled = ("Main Street", "North High St.", "Oak Avenue Northeast Apt 4", "ELM  Drive", "South Park Road West #2", "river lane")
-    c = table(spark, d, "customer")
-    k = F.col("c_custkey")
-    raw = F.concat_ws(" ", (100 + k * 7 % 400).cast("string"), F.element_at(F.array(*map(F.lit, spelled)), (k % 6 + 1).cast("int")))
-    n = c.select(k.alias("id"), address.normalised(raw).alias("n"))
-    street = address.street_of(F.col("n"))
-    return n.select("id", address.house_number(F.col("n")).alias("number"), street.alias("street"), address.without_quadrant(street).alias("plain"), address.core_name(street).alias("core"))
-
-
-_PLAIN = "regexp_replace({0}, '( (N|S|E|W|NE|NW|SE|SW))+$', '')"
-_CORE = f"regexp_replace(regexp_replace({_PLAIN}, '^(N|S|E|W|NE|NW|SE|SW) ', ''), ' (ST|AVE|RD|DR|LN|CT)$', '')"
-_FORMS = " UNION ALL ".join(f"SELECT *, {2 * k + j} AS priority, concat_ws('|', '{k}{c}', number, {form.format('street')}, {place}) AS key FROM {{0}}" for k, form in enumerate(("{0}", _PLAIN, _CORE)) for j, (c, place) in enumerate((("c", "city"), ("z", "zip"))))
-
-
-@query(A + f""", kp AS ({_FORMS.format("p")}), ka AS ({_FORMS.format("a")}),
-g AS (SELECT key, count(*) AS candidates, avg(lat) AS lat, avg(lon) AS lon, max(lat) - min(lat) AS dlat, max(lon) - min(lon) AS dlon FROM kp GROUP BY 1),
-h AS (SELECT id, priority, lat, lon, candidates, row_number() OVER (PARTITION BY id ORDER BY priority) AS k FROM ka JOIN g USING (key) WHERE priority < 2 OR (dlat < 0.004 AND dlon < 0.004))
-SELECT id, (priority // 2 + 1)::INTEGER AS tier, round(lat, 6) AS lat, round(lon, 6) AS lon, candidates FROM h WHERE k = 1""")
-def match_tiers(spark, d):
-    return address.match_tiers(addresses(spark, d), address_points(spark, d))
-
-
-@query(A + """, q AS (SELECT street, zip, number, avg(lat) AS lat, avg(lon) AS lon FROM p GROUP BY ALL),
-n AS (SELECT id, abs(q.number - a.number) + CASE WHEN (q.number - a.number) % 2 <> 0 THEN 0.5::DOUBLE ELSE 0 END AS distance, lat, lon FROM a JOIN q USING (street, zip) WHERE abs(q.number - a.number) <= 60),
-t AS (SELECT id, distance, avg(lat) AS lat, avg(lon) AS lon, max(lat) - min(lat) AS dlat, max(lon) - min(lon) AS dlon, row_number() OVER (PARTITION BY id ORDER BY distance) AS k FROM n GROUP BY 1, 2)
-SELECT id, distance, round(lat, 6) AS lat, round(lon, 6) AS lon FROM t WHERE k = 1 AND dlat < 0.012 AND dlon < 0.012""")
-def match_nearest(spark, d):
-    return address.match_nearest(addresses(spark, d), address_points(spark, d))
-
-
 PLACES = [
     spatial.Polygon("North Twp", 1, (((-83.2, 40.0), (-82.8, 40.0), (-82.8, 40.3), (-83.2, 40.3)),)),
     spatial.Polygon("Hub City", 0, (((-83.1, 39.9), (-82.9, 39.9), (-82.9, 40.1), (-83.1, 40.1)), ((-83.02, 39.98), (-82.98, 39.98), (-82.98, 40.02), (-83.02, 40.02)))),
@@ -426,40 +367,12 @@ def ring_metrics(spark, d):
     return rings.select("vec_id", F.abs(spatial.shoelace(F.col("ring"))).alias("area"), F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"))
 
 
-_RUN = "WITH r AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'view' THEN 'cancelled' ELSE 'success' END AS conclusion, value FROM events) "
-
-
-def _runs(spark, d):
-    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "view", "cancelled").otherwise("success")
-    return table(spark, d, "events").select("event_id", "user_id", "ts", kind.alias("conclusion"), "value")
-
-
-@query(_RUN + """SELECT user_id, count(*) AS runs, count(*) FILTER (conclusion = 'success') AS success, count(*) FILTER (conclusion = 'failure') AS failure, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_started,
-  arg_max(conclusion, (ts, conclusion)) AS last_conclusion, floor(quantile_cont(value, 0.5) + 0.5)::BIGINT AS median_s, count(*) FILTER (conclusion = 'cancelled') AS other FROM r GROUP BY 1""")
-def run_summary(spark, d):
-    return jobs.run_summary(_runs(spark, d), "user_id", "ts", "conclusion", "value").withColumn("last_started", F.date_format("last_started", "yyyy-MM-dd HH:mm:ss"))
-
-
-@query("""SELECT event_id, strftime(slot, '%Y-%m-%d %H:%M') AS slot, floor(epoch_us(ts - slot) / 60e6 + 0.5)::BIGINT AS delay_min FROM (SELECT event_id, ts,
-  CASE WHEN ts >= date_trunc('day', ts) + INTERVAL '7 hours 17 minutes' THEN date_trunc('day', ts) ELSE date_trunc('day', ts) - INTERVAL 1 DAY END + INTERVAL '7 hours 17 minutes' AS slot FROM events)""")
-def cron_asof_delay(spark, d):
-    return jobs.with_delay(table(spark, d, "events"), "17 7 * * *", "ts").select("event_id", F.date_format("slot", "yyyy-MM-dd HH:mm").alias("slot"), "delay_min")
-
-
 @query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS d FROM events), i AS (SELECT user_id, d, d - (row_number() OVER (PARTITION BY user_id ORDER BY d))::INTEGER AS g FROM d)
 SELECT user_id, min(d) AS first_day, max(d) AS last_day, count(*) AS days FROM i GROUP BY user_id, g""")
 def gaps_islands(spark, d):
     return ranking.runs_of_days(table(spark, d, "events").withColumn("day", F.to_date("ts")), ["user_id"], "day")
 
 
-@query("""WITH l AS (SELECT user_id, max(ts) AS t FROM events GROUP BY 1), n AS (SELECT user_id, t, date_trunc('day', t) + INTERVAL '7 hours 17 minutes' AS s FROM l),
-x AS (SELECT user_id, t, CASE WHEN s > t THEN s ELSE s + INTERVAL 1 DAY END AS s FROM n)
-SELECT user_id, strftime(s, '%Y-%m-%d %H:%M') AS next_slot, s + INTERVAL 12 HOURS < TIMESTAMP '2024-01-31 00:00:00' AS missed FROM x""")
-def missed_runs(spark, d):
-    out = jobs.missed_runs(table(spark, d, "events"), "user_id", "ts", "17 7 * * *", "2024-01-31 00:00:00")
-    return out.select("user_id", F.date_format("next_slot", "yyyy-MM-dd HH:mm").alias("next_slot"), "missed")
-
-
 @query("""SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS href
 FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages)""")
 def link_extract(spark, d):
