@@ -25,26 +25,36 @@ def is_returned(date: Column, method: Column, status: Column) -> Column:
     return date.isNotNull() & ~F.upper(F.coalesce(method, F.lit(""))).isin(*NOT_BACK) & (F.coalesce(status, F.lit("")) != "REFUSED TO VOTE")
 
 
-def upsert(roll: DataFrame, ballots: DataFrame, key: str, column: str) -> DataFrame:
-    """roll with the ballot column renewed, and rows for ballots whose voter is not on it; matched says which.
+def upsert(roll: DataFrame, ballots: DataFrame, key: str, column: str, live_bit: int | None = None) -> DataFrame:
+    """roll with the ballot column renewed, and rows for ballots whose voter is not on it; matched and added say which.
 
-    The column is dropped first, so that a second run gives the same rows.
+    What an earlier run put in is taken out first, so that a second run gives the same rows: the column, rows that only a ballot brought (added), and,
+    if live_bit names the election in progress, that bit of mask. With live_bit, the bit is set for ballots whose column is not null.
     """
-    bare = roll.drop(column, "matched", "added").withColumn("__on", F.lit(True))
+    bare = roll
+    if "added" in roll.columns:
+        bare = bare.filter(~F.coalesce(F.col("added"), F.lit(False)))
+    if live_bit is not None:
+        bare = bare.withColumn("mask", F.col("mask").bitwiseAND(F.lit(~(1 << live_bit))))
+    bare = bare.drop(column, "matched", "added").withColumn("__on", F.lit(True))
     both = bare.join(ballots.select(key, column).withColumn("__has", F.lit(True)), key, "full_outer")
     has, on = F.col("__has").isNotNull(), F.col("__on").isNotNull()
-    return both.withColumn("matched", on & has).withColumn("added", ~on).drop("__on", "__has")
+    out = both.withColumn("matched", on & has).withColumn("added", ~on)
+    if live_bit is not None:
+        out = out.withColumn("mask", F.coalesce("mask", F.lit(0)).bitwiseOR(F.when(has & F.col(column).isNotNull(), F.lit(1 << live_bit)).otherwise(0)))
+    return out.drop("__on", "__has")
 
 
 def merge_exports(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
-    """key, the newest value of each field, and how often each changed from one export to the next."""
+    """key, the newest value of each field, how often each changed from one export to the next, and mask, any bit of any export, if rows have one."""
     w = Window.partitionBy(key).orderBy(order)
     changes = rows
     for f in fields:
         before = F.lag(f).over(w)
         changes = changes.withColumn(f"__{f}", (before.isNotNull() & ~before.eqNullSafe(F.col(f))).cast("int"))
     newest = [F.max_by(f, order).alias(f) for f in fields]
-    return changes.groupBy(key).agg(*newest, *[F.sum(f"__{f}").cast("long").alias(f"{f}_changes") for f in fields])
+    masks = [F.bit_or("mask").alias("mask")] * ("mask" in rows.columns)
+    return changes.groupBy(key).agg(*newest, *masks, *[F.sum(f"__{f}").cast("long").alias(f"{f}_changes") for f in fields])
 
 
 def resolve_precinct(rows: DataFrame, prior: DataFrame, neighbours: DataFrame) -> DataFrame:

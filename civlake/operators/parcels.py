@@ -27,13 +27,54 @@ def district_counts(parcels: DataFrame, district: str, other: str = "Unassigned"
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("district") == other, "district")))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """column, rows, blank, zero, blank_pct for every column, in one pass; blank_pct is null without rows."""
-    text = lambda c: F.col(c).cast("string")
-    sums = [x for k, c in enumerate(df.columns) for x in (count_if(F.coalesce(F.trim(text(c)), F.lit("")) == "").alias(f"b{k}"), count_if(F.expr(f"try_cast(`{c}` as double)") == 0).alias(f"z{k}"))]
+def column_profile(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """column, rows, blank, zero, blank_pct, avg_bytes (as JSON) and absent for every column, or those named, in one pass.
+
+    blank_pct and avg_bytes are null without rows. A named column that df lacks is blank everywhere and absent.
+    """
+    names = names or df.columns
+    has = {c: c in df.columns for c in names}
+    text = lambda c: F.col(f"`{c}`").cast("string") if has[c] else F.lit(None).cast("string")
+    number = {c: dict(df.dtypes).get(c, "string") not in ("string",) for c in names}
+    sums = []
+    for k, c in enumerate(names):
+        blank = F.coalesce(F.trim(text(c)), F.lit("")) == ""
+        size = F.length(F.coalesce(text(c), F.lit(""))) + F.when(text(c).isNull() | F.lit(not number[c]), 2).otherwise(0)
+        sums += [count_if(blank).alias(f"b{k}"), count_if(text(c).try_cast("double") == 0).alias(f"z{k}"), F.avg(size).alias(f"s{k}")]
     row = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
-    out = row.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{k}").alias("blank"), F.col(f"z{k}").alias("zero")) for k, c in enumerate(df.columns)])).alias("s"))
-    return out.select("s.column", "rows", "s.blank", "s.zero", F.try_divide(F.col("s.blank") * 100.0, F.col("rows")).alias("blank_pct"))
+    structs = [F.struct(F.lit(c).alias("column"), F.col(f"b{k}").alias("blank"), F.col(f"z{k}").alias("zero"), F.col(f"s{k}").alias("avg_bytes"), F.lit(not has[c]).alias("absent")) for k, c in enumerate(names)]
+    out = row.select("rows", F.explode(F.array(*structs)).alias("s"))
+    return out.select("s.column", "rows", "s.blank", "s.zero", F.try_divide(F.col("s.blank") * 100.0, F.col("rows")).alias("blank_pct"), "s.avg_bytes", (F.col("s.absent") & (F.col("rows") > 0)).alias("absent"))
+
+
+#: What the names of columns of values look like (fixed values).
+VALUE_NAMES = "(?i)VAL|MKT|MARKET|APPR|ASSD|ASSESS|TAXABLE|TAX_|LAND|BLDG|BUILDING|IMPR|TOT"
+
+
+def value_columns(df: DataFrame, pattern: str = VALUE_NAMES, share: float = 0.3) -> DataFrame:
+    """column, numbers, rows: columns named like values of which at least a share of the rows are numbers; one scan."""
+    import re
+
+    names = [c for c in df.columns if re.search(pattern, c)]
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[count_if(F.col(f"`{c}`").cast("string").try_cast("double").isNotNull()).alias(f"n{k}") for k, c in enumerate(names)])
+    structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("numbers")) for k, c in enumerate(names)]
+    out = counts.select("rows", F.explode(F.array(*structs) if structs else F.array().cast("array<struct<column:string,numbers:bigint>>")).alias("s"))
+    return out.select("s.column", "s.numbers", "rows").filter(F.col("numbers") >= F.col("rows") * share)
+
+
+def distinct_values(df: DataFrame, column: str, top: int = 30, least: int = 2, most: int = 50) -> DataFrame:
+    """value, n, distinct: the most frequent values of a column that has from `least` to `most` different ones; no rows otherwise. Blanks are one value."""
+    v = F.coalesce(F.nullif(F.trim(F.col(column).cast("string")), F.lit("")), F.lit("(blank)"))
+    counts = df.groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # of too many values no more than one over the limit are looked at
+    n = counts.limit(most + 1).agg(F.count(F.lit(1)).alias("distinct"))
+    return counts.crossJoin(F.broadcast(n)).filter(F.col("distinct").between(least, most)).orderBy(F.desc("n"), "value").limit(top)
+
+
+def pin_coverage(points: DataFrame) -> DataFrame:
+    """One row: rows, pinned (with both coordinates, neither zero), pct; pct is null without rows."""
+    pinned = F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("lat") != 0) & (F.col("lon") != 0)
+    return points.agg(F.count(F.lit(1)).alias("rows"), count_if(pinned).alias("pinned")).withColumn("pct", F.try_divide(F.col("pinned") * 100.0, F.col("rows")))
 
 
 def date_profile(df: DataFrame, column: str) -> DataFrame:
@@ -58,11 +99,11 @@ def placeholder_values(df: DataFrame, column: str, sentinels: list[str]) -> Data
 
 
 def ratio_medians(df: DataFrame, columns: list[str], low: float = 0.05, high: float = 1.001) -> DataFrame:
-    """a, b, upper_median, kind: the upper median of b / a for each ordered pair, if it lies within the limits (one way then).
+    """a, b, upper_median, kind: the upper median of b / a, over rows with a above 0, for each ordered pair, if it lies within the limits (one way then).
 
     kind says what a share of that size is: 'same', 'assessed' (about 0.35) or 'other'.
     """
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.try_divide(F.col(b), F.col(a)), 6).alias("r")) for a in columns for b in columns if a != b]
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col(a) > 0, F.round(F.try_divide(F.col(b), F.col(a)), 6)).alias("r")) for a in columns for b in columns if a != b]
     long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("r is not null")
     median = upper_median(long, ["a", "b"], "r").filter((F.col("upper_median") >= low) & (F.col("upper_median") < high))
     m = F.col("upper_median")

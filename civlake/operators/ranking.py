@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civlake.scratch import checkpointed
+
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row of each key that is largest by `order` (structs compare field by field); a partial aggregate, not a window."""
@@ -26,14 +28,17 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def spread_sample(df: DataFrame, key: str, k: int) -> DataFrame:
-    """Every floor(n / k)-th row in the key's order, at most k; the order is dealt out by range, and each range's place comes from counts of the ranges before it."""
-    n = df.count()
-    step = max(1, n // k)
-    ranged = df.repartitionByRange(key).withColumn("__part", F.spark_partition_id())
+    """Every floor(n / k)-th row in the order of a key without repeats, at most k.
+
+    The places asked for become key bounds: rows are counted by ranges of the key, which Spark samples once and writes to the shared
+    checkpoint folder, so that both readings see the same ranges.
+    """
+    ranged = checkpointed(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(over), F.lit(0))).withColumn("__step", F.greatest(F.lit(1), F.floor(F.sum("__n").over(Window.partitionBy()) / k))).drop("__n")
     placed = ranged.join(F.broadcast(before), "__part").withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1 + F.col("__before"))
-    return placed.filter((F.col("__at") % step == 0) & (F.col("__at") < step * k)).drop("__part", "__before", "__at")
+    return placed.filter((F.col("__at") % F.col("__step") == 0) & (F.col("__at") < F.col("__step") * k)).drop("__part", "__before", "__at", "__step")
 
 
 def runs_of_days(df: DataFrame, keys: list[str], day: str) -> DataFrame:
@@ -49,6 +54,30 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
+def count_by(df: DataFrame, column: str, sort: str = "count") -> DataFrame:
+    """value, n, place: the counts of a column's values, by name or the most frequent first."""
+    order = [F.asc("value")] if sort == "name" else [F.desc("n"), F.asc("value")]
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def first_seen_index(df: DataFrame, column: str, seq: str) -> DataFrame:
+    """value, index: a number from 0 for each distinct value, in the order of their first rows; the window sees a row a value."""
+    firsts = df.groupBy(F.col(column).alias("value")).agg(F.min(seq).alias("first"))
+    return firsts.select("value", (F.row_number().over(Window.orderBy("first")) - 1).alias("index"))
+
+
+def voters_order(primary: Column, descending: bool = False) -> list[Column]:
+    """The primary key in its direction, then last name, first name and id upwards."""
+    return [primary.desc() if descending else primary.asc(), F.asc("last"), F.asc("first"), F.asc("id")]
+
+
+def ballot_order() -> list[Column]:
+    """Returned ballots, ballots out, then none; inside these the newest return and the newest issue first."""
+    rank = F.when(F.col("ballot") == "returned", 0).when(F.col("ballot") == "out", 1).otherwise(2)
+    return [rank.asc(), F.desc(F.coalesce("returned", F.lit(""))), F.desc(F.coalesce("issued", F.lit(""))), F.asc("id")]
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page `number` (from 1) of a total order; sizes are clamped to 50..1000."""
     size = min(max(size, 50), 1000)

@@ -61,31 +61,3 @@ v AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   LEFT JOIN po ON c_custkey = po.id LEFT JOIN orders ON o_orderkey = po.live)
 """
-
-
-def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic addresses of customers: id, number, street, city, zip, raw."""
-    c = table(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    streets = F.array(*[F.lit(s) for s in STREETS])
-    street = F.element_at(streets, (k % len(STREETS) + 1).cast("int"))
-    number = (F.lit(100) + k * 7 % 400).cast("int")
-    return c.select(k.alias("id"), number.alias("number"), street.alias("street"), F.concat(F.lit("TOWN"), (k % 5).cast("string")).alias("city"), F.lpad((k % 7 + 44000).cast("string"), 5, "0").alias("zip"), F.concat_ws(" ", number.cast("string"), street).alias("raw"))
-
-
-def address_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic points from suppliers and their copies: number, street, city, zip, lat, lon."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    street = F.element_at(F.array(*[F.lit(s) for s in POINT_STREETS]), (k % len(POINT_STREETS) + 1).cast("int"))
-    return p.select((F.lit(100) + k * 11 % 400).cast("int").alias("number"), street.alias("street"), F.concat(F.lit("TOWN"), (k % 5).cast("string")).alias("city"), F.lpad((k % 7 + 44000).cast("string"), 5, "0").alias("zip"), (40 + (k % 97) / 20000).alias("lat"), (-83 - (k % 89) / 20000).alias("lon"))
-
-
-STREETS = ("MAIN ST", "N HIGH ST", "OAK AVE NE", "ELM DR", "S PARK RD W", "RIVER LN")
-POINT_STREETS = ("MAIN ST", "HIGH ST", "OAK AVE", "ELM DR", "S PARK RD", "RIVER CT")
-_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-A = f"""WITH a AS (SELECT c_custkey AS id, (100 + c_custkey * 7 % 400)::INTEGER AS number, {_LIST(STREETS)}[(c_custkey % {len(STREETS)} + 1)::INTEGER] AS street,
-  'TOWN' || (c_custkey % 5) AS city, lpad((c_custkey % 7 + 44000)::VARCHAR, 5, '0') AS zip FROM customer),
-p AS (SELECT (100 + p_partkey * 11 % 400)::INTEGER AS number, {_LIST(POINT_STREETS)}[(p_partkey % {len(POINT_STREETS)} + 1)::INTEGER] AS street,
-  'TOWN' || (p_partkey % 5) AS city, lpad((p_partkey % 7 + 44000)::VARCHAR, 5, '0') AS zip, 40 + (p_partkey % 97) / 20000.0::DOUBLE AS lat, -83 - (p_partkey % 89) / 20000.0::DOUBLE AS lon FROM part)
-"""

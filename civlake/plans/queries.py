@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from civlake.functions import columns as C
 from civlake.operators import address, elections, ingest, parcels, ranking, reports, spatial
-from civlake.operators.selection import Selection, facet_counts, voted_in, word_prefixes
-from civlake.plans import address_queries, job_queries, text_queries  # noqa: F401  register their queries
-from civlake.plans.adapter import ELECTIONS, A, V, address_points, addresses, table, voters, votes
+from civlake.operators.selection import Selection, facet_counts, word_prefixes
+from civlake.plans import address_queries, job_queries, roll_queries, text_queries  # noqa: F401  register their queries
+from civlake.plans.adapter import ELECTIONS, V, table, voters, votes
 from civlake.plans.registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -35,8 +35,8 @@ def retention(spark, d):
     return reports.retention(voters(spark, d), ELECTIONS)
 
 
-@query(V + f"""SELECT count(*) AS n, count(*) FILTER ({NE} > 0 AND {NV} = {NE}) AS every_eligible, count(*) FILTER ({NV} = 1) AS exactly_one, count(*) FILTER ({NV} = 6) AS every_on_file,
-  sum({NV})::BIGINT AS voted, sum({NE})::BIGINT AS could, round(sum({NV}) / sum({NE})::DOUBLE, 6) AS mean_rate,
+@query(V + f"""SELECT count(*) AS n, count(*) FILTER (bit_count(elig) > 0 AND bit_count(mask) = bit_count(elig)) AS every_eligible, count(*) FILTER (bit_count(mask) = 1) AS exactly_one, count(*) FILTER (mask & 63 = 63) AS every_on_file,
+  sum(bit_count(mask))::BIGINT AS voted, sum(bit_count(elig))::BIGINT AS could, round(sum(bit_count(mask)) / sum(bit_count(elig))::DOUBLE, 6) AS mean_rate,
   count(*) FILTER (mask & 21 > 0 AND mask & 10 > 0) AS both_habits, count(*) FILTER (mask & 21 > 0 AND mask & 10 = 0) AS general_only,
   count(*) FILTER (mask & 21 = 0 AND mask & 10 > 0) AS primary_only, count(*) FILTER (mask & 31 = 0 AND mask & 32 > 0) AS special_only FROM v""")
 def profile(spark, d):
@@ -48,8 +48,8 @@ def profile_histogram(spark, d):
     return reports.profile_histogram(voters(spark, d), ELECTIONS)
 
 
-@query(V + f"""SELECT precinct_name, count(*) AS n, sum({NV})::BIGINT AS voted, sum({NE})::BIGINT AS could, round(sum({NV}) / sum({NE})::DOUBLE, 6) AS rate,
-  count(*) FILTER ({NE} > 0 AND {NV} >= {NE} * 0.8::DOUBLE) AS faithful, count(*) FILTER ({NV} = 1) AS once_only FROM v GROUP BY 1 HAVING count(*) >= 50""")
+@query(V + f"""SELECT precinct_name, count(*) AS n, sum(bit_count(mask))::BIGINT AS voted, sum(bit_count(elig))::BIGINT AS could, round(sum(bit_count(mask)) / sum(bit_count(elig))::DOUBLE, 6) AS rate,
+  count(*) FILTER (bit_count(elig) > 0 AND bit_count(mask) >= bit_count(elig) * 0.8::DOUBLE) AS faithful, count(*) FILTER (bit_count(mask) = 1) AS once_only FROM v GROUP BY 1 HAVING count(*) >= 50""")
 def geography(spark, d):
     return reports.geography(voters(spark, d), "precinct_name", ELECTIONS, 50)
 
@@ -146,16 +146,6 @@ def facet_count(spark, d):
     return facet_counts(voters(spark, d), CHOICE, ["party", "jurisdiction", "ballot"])
 
 
-@query(V + "SELECT id, mask FROM v WHERE mask & 36 > 0 OR mask = 0")
-def election_any(spark, d):
-    return voters(spark, d).filter(voted_in([ELECTIONS[2], ELECTIONS[5]], "any", never=True)).select("id", "mask")
-
-
-@query(V + "SELECT id, mask FROM v WHERE mask & 36 > 0 AND (mask & 4 > 0 OR elig & 4 = 0) AND (mask & 32 > 0 OR elig & 32 = 0)")
-def election_all(spark, d):
-    return voters(spark, d).filter(voted_in([ELECTIONS[2], ELECTIONS[5]], "all")).select("id", "mask")
-
-
 @query(V + "SELECT id FROM v WHERE ballot = 'out' AND mask & 16 > 0 AND party = 'BUILDING'")
 def drill_stack(spark, d):
     chosen = Selection(facets={"party": ["BUILDING"]}, drills=(("out", F.col("ballot") == "out"), ("voted 1999", elections.voted(ELECTIONS[4]))))
@@ -221,15 +211,6 @@ def dedupe_ranked(spark, d):
     return out.select("user_id", "event_type", "seq", "value")
 
 
-@query(V + """, e AS (SELECT user_id AS id, count(*) AS ballots FROM events GROUP BY 1)
-SELECT coalesce(v.id, e.id) AS id, ballots, v.id IS NOT NULL AND e.id IS NOT NULL AS matched, v.id IS NULL AS added FROM (SELECT id FROM v WHERE id % 3 > 0) v FULL JOIN e ON v.id = e.id""")
-def upsert_merge(spark, d):
-    roll = voters(spark, d).filter("id % 3 > 0").select("id")
-    ballots = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("ballots"))
-    once = ingest.upsert(roll, ballots, "id", "ballots")
-    return ingest.upsert(once.filter("not added").select("id", "ballots"), ballots, "id", "ballots").select("id", "ballots", "matched", "added")
-
-
 @query("""SELECT user_id, event_type, votes FROM (SELECT user_id, event_type, count(*) AS votes, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS k FROM events GROUP BY 1, 2) WHERE k = 1""")
 def majority_vote(spark, d):
     return ranking.majority(table(spark, d, "events"), "user_id", "event_type", "event_id")
@@ -281,14 +262,6 @@ def assessed_value(spark, d):
     return table(spark, d, "part").select("p_partkey", C.assessed(F.col("p_retailprice")).alias("assessed"))
 
 
-_COLS = {"c_custkey": "BIGINT", "c_name": "VARCHAR", "c_nationkey": "INT", "c_acctbal": "DOUBLE", "c_mktsegment": "VARCHAR"}
-
-
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') AS blank, count(*) FILTER (try_cast({c} AS DOUBLE) = 0) AS zero, round(count(*) FILTER (coalesce(trim({c}::VARCHAR), '') = '') * 100.0::DOUBLE / count(*), 6) AS blank_pct FROM customer" for c in _COLS))
-def column_profile(spark, d):
-    return parcels.column_profile(table(spark, d, "customer"))
-
-
 @query("""SELECT count(*) AS parsed, 0::BIGINT AS unparsed, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last, 0::BIGINT AS floor, 0::BIGINT AS decade,
   count(*) FILTER (o_orderdate::DATE = DATE '1970-01-01') AS epoch FROM orders""")
 def date_profile(spark, d):
@@ -380,15 +353,6 @@ def link_extract(spark, d):
     return links.select("page_id", C.decoded_entities(F.col("h")).alias("href"))
 
 
-@query("""SELECT a.p_partkey, b.p_size FROM (SELECT p_partkey, upper(regexp_replace(p_brand || '-' || p_partkey, '[^A-Za-z0-9]', '', 'g')) AS k FROM part) a
-JOIN (SELECT p_size, upper(regexp_replace(lower(p_brand) || ' ' || p_partkey, '[^A-Za-z0-9]', '', 'g')) AS k FROM part WHERE p_partkey % 2 = 0) b ON a.k = b.k""")
-def parcel_key_join(spark, d):
-    p = table(spark, d, "part")
-    key = p.select("p_partkey", C.parcel_key(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string"))).alias("k"))
-    other = p.filter("p_partkey % 2 = 0").select("p_size", C.parcel_key(F.concat_ws(" ", F.lower("p_brand"), F.col("p_partkey").cast("string"))).alias("k"))
-    return key.join(other, "k").select("p_partkey", "p_size")
-
-
 @query("""SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders) WHERE k % greatest(1, n // 300) = 0 AND k < greatest(1, n // 300) * 300""")
 def spread_sample(spark, d):
     return ranking.spread_sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 300)
