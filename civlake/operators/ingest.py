@@ -70,14 +70,22 @@ def resolve_precinct(rows: DataFrame, prior: DataFrame, neighbours: DataFrame) -
 
 
 def match_persons(ballots: DataFrame, roll: DataFrame) -> DataFrame:
-    """ballots (seq, last, first, house) with voter_id and how: a name and house that one voter has, else a name that one voter has, else a new number."""
+    """ballots (seq, last, first, house and, if known, zip) with voter_id and how.
+
+    A name and house that one voter has, else a name that one voter has, of several the one in the ballot's ZIP, else a new number. The roll has id, last, first, house
+    and, if ballots have a ZIP, zip. Voters are counted by key before they are joined.
+    """
 
     def unique(keys: list[str], name: str) -> DataFrame:
         return roll.groupBy(*keys).agg(F.min("id").alias(name), F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
 
     met = ballots.join(unique(["last", "first", "house"], "a"), ["last", "first", "house"], "left").join(unique(["last", "first"], "b"), ["last", "first"], "left")
-    how = F.when(F.col("a").isNotNull(), "house").when(F.col("b").isNotNull(), "name").otherwise("new")
-    return met.select("seq", F.coalesce("a", "b", F.col("seq") + SYNTHETIC_FROM).alias("voter_id"), how.alias("how"))
+    found = ["a", "b"]
+    if "zip" in ballots.columns:
+        met = met.join(unique(["last", "first", "zip"], "c"), ["last", "first", "zip"], "left")
+        found.append("c")
+    how = F.when(F.col("a").isNotNull(), "house").when(F.coalesce(*found).isNotNull(), "name").otherwise("new")
+    return met.select("seq", F.coalesce(*found, F.col("seq") + SYNTHETIC_FROM).alias("voter_id"), how.alias("how"))
 
 
 def ballot_summary(voters: DataFrame) -> DataFrame:
