@@ -173,13 +173,13 @@ def early_profile_totals(voters: DataFrame, elections: list[Election], live: Ele
 
 
 def early_block(voters: DataFrame, as_of: str, in_person: list[str]) -> DataFrame:
-    """One row: issued, returned, flagged (with an issue), undated (returned after as_of), from_file, in_person, mail."""
+    """One row: issued, returned, flagged (returned with an issue), undated (returned after as_of), from_file, in_person, mail."""
     back = F.col("ballot") == "returned"
     person = F.col("category").isin(*in_person)
     return voters.filter("ballot is not null").agg(
         F.count(F.lit(1)).alias("issued"),
         count_if(back).alias("returned"),
-        count_if(F.coalesce("issue", F.lit("")) != "").alias("flagged"),
+        count_if(back & (F.coalesce("issue", F.lit("")) != "")).alias("flagged"),
         count_if(back & (F.to_date("returned") > F.lit(as_of).cast("date"))).alias("undated"),
         count_if(F.col("from_file")).alias("from_file"),
         count_if(back & person).alias("in_person"),

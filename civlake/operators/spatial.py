@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civlake.functions.columns import all_of
@@ -87,3 +87,120 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
         return F.when(F.abs(area) > 1e-12, F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / (area * 6)).otherwise(mean)
 
     return along("x"), along("y")
+
+
+def edge_table(spark: SparkSession, polygons: list[Polygon]) -> DataFrame:
+    """place, rank, x1, y1, x2, y2: a row an edge of each ring, holes too. For polygons that come as data, the same columns do."""
+    rows = [(p.name, p.rank, *map(float, (*a, *b))) for p in polygons for ring in p.rings for a, b in zip(ring, (*ring[1:], ring[0]), strict=True) if a[1] != b[1]]
+    return spark.createDataFrame(rows, "place string, rank int, x1 double, y1 double, x2 double, y2 double")
+
+
+def locate(points: DataFrame, edges: DataFrame, key: str = "id", band: float = 0.01) -> DataFrame:
+    """key and place of points (key, lon, lat) in a polygon of the edge table, of several that with the least rank, then name.
+
+    A ray to the east crosses the edges of a polygon around the point an odd number of times. Points meet only edges that pass their band
+    of latitude, so a border of thousands of edges costs a point a few; crossings are counted in partial aggregates. No box test is needed.
+    """
+    at = lambda y: F.floor(y / band)
+    banded = edges.withColumn("band", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    lat, lon = F.col("lat"), F.col("lon")
+    crosses = ((F.col("y1") > lat) != (F.col("y2") > lat)) & (lon < (F.col("x2") - F.col("x1")) * (lat - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    met = points.select(key, "lon", "lat").withColumn("band", at(lat)).join(banded, "band").filter(crosses)
+    inside = met.groupBy(key, "place", "rank").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    return inside.groupBy(key).agg(F.min_by("place", F.struct("rank", "place")).alias("place"))
+
+
+def clipped(shapes: DataFrame, vertices: DataFrame, edges: DataFrame, share: float = 0.1, least: int = 8) -> DataFrame:
+    """name, kept, inside and vertices of shapes (name, lon, lat of an inner point, or null) whose outline is in vertices (name, seq, lon, lat).
+
+    Kept are those whose inner point lies in the mask of the edge table, and straddlers: with enough vertices, and enough of all of theirs, inside.
+    """
+    corner = vertices.withColumn("id", F.struct("name", "seq"))
+    found = locate(corner, edges).select("id", F.lit(True).alias("in"))
+    counts = corner.join(found, "id", "left").groupBy("name").agg(F.count("in").alias("inside"), F.count(F.lit(1)).alias("vertices"))
+    inner = locate(shapes.filter("lon is not null and lat is not null").withColumnRenamed("name", "id"), edges).select(F.col("id").alias("name"), F.lit(True).alias("point"))
+    met = shapes.select("name").join(counts, "name", "left").join(inner, "name", "left")
+    n, v = F.coalesce("inside", F.lit(0)), F.coalesce("vertices", F.lit(0))
+    kept = F.col("point").isNotNull() | ((n >= least) & (n >= v * share) & (v > 0))
+    return met.select("name", kept.alias("kept"), n.alias("inside"), v.alias("vertices"))
+
+
+def viewport_clusters(points: DataFrame, kind: str, zoom: int, box: tuple[float, float, float, float], mask: Column | None = None) -> DataFrame:
+    """The clusters of one zoom of the points in a closed box (west, south, east, north) that the mask lets through."""
+    w, s, e, n = box
+    seen = points.filter(F.col("lon").between(w, e) & F.col("lat").between(s, n) & (F.lit(True) if mask is None else mask))
+    return cluster_pyramid(seen, kind, range(zoom, zoom + 1))
+
+
+@dataclass(frozen=True)
+class Zone:
+    """A Lambert conformal conic zone on GRS80 in US survey feet: origin, two standard parallels (degrees), false easting (metres)."""
+
+    lat_0: float
+    lon_0: float
+    lat_1: float
+    lat_2: float
+    x_0: float = 600_000.0
+
+
+#: The state's plane zones (fixed values).
+ZONES = {"north": Zone(39.6666666666667, -82.5, 41.7, 40.4333333333333), "south": Zone(38.0, -82.5, 40.0333333333333, 38.7333333333333)}
+_A, _E2, _FOOT = 6378137.0, 0.006694380022900788, 0.3048006096012192
+
+
+def zone_of(name: str) -> Zone:
+    """By name or code, 3734 for the north and 3735 for the south; ValueError for any other."""
+    key = {"3734": "north", "3735": "south", "epsg:3734": "north", "epsg:3735": "south"}.get(str(name).lower(), str(name).lower())
+    if key not in ZONES:
+        raise ValueError(f"no zone {name!r}: north (3734) or south (3735)")
+    return ZONES[key]
+
+
+def _cone(z: Zone) -> tuple[float, float, float]:
+    """The cone's constant, its scale in metres and the radius of the origin."""
+    e = math.sqrt(_E2)
+    m = lambda p: math.cos(p) / math.sqrt(1 - _E2 * math.sin(p) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    p0, p1, p2 = (math.radians(x) for x in (z.lat_0, z.lat_1, z.lat_2))
+    n = (math.log(m(p1)) - math.log(m(p2))) / (math.log(t(p1)) - math.log(t(p2)))
+    scale = _A * m(p1) / (n * t(p1) ** n)
+    return n, scale, scale * t(p0) ** n
+
+
+def to_feet(lon: Column, lat: Column, zone: Zone) -> tuple[Column, Column]:
+    """Degrees as plane feet."""
+    n, scale, rho_0 = _cone(zone)
+    e, p = math.sqrt(_E2), F.radians(lat)
+    t = F.tan(math.pi / 4 - p / 2) / F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), e / 2)
+    rho, theta = F.pow(t, n) * scale, (F.radians(lon) - math.radians(zone.lon_0)) * n
+    return (rho * F.sin(theta) + zone.x_0) / _FOOT, (rho_0 - rho * F.cos(theta)) / _FOOT
+
+
+def to_degrees(x: Column, y: Column, zone: Zone, rounds: int = 6) -> tuple[Column, Column]:
+    """Plane feet as degrees; the latitude is iterated."""
+    n, scale, rho_0 = _cone(zone)
+    e = math.sqrt(_E2)
+    east, north = x * _FOOT - zone.x_0, rho_0 - y * _FOOT
+    t = F.pow(F.sqrt(east * east + north * north) / scale, 1 / n)
+    better = lambda p, _: math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), e / 2))
+    p = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), math.pi / 2 - 2 * F.atan(t), better)
+    return F.degrees(F.atan2(east, north) / n) + zone.lon_0, F.degrees(p)
+
+
+def largest_ring(rings: Column) -> Column:
+    """The ring of the largest area among those of at least three points; null without any."""
+    usable = F.filter(rings, lambda r: F.size(r) >= 3)
+    best = F.array_max(F.transform(usable, lambda r, i: F.struct(F.abs(shoelace(r)).alias("area"), (-i).alias("i"))))
+    return F.when(best["area"] > 0, F.try_element_at(usable, 1 - best["i"]))
+
+
+def measured(rings: Column, square_feet_an_acre: float = 43_560.0) -> Column:
+    """x and y (the centre of the largest ring), square_feet (holes subtracted, by their winding) and acres of plane rings; null without a ring that has an area."""
+    best = largest_ring(rings)
+    total = F.abs(F.aggregate(F.filter(rings, lambda r: F.size(r) >= 3), F.lit(0.0), lambda s, r: s + shoelace(r)))
+
+    def reduced(r: Column) -> Column:
+        x, y = ring_centroid(r)
+        return F.struct(x.alias("x"), y.alias("y"), total.alias("square_feet"), F.round(total / square_feet_an_acre, 4).alias("acres"))
+
+    return F.when(best.isNotNull(), F.transform(F.array(best), reduced)[0])

@@ -177,7 +177,7 @@ SELECT coalesce(v, av + 9000000) AS voter_id, CASE WHEN a IS NOT NULL THEN 'hous
 def layout_sheet(spark, d):
     o, k = table(spark, d, "orders"), F.col("o_custkey")
     text = lambda c: c.cast("string")
-    cells = F.array(F.lit("EVOFF"), F.lit("x"), _us("o_orderdate", "M/d/yy"), text(F.col("o_orderkey")), F.lit(""), F.concat(F.lit("Lee"), text(k % 400), F.lit(", Ann B.")), F.concat(text(k % 900), F.lit(" Oak")), F.concat(F.lit("LIMA OH 4400"), text(k % 9)), F.concat(F.lit("C"), text(k % 5)))
+    cells = F.array(F.lit("EVOFF"), F.lit("x"), _us("o_orderdate"), text(F.col("o_orderkey")), F.lit(""), F.concat(F.lit("Lee"), text(k % 400), F.lit(", Ann B.")), F.concat(text(k % 900), F.lit(" Oak")), F.concat(F.lit("LIMA OH 4400"), text(k % 9)), F.concat(F.lit("C"), text(k % 5)))
     head = ["Category/Org", "", "Issued", "AV  ID", "Returned", "Name", "Mailed To", "City", "Precinct"]
     sheet = o.select((F.col("o_orderkey") + 10).alias("seq"), cells.alias("cells")).unionByName(spark.createDataFrame([(0, ["Report of"] + [""] * 8), (1, head)], "seq bigint, cells array<string>"))
     c, i = table(spark, d, "customer"), F.col("c_custkey")

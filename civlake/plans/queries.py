@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civlake.functions import columns as C
 from civlake.operators import address, elections, ingest, parcels, ranking, reports, spatial
 from civlake.operators.selection import Selection, facet_counts, word_prefixes
-from civlake.plans import address_queries, job_queries, layout_queries, roll_queries, text_queries  # noqa: F401  register their queries
+from civlake.plans import address_queries, job_queries, layout_queries, map_queries, roll_queries, text_queries  # noqa: F401  register their queries
 from civlake.plans.adapter import ELECTIONS, V, table, voters, votes
 from civlake.plans.registry import ORACLE_SQL, QUERIES, query
 
@@ -303,19 +303,6 @@ def range_expand(spark, d):
     return p.select("p_partkey", F.explode(address.expanded_range(F.col("lo"), F.col("hi"))).alias("number"))
 
 
-PLACES = [
-    spatial.Polygon("North Twp", 1, (((-83.2, 40.0), (-82.8, 40.0), (-82.8, 40.3), (-83.2, 40.3)),)),
-    spatial.Polygon("Hub City", 0, (((-83.1, 39.9), (-82.9, 39.9), (-82.9, 40.1), (-83.1, 40.1)), ((-83.02, 39.98), (-82.98, 39.98), (-82.98, 40.02), (-83.02, 40.02)))),
-]
-_BOX = "lon {} {} AND lon {} {} AND lat {} {} AND lat {} {}"
-
-
-@query(_M + """SELECT vec_id, CASE WHEN lon >= -83.1 AND lon < -82.9 AND lat >= 39.9 AND lat < 40.1 AND NOT (lon >= -83.02 AND lon < -82.98 AND lat >= 39.98 AND lat < 40.02) THEN 'Hub City'
-  WHEN lon >= -83.2 AND lon < -82.8 AND lat >= 40.0 AND lat < 40.3 THEN 'North Twp' ELSE 'L' || label END AS place FROM m""")
-def pip_jurisdiction(spark, d):
-    return _points(spark, d).select("vec_id", spatial.jurisdiction(PLACES, F.col("lon"), F.col("lat"), F.concat(F.lit("L"), F.col("label").cast("string"))).alias("place"))
-
-
 @query(_M + """SELECT vec_id FROM (SELECT vec_id, lon - 0.01 AS west, lon + 0.01 AS east, lat - 0.01 AS south, lat + 0.01 AS north FROM m) WHERE west <= -82.9 AND east >= -83.1 AND south <= 40.1 AND north >= 39.9 ORDER BY vec_id LIMIT 3000""")
 def bbox_viewport(spark, d):
     p = _points(spark, d).select("vec_id", (F.col("lon") - 0.01).alias("west"), (F.col("lon") + 0.01).alias("east"), (F.col("lat") - 0.01).alias("south"), (F.col("lat") + 0.01).alias("north"))
@@ -331,15 +318,6 @@ def cluster_pyramid(spark, d):
     return spatial.cluster_pyramid(_points(spark, d), "label")
 
 
-@query(_M + "SELECT vec_id, round((0.02 * (0.01 + 0.001 * label))::DOUBLE, 6) AS area, round(lon + 0.01, 4) AS cx, round(lat + (0.01 + 0.001 * label)::DOUBLE / 2, 4) AS cy FROM m")
-def ring_metrics(spark, d):
-    h = F.lit(0.01) + F.col("label") * 0.001
-    corner = lambda x, y: F.struct((F.col("lon") + x).alias("x"), (F.col("lat") + y).alias("y"))
-    rings = _points(spark, d).withColumn("ring", F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(0.02), F.lit(0.0)), corner(F.lit(0.02), h), corner(F.lit(0.0), h)))
-    cx, cy = spatial.ring_centroid(F.col("ring"))
-    return rings.select("vec_id", F.abs(spatial.shoelace(F.col("ring"))).alias("area"), F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"))
-
-
 @query("""WITH d AS (SELECT DISTINCT user_id, ts::DATE AS d FROM events), i AS (SELECT user_id, d, d - (row_number() OVER (PARTITION BY user_id ORDER BY d))::INTEGER AS g FROM d)
 SELECT user_id, min(d) AS first_day, max(d) AS last_day, count(*) AS days FROM i GROUP BY user_id, g""")
 def gaps_islands(spark, d):

@@ -120,7 +120,7 @@ def _flagged(spark, d):
     return voters(spark, d).withColumn("issue", F.when(F.col("id") % 11 == 0, "NO ID").otherwise("")).withColumn("from_file", F.col("id") % 4 != 0)
 
 
-@query(V + """SELECT count(*) AS issued, count(*) FILTER (ballot = 'returned') AS returned, count(*) FILTER (id % 11 = 0) AS flagged, count(*) FILTER (ballot = 'returned' AND returned::DATE > DATE '2001-05-01') AS undated, count(*) FILTER (id % 4 <> 0) AS from_file,
+@query(V + """SELECT count(*) AS issued, count(*) FILTER (ballot = 'returned') AS returned, count(*) FILTER (ballot = 'returned' AND id % 11 = 0) AS flagged, count(*) FILTER (ballot = 'returned' AND returned::DATE > DATE '2001-05-01') AS undated, count(*) FILTER (id % 4 <> 0) AS from_file,
   count(*) FILTER (ballot = 'returned' AND category = '1-URGENT') AS in_person, count(*) FILTER (ballot = 'returned' AND category <> '1-URGENT') AS mail FROM v WHERE ballot IS NOT NULL""")
 def early_block(spark, d):
     return reports.early_block(_flagged(spark, d), "2001-05-01", ["1-URGENT"])

@@ -62,6 +62,7 @@ def read_roll(spark: SparkSession, path: str, since: int = 2020) -> tuple[DataFr
     mask = F.lit(0)
     for k, c in enumerate(names):
         mask = mask.bitwiseOR(F.when(F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) != "", F.lit(1 << k)).otherwise(0))
+    second = F.trim(F.coalesce(F.col("RESIDENTIAL_SECONDARY_ADDR"), F.lit(""))) if "RESIDENTIAL_SECONDARY_ADDR" in df.columns else F.lit("")
     rows = df.select(
         F.col("COUNTY_ID").try_cast("long").alias("id"),
         F.upper(F.trim("LAST_NAME")).alias("last"),
@@ -69,7 +70,7 @@ def read_roll(spark: SparkSession, path: str, since: int = 2020) -> tuple[DataFr
         F.coalesce(F.nullif(F.trim("VOTER_STATUS"), F.lit("")), F.lit("UNKNOWN")).alias("status"),
         F.coalesce(F.nullif(F.trim("PARTY_AFFILIATION"), F.lit("")), F.lit("--")).alias("party"),
         F.substring(F.trim("RESIDENTIAL_ZIP"), 1, 5).alias("zip"),
-        F.trim("RESIDENTIAL_ADDRESS1").alias("address"),
+        F.concat(F.trim("RESIDENTIAL_ADDRESS1"), F.when(second != "", F.concat(F.lit(" # "), second)).otherwise("")).alias("address"),
         F.trim("PRECINCT_NAME").alias("precinct"),
         F.col("REGISTRATION_DATE").try_cast("date").alias("registered"),
         mask.alias("mask"),
@@ -80,6 +81,11 @@ def read_roll(spark: SparkSession, path: str, since: int = 2020) -> tuple[DataFr
     return last.select("id", "r.*"), names
 
 
+def malformed_rows(df: DataFrame, key: str = "COUNTY_ID") -> int:
+    """How many rows read_roll leaves out, since their id is no whole number."""
+    return df.filter(F.col(key).try_cast("long").isNull()).count()
+
+
 def is_ballot_layout(columns: list[str]) -> bool:
     """Whether a header is of the ballot interchange layout."""
     return {"CNTYIDNUM", "AVAPPTYPE"} <= set(columns)

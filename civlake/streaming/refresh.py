@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from civlake.sources.rolls import replacement
 
-def daily_counts(events: DataFrame, ts: str, key: str, late: str = "2 days") -> DataFrame:
-    """day, key, n by tumbling days; on a stream, rows later than the watermark are dropped."""
-    at = events.withColumn(ts, F.col(ts).cast("timestamp"))
+
+def plausible(events: DataFrame, ts: str, first: str, as_of: str) -> DataFrame:
+    """Events dated from `first` to `as_of`. A single date far in the future would move a watermark past all others, so this goes before one."""
+    at = F.col(ts).cast("timestamp")
+    return events.filter((at >= F.lit(first).cast("timestamp")) & (at <= F.lit(as_of).cast("timestamp")))
+
+
+def implausible_counts(events: DataFrame, ts: str, first: str, as_of: str) -> DataFrame:
+    """why, n of the events that plausible() leaves out: undated, early and late ones."""
+    at = F.col(ts).cast("timestamp")
+    why = F.when(at.isNull(), "undated").when(at < F.lit(first).cast("timestamp"), "early").when(at > F.lit(as_of).cast("timestamp"), "late")
+    return events.withColumn("why", why).filter("why is not null").groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily_counts(events: DataFrame, ts: str, key: str, late: str = "2 days", first: str | None = None, as_of: str | None = None) -> DataFrame:
+    """day, key, n by tumbling days; on a stream, rows later than the watermark are dropped. With `first` and `as_of`, implausible dates are left out before it."""
+    at = plausible(events, ts, first, as_of) if first and as_of else events
+    at = at.withColumn(ts, F.col(ts).cast("timestamp"))
     if events.isStreaming:
         at = at.withWatermark(ts, late)
     out = at.groupBy(F.window(ts, "1 day").alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
@@ -42,3 +59,25 @@ def merge_into(path: str, keys: list[str], order: list[str]):
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
 
     return merge
+
+
+def guarded(path: str, info, publish):
+    """A foreachBatch function that passes a batch on to publish(batch, info) only if it is new: not the bytes of the last one, nor older.
+
+    info(batch) gives {"sha256", "latest"}; what was published last is kept beside the data as JSON, so that a restart knows it.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        new = info(batch)
+        try:
+            old = spark.read.schema("sha256 string, latest string, number long").json(f"{path}/published").orderBy(F.desc("number")).first()
+        except AnalysisException:
+            old = None
+        if replacement(old.asDict() if old else None, new) == "replace":
+            publish(batch, new)
+            spark.createDataFrame([(new["sha256"], new["latest"], number)], "sha256 string, latest string, number long").coalesce(1).write.mode("append").json(f"{path}/published")
+
+    return step

@@ -37,7 +37,7 @@ def test_general_election_day(spark):
     assert value(spark, C.general_election_day(F.col("y")), y=2022) == dt.date(2022, 11, 8)
 
 
-@pytest.mark.parametrize("raw, want", [("12 North Main Street, Apt 3", "12 N MAIN ST"), ("7 State Route 82", "7 SR 82"), ("9 Oak & Pine Av.", "9 OAK AND PINE AVE"), ("", "")])
+@pytest.mark.parametrize("raw, want", [("12 North Main Street, Apt 3", "12 N MAIN ST"), ("7 State Route 82", "7 SR 82"), ("9 Oak & Pine Av.", "9 OAK PINE AVE"), ("050 W 117th St # 4", "50 W 117 ST"), ("610 1/2 N Park Ave, OH", "610 N PARK AVE"), ("18334-B Bagley Rd", "18334 BAGLEY RD"), ("5 CR 25-A", "5 CO RD 25A"), ("5TH ST", "5TH ST"), ("", "")])
 def test_normalised_address(spark, raw, want):
     assert value(spark, address.normalised(F.col("x")), x=raw) == want
 
@@ -101,17 +101,51 @@ def test_cron(spark):
     for bad in ("* * * *", "61 * * * *", "* * * FOO *", "5-1 * * * *"):
         with pytest.raises(ValueError):
             jobs.parse_cron(bad)
-    runs = spark.createDataFrame([(dt.datetime(2026, 3, 2, 7, 30),), (dt.datetime(2026, 3, 3, 6, 0),), (dt.datetime(2026, 3, 6, 6, 0),)], "started timestamp")
-    got = [(str(r["slot"]), r["delay_min"]) for r in jobs.with_delay(runs, "17 7 * * MON").orderBy("started").collect()]
-    assert got == [("2026-03-02 07:17:00", 13), ("2026-03-02 07:17:00", 1363), ("None", None)]
+    assert jobs.parse_cron("0 0 * * 1/3")[4] == [1, 4] and jobs.parse_cron("0 0 * * 4/3")[4] == [4] and jobs.parse_cron("0 0 * * *")[4] == [0, 1, 2, 3, 4, 5, 6]
+    with pytest.raises(ValueError):
+        jobs.parse_cron("0 0 * * JAN")
+    started = [dt.datetime(2026, 3, 2, 7, 30), dt.datetime(2026, 3, 3, 6, 0), dt.datetime(2026, 3, 6, 6, 0)]
+    runs = spark.createDataFrame([("j", "schedule", t) for t in started] + [("j", "workflow_dispatch", started[0]), ("k", "schedule", started[0])], "job string, event string, started timestamp")
+    schedules = jobs.schedule_table(spark, [("j", "17 7 * * MON")])
+    got = [(r["job"], r["event"], str(r["slot"]), r["delay_min"]) for r in jobs.with_delay(runs, schedules).orderBy("job", "event", "started").collect()]
+    assert got == [("j", "schedule", "2026-03-02 07:17:00", 13), ("j", "schedule", "2026-03-02 07:17:00", 1363), ("j", "schedule", "None", None), ("j", "workflow_dispatch", "None", None), ("k", "schedule", "None", None)]
+
+
+def test_missed_runs_of_rare_schedules(spark):
+    runs = spark.createDataFrame([(j, "schedule", dt.datetime(2024, 1, 5)) for j in ("monthly", "leap", "never")], "job string, event string, started timestamp")
+    schedules = jobs.schedule_table(spark, [("monthly", "0 12 8 * *"), ("leap", "0 0 29 2 *"), ("never", "0 0 30 2 *")])
+    got = {r["job"]: (str(r["next_slot"]), r["missed"]) for r in jobs.missed_runs(runs, schedules, "2026-01-05").collect()}
+    assert got == {"monthly": ("2024-01-08 12:00:00", True), "leap": ("2024-02-29 00:00:00", True), "never": ("None", False)}
+
+
+def _addresses(spark, rows, *more):
+    names = ["seq", "street", "city", "zip", "lat", "lon", *more]
+    return address.with_forms(spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'seq' else 'double' if n in ('lat', 'lon') else 'string'}" for n in names)))
 
 
 def test_address_tiers(spark):
-    points = spark.createDataFrame([(10, "OAK AVE NE", "A", "44001", 40.0, -83.0), (10, "ELM ST", "A", "44001", 40.1, -83.0), (10, "ELM ST", "A", "44001", 40.2, -83.0), (20, "HIGH RD", "A", "44001", 40.3, -83.0)], "number int, street string, city string, zip string, lat double, lon double")
-    asked = spark.createDataFrame([(1, 10, "OAK AVE NE", "A", "0"), (2, 10, "OAK AVE", "A", "0"), (3, 10, "ELM ST", "A", "0"), (4, 20, "N HIGH ST", "B", "44001"), (5, 99, "OAK AVE", "A", "0")], "id long, number int, street string, city string, zip string")
-    assert {r["id"]: r["tier"] for r in address.match_tiers(asked, points).collect()} == {1: 1, 2: 2, 3: 1, 4: 3}
-    near = spark.createDataFrame([(1, 12, "HIGH RD", "A", "44001"), (2, 90, "HIGH RD", "A", "44001")], "id long, number int, street string, city string, zip string")
-    assert [(r["id"], r["distance"]) for r in address.match_nearest(near, points).collect()] == [(1, 8.0)]
+    points = _addresses(spark, [(1, "10 OAK AVE NE", "A", "44001", 40.0, -83.0), (2, "10 ELM ST", "A", "44001", 40.1, -83.0), (3, "10 ELM ST", "A", "44001", 40.2, -83.0), (4, "20 N HIGH RD", "A", "44001", 40.3, -83.0), (5, "20 S HIGH RD", "A", "44001", 40.4, -83.0)])
+    parcels = _addresses(spark, [(6, "30 N PINE ST", "", "44001", 40.5, -83.0, "A", "P1"), (7, "40 MAPLE ST", "", "", 40.6, -83.0, "Bath Township", "P2"), (8, "50 ASH ST", "", "", 40.7, -83.0, "B", "P3")], "jurisdiction", "parcel_id")
+    asked = [
+        (1, "10 Oak Ave NE", "A", "", ""), (2, "10 Oak Ave", "A", "", ""), (3, "10 Elm St", "A", "", ""), (4, "20 N High St", "B", "44001", ""), (5, "99 Oak Ave", "A", "", ""), (6, "20 High Rd", "A", "44001", ""),
+        (7, "30 Pine St", "", "44001", ""), (8, "40 Maple St", "C", "", ""), (9, "50 Ash St", "C", "", ""), (10, "50 Ash St", "", "", "City of B"),
+    ]
+    df = address.with_forms(spark.createDataFrame(asked, "id long, street string, city string, zip string, muni string"))
+    got = {r["id"]: (r["tier"], r["lat"], r["parcel_id"], r["settled"]) for r in address.match_keys(df, address.key_table(points, parcels)).collect()}
+    # the first of scattered candidates; N High never meets S High; one direction left off; a township as the last resort; another town is none
+    assert got == {1: (1, 40.0, None, True), 2: (2, 40.0, None, True), 3: (1, 40.1, None, True), 4: (3, 40.3, None, True), 7: (5, 40.5, "P1", True), 8: (5, 40.6, "P2", False), 10: (5, 40.7, "P3", True)}
+
+
+def test_nearest_number_and_side(spark):
+    point = "number int, street string, zip string, side string, lat double, lon double"
+    points = spark.createDataFrame([(20, "HIGH", "1", None, 40.3, -83.0), (59, "PARK", "1", "E", 40.0, -83.0), (61, "PARK", "1", "W", 41.0, -83.0)], point)
+    asked = spark.createDataFrame([(1, 12, "HIGH", "1", None), (2, 90, "HIGH", "1", None), (3, 60, "PARK", "1", "W"), (4, 59, "PARK", "1", None)], "id long, number int, street string, zip string, side string")
+    assert {r["id"]: (r["distance"], r["lat"]) for r in address.match_nearest(asked, points).collect()} == {1: (8.0, 40.3), 3: (1.5, 41.0), 4: (0.0, 40.0)}
+
+
+@pytest.mark.parametrize("name, wanted, want", [("RIVER", "RIVERSIDE", True), ("OAK HILL", "OAK", True), ("OAK", "OAKS", False), ("E", "E MAIN", False), ("E", "E", True), ("MAIN", "ELM", False)])
+def test_name_prefixes(spark, name, wanted, want):
+    assert value(spark, address.is_prefix(F.split("a", " "), F.split("b", " ")), a=name, b=wanted) == want
 
 
 def test_chunks_count_and_html(spark, tmp_path):
