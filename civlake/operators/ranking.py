@@ -16,14 +16,19 @@ def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys and upper_median, the value at place floor(n / 2) of a key's sorted values that are not null.
+    """keys and upper_median, the value at place floor(n / 2) of a key's sorted values that are not null; for keys of a known few, such as elections or pairs of columns.
 
-    Equal values are counted first, so that a window sees a row for each distinct value.
+    A sketch gives each key two values that its median surely lies between (its error is a hundredth of their distance in rank). Values below are only
+    counted; the few between are counted by value and ordered, so that no window sees more than them. The sketches of the few keys are broadcast.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(by))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, F.array(F.lit(0.49), F.lit(0.51)), F.lit(10_000)).alias("q"))
+    met = rows.join(F.broadcast(sketch), keys)
+    low, high = F.col("q")[0], F.col("q")[1]
+    below = met.groupBy(*keys).agg(F.count(F.when(F.col(value) < low, 1)).alias("below"), F.first("n").alias("n"))
+    between = met.filter(F.col(value).between(low, high)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = between.join(F.broadcast(below), keys).withColumn("upto", F.col("below") + upto)
     return placed.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
 
 
