@@ -57,7 +57,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     words, owner = word_hashes(data, offsets)
     count = np.bincount(owner, minlength=n)
     rolled = np.zeros(len(words), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(words))):
         w = words[j:]
         same = owner[j:] == owner[: len(owner) - j] if j else np.ones(len(words), bool)
         rolled[: len(w)] += np.where(same, mixed(w + _ORDER[j]), np.uint64(0))
