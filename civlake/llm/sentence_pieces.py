@@ -425,17 +425,20 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str =
     result with the same columns. All other columns are kept as they are.
     """
     rest = docs.drop(into, *([check] if check else []))
-    rows = rest.withColumn("__text", docs[text_col].cast("string"))
+    own = "__text"
+    while own in rest.columns:
+        own += "_"
+    rows = rest.withColumn(own, docs[text_col].cast("string"))
     schema = T.StructType([*rest.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else []))
 
     def run(batches):
         m = piece_model(model)
         for whole in batches:
-            for b in slices(whole, "__text", SLICE):
-                texts = b.column("__text")
+            for b in slices(whole, own, SLICE):
+                texts = b.column(own)
                 ids, offsets = m.encode_all(pc.fill_null(texts, "").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                b = b.drop_columns(["__text"]).append_column(into, lists)
+                b = b.drop_columns([own]).append_column(into, lists)
                 yield b.append_column(check, pc.equal(m.decode_all(lists), pc.fill_null(texts, ""))) if check else b
 
     return rows.mapInArrow(run, schema)
