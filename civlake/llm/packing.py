@@ -23,7 +23,9 @@ from civlake.llm.common import documents, slices
 from civlake.llm.token_counts import tokenizer_path
 
 #: Pieces and ids that one task holds before it packs them.
-WINDOW_PIECES, WINDOW_IDS = 100_000, 16 << 20
+WINDOW_PIECES, WINDOW_IDS = 100_000, 4 << 20
+#: Bytes of text whose rows are taken from Arrow at a time.
+SLICE = 2 << 20
 PACKED_SCHEMA = "pack_id long, n_tokens int, n_segments int, input_ids binary, cu_seqlens array<int>, reset_at array<int>, segment_doc array<{id}>, segment_start array<long>"
 
 
@@ -96,6 +98,50 @@ def _encoder(name: str):
     return encode
 
 
+def _packed(batches: Iterator[pa.RecordBatch], capacity: int, tokenizer: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
+    """Packed rows of the texts of batches (doc_id, text), a window at a time."""
+    encode = _encoder(tokenizer)
+    number = TaskContext.get().partitionId() << 33
+    ids, owners, starts, held = [], [], [], 0
+    id_type = None
+
+    def window() -> pa.RecordBatch:
+        nonlocal number
+        layout = best_fit_decreasing(np.fromiter(map(len, ids), np.int64, len(ids)), capacity)
+        lengths = [[len(ids[k]) for k in row] for row in layout]
+        cu = [np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in lengths]
+        columns = [
+            pa.array(range(number, number + len(layout)), pa.int64()),
+            pa.array([int(c[-1]) for c in cu], pa.int32()),
+            pa.array(list(map(len, layout)), pa.int32()),
+            pa.array([np.concatenate([ids[k] for k in row]).astype("<i4").tobytes() for row in layout], pa.binary()),
+            pa.array(cu, pa.list_(pa.int32())),
+            pa.array([c[:-1] for c in cu], pa.list_(pa.int32())),
+            pa.array([[owners[k] for k in row] for row in layout], pa.list_(id_type)),
+            pa.array([[starts[k] for k in row] for row in layout], pa.list_(pa.int64())),
+        ]
+        number += len(layout)
+        return pa.RecordBatch.from_arrays(columns, ["pack_id", "n_tokens", "n_segments", "input_ids", "cu_seqlens", "reset_at", "segment_doc", "segment_start"])
+
+    for whole in batches:
+        for b in slices(whole, "text", SLICE):
+            id_type = b.column("doc_id").type
+            for owner, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                own = encode(text or "")
+                if end_id is not None:
+                    own = np.append(own, np.int32(end_id))
+                for at in range(0, len(own), capacity):
+                    ids.append(own[at : at + capacity])
+                    owners.append(owner)
+                    starts.append(at)
+                held += len(own)
+                if len(ids) >= WINDOW_PIECES or held >= WINDOW_IDS:
+                    yield window()
+                    ids, owners, starts, held = [], [], [], 0
+    if ids:
+        yield window()
+
+
 def pack_tokens(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.tiktoken", end_id: int | None = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each packed row of at most `capacity` ids.
 
@@ -108,50 +154,47 @@ def pack_tokens(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bp
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = PACKED_SCHEMA.format(id=rows.schema["doc_id"].dataType.simpleString())
+    return rows.mapInArrow(lambda batches: _packed(batches, capacity, tokenizer, end_id), schema)
+
+
+_NESTED = ("n_tokens", "cu_seqlens", "reset_at", "segment_doc", "segment_start")
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], rows_a_matrix: int, capacity: int, pad_id: int, positions: bool) -> Iterator[pa.RecordBatch]:
+    """Matrices of packed rows; one is held at a time."""
+    number, held = TaskContext.get().partitionId() << 33, []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
-        number = TaskContext.get().partitionId() << 33
-        ids, owners, starts, held = [], [], [], 0
-        id_type = None
-
-        def packed() -> pa.RecordBatch:
-            nonlocal number
-            layout = best_fit_decreasing(np.fromiter(map(len, ids), np.int64, len(ids)), capacity)
-            lengths = [[len(ids[k]) for k in row] for row in layout]
-            cu = [np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in lengths]
-            columns = [
-                pa.array(range(number, number + len(layout)), pa.int64()),
-                pa.array([int(c[-1]) for c in cu], pa.int32()),
-                pa.array(list(map(len, layout)), pa.int32()),
-                pa.array([np.concatenate([ids[k] for k in row]).astype("<i4").tobytes() for row in layout], pa.binary()),
-                pa.array(cu, pa.list_(pa.int32())),
-                pa.array([c[:-1] for c in cu], pa.list_(pa.int32())),
-                pa.array([[owners[k] for k in row] for row in layout], pa.list_(id_type)),
-                pa.array([[starts[k] for k in row] for row in layout], pa.list_(pa.int64())),
-            ]
-            number += len(layout)
-            return pa.RecordBatch.from_arrays(columns, ["pack_id", "n_tokens", "n_segments", "input_ids", "cu_seqlens", "reset_at", "segment_doc", "segment_start"])
-
-        for whole in batches:
-            for b in slices(whole, "text"):
-                id_type = b.column("doc_id").type
-                for owner, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    own = encode(text or "")
-                    if end_id is not None:
-                        own = np.append(own, np.int32(end_id))
-                    for at in range(0, len(own), capacity):
-                        ids.append(own[at : at + capacity])
-                        owners.append(owner)
-                        starts.append(at)
-                    held += len(own)
-                    if len(ids) >= WINDOW_PIECES or held >= WINDOW_IDS:
-                        yield packed()
-                        ids, owners, starts, held = [], [], [], 0
-        if ids:
-            yield packed()
-
-    return rows.mapInArrow(run, schema)
+    def matrix() -> pa.RecordBatch:
+        b = pa.Table.from_batches(held).combine_chunks()
+        ids, place = np.full((b.num_rows, capacity), pad_id, "<i4"), np.zeros((b.num_rows, capacity) if positions else (0, 0), "<i4")
+        for k, (own, cu) in enumerate(zip(b.column("input_ids").to_pylist(), b.column("cu_seqlens").to_pylist(), strict=True)):
+            own, cu = np.frombuffer(own, "<i4"), np.asarray(cu)
+            ids[k, : len(own)] = own
+            if positions:
+                place[k, : len(own)] = np.arange(len(own)) - np.repeat(cu[:-1], np.diff(cu))
+        columns = [pa.array([number], pa.int64()), pa.array([b.num_rows], pa.int32()), pa.array([ids.tobytes()], pa.binary())]
+        columns += [pa.array([place.tobytes()], pa.binary())] * positions
+        for c in _NESTED:
+            own = b.column(c).combine_chunks()
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
+        return pa.RecordBatch.from_arrays(columns, ["matrix_id", "n_rows", "ids", *["positions"] * positions, *_NESTED])
+
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, rows_a_matrix - sum(x.num_rows for x in held))
+            held.append(part)
+            at += part.num_rows
+            if sum(x.num_rows for x in held) == rows_a_matrix:
+                yield matrix()
+                number, held = number + 1, []
+    if held:
+        yield matrix()
+
+
+def _matrix_schema(id_type: str, positions: bool) -> str:
+    lists = f"n_tokens array<int>, cu_seqlens array<array<int>>, reset_at array<array<int>>, segment_doc array<array<{id_type}>>, segment_start array<array<long>>"
+    return "matrix_id long, n_rows int, ids binary, " + "positions binary, " * positions + lists
 
 
 def id_matrices(packed: DataFrame, rows_a_matrix: int = 64, capacity: int = 2048, pad_id: int = 0, positions: bool = True) -> DataFrame:
@@ -163,43 +206,17 @@ def id_matrices(packed: DataFrame, rows_a_matrix: int = 64, capacity: int = 2048
     that repeat are separate rows, and null or repeated ids of documents pass through. Other columns are not carried.
     """
     rows = packed.select("n_tokens", "input_ids", "cu_seqlens", "reset_at", "segment_doc", "segment_start")
-    nested = ["n_tokens", "cu_seqlens", "reset_at", "segment_doc", "segment_start"]
-    schema = "matrix_id long, n_rows int, ids binary, " + "positions binary, " * positions + ", ".join(f"{c} array<{rows.schema[c].dataType.simpleString()}>" for c in nested)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
-        held: list[pa.RecordBatch] = []
-
-        def matrix() -> pa.RecordBatch:
-            b = pa.Table.from_batches(held).combine_chunks()
-            ids, place = np.full((b.num_rows, capacity), pad_id, "<i4"), np.zeros((b.num_rows, capacity), "<i4")
-            for k, (own, cu) in enumerate(zip(b.column("input_ids").to_pylist(), b.column("cu_seqlens").to_pylist(), strict=True)):
-                own, cu = np.frombuffer(own, "<i4"), np.asarray(cu)
-                ids[k, : len(own)] = own
-                if positions:
-                    place[k, : len(own)] = np.arange(len(own)) - np.repeat(cu[:-1], np.diff(cu))
-            columns = [pa.array([number], pa.int64()), pa.array([b.num_rows], pa.int32()), pa.array([ids.tobytes()], pa.binary())]
-            columns += [pa.array([place.tobytes()], pa.binary())] * positions
-            for c in nested:
-                own = b.column(c).combine_chunks()
-                columns.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
-            return pa.RecordBatch.from_arrays(columns, ["matrix_id", "n_rows", "ids", *["positions"] * positions, *nested])
-
-        for b in batches:
-            at = 0
-            while at < b.num_rows:
-                part = b.slice(at, rows_a_matrix - sum(x.num_rows for x in held))
-                held.append(part)
-                at += part.num_rows
-                if sum(x.num_rows for x in held) == rows_a_matrix:
-                    yield matrix()
-                    number, held = number + 1, []
-        if held:
-            yield matrix()
-
-    return rows.mapInArrow(run, schema)
+    schema = _matrix_schema(rows.schema["segment_doc"].dataType.elementType.simpleString(), positions)
+    return rows.mapInArrow(lambda batches: _matrices(batches, rows_a_matrix, capacity, pad_id, positions), schema)
+
+
+def packed_matrices(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.tiktoken", end_id: int | None = 50256, rows_a_matrix: int = 64, pad_id: int = 0, positions: bool = False) -> DataFrame:
+    """id_matrices(pack_tokens(docs)) of rows doc_id and text in one pass of each task, so that one Python worker does both; see there for nulls, repeats and empty tables."""
+    rows = docs.select("doc_id", "text")
+    schema = _matrix_schema(rows.schema["doc_id"].dataType.simpleString(), positions)
+    return rows.mapInArrow(lambda batches: _matrices(_packed(batches, capacity, tokenizer, end_id), rows_a_matrix, capacity, pad_id, positions), schema)
 
 
 def op1_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as matrices of rows of 2048 ids, with the cumulative lengths, resets, documents and starts of the rows' segments."""
-    return id_matrices(pack_tokens(documents(spark, sf_dir)), positions=False)
+    return packed_matrices(documents(spark, sf_dir))

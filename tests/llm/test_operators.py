@@ -88,6 +88,9 @@ def test_packing_loses_nothing(docs, texts, empty):
         at += m["n_rows"]
     assert sum(m["n_rows"] for m in matrices) == packed.count()
     assert packing.pack_tokens(empty).count() == 0
+    once = packing.packed_matrices(docs, 64, rows_a_matrix=8, positions=True)
+    assert sorted(map(str, once.collect())) == sorted(map(str, matrices))
+    assert packing.packed_matrices(empty).count() == 0
 
 
 def test_best_fit_decreasing_fills_the_tightest_row():
