@@ -8,6 +8,7 @@ one named __row.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written first so that it stays the same."""
-    return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    """docs with a key for each row: its place in the Parquet file it is read from, the same however often it is read; other tables are written first."""
+    try:
+        return docs.withColumn(ROW, F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), "_metadata.row_index"))
+    except AnalysisException:
+        return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
