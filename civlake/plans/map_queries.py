@@ -100,18 +100,18 @@ def stats_document(spark, d):
     )
 
 
-@query(V + "SELECT id, row_number() OVER (ORDER BY name, party, id)::INTEGER AS place, precinct_name, party FROM v")
+@query(V + "SELECT id, precinct_name, party FROM v")
 def roll_tuples(spark, d):
     v = voters(spark, d).select(
         "id", F.col("precinct_name").alias("precinct"), F.col("name").alias("last"), F.col("party").alias("first"), F.lit('1 "Oak" St').alias("street"), F.lit("LIMA").alias("city"), F.lit("45801").alias("zip"), F.date_format("registered", "yyyy-MM-dd").alias("registered"), "party", "mask",
         F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "jurisdiction", F.lit("ACTIVE").alias("status"), "category", F.lit("").alias("issued"), F.date_format("returned", "yyyy-MM-dd").alias("returned"),
     )
     lines, words = rolls.roll_tuples(v)
-    cells = lines.select("place", F.from_json("line", "array<string>").alias("c"))
+    cells = lines.select(F.from_json("line", "array<string>").alias("c"))
     at = lambda name, k: (words[name].select(F.col("value").alias(name), F.col("index").cast("string").alias(f"k{k}")), F.col("c")[k])
     (precincts, kp), (parties, kq) = at("precinct", 1), at("party", 8)
     out = cells.withColumn("k1", kp).withColumn("k8", kq).join(precincts, "k1").join(parties, "k8")
-    return out.select(F.col("c")[0].cast("long").alias("id"), "place", F.col("precinct").alias("precinct_name"), "party")
+    return out.select(F.col("c")[0].cast("long").alias("id"), F.col("precinct").alias("precinct_name"), "party")
 
 
 @query(V + """SELECT id, precinct_name AS precinct, 'LIMA' AS city, CASE WHEN id % 2 = 0 THEN 'WV' ELSE 'OH' END AS state, party, mask, (elig & 63 | mask)::INTEGER AS elig, coalesce(ballot, 'none') AS ballot_status, coalesce(category, '') AS category,

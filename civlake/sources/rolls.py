@@ -60,20 +60,18 @@ def expanded_roll(doc: DataFrame) -> DataFrame:
 
 
 def roll_tuples(voters: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(place, line) of voters (id, precinct, last, first, street, city, zip, registered, party, mask, lat, lon, jurisdiction, status, category, issued, returned), each a JSON tuple, sorted by name and id; and each dictionary as (value, index), in the order of first appearance."""
-    from pyspark.sql import Window
-
-    placed = voters.withColumn("place", F.row_number().over(Window.orderBy("last", "first", "id")))
+    """(last, first, id, line) of voters (id, precinct, last, first, street, city, zip, registered, party, mask, lat, lon, jurisdiction, status, category, issued, returned), each a JSON tuple, sorted by name and id over all partitions; and each dictionary as (value, index), in the order of first appearance."""
+    placed = voters.withColumn("__at", F.struct("last", "first", "id"))
     dictionaries = {}
     for name in ("precinct", "city", "zip", "party", "jurisdiction", "status", "category"):
-        words = first_seen_index(placed.filter(F.col(name).isNotNull()), name, "place")
+        words = first_seen_index(placed.filter(F.col(name).isNotNull()), name, "__at")
         dictionaries[name] = words
         placed = placed.join(words.select(F.col("value").alias(name), F.col("index").alias(f"k_{name}")), name, "left")
     text = lambda c: F.regexp_replace(F.to_json(F.array(F.coalesce(F.col(c), F.lit("")))), r"^\[|\]$", "")
     plain = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
     ballot = F.when(F.col("category").isNull(), "0").otherwise(F.concat(F.lit("["), F.concat_ws(",", plain("k_category", "0"), text("issued"), text("returned"), F.lit("0")), F.lit("]")))
     cells = [plain("id", "null"), plain("k_precinct", "-1"), text("last"), text("first"), text("street"), plain("k_city", "-1"), plain("k_zip", "-1"), text("registered"), plain("k_party", "-1"), plain("mask", "0"), plain("lat", "null"), plain("lon", "null"), F.lit("0"), plain("k_jurisdiction", "-1"), ballot, plain("k_status", "-1")]
-    return placed.select("place", F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("line")), dictionaries
+    return placed.orderBy("last", "first", "id").select("last", "first", "id", F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("line")), dictionaries
 
 
 def roll_file(name: Column) -> Column:
