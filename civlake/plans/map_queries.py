@@ -185,3 +185,14 @@ def implausible_dates(spark, d):
     e = table(spark, d, "events")
     typed = e.withColumn("ts", F.when(F.col("event_id") % 50 == 0, F.col("ts") + F.expr("interval 2000 years")).otherwise(F.col("ts")).cast("timestamp"))
     return implausible_counts(typed, "ts", "2024-01-03", "2024-02-01")
+
+
+@query("SELECT p_partkey, concat_ws('', p_name, ' ', chr(34), 'x', chr(34), ',', chr(10), 'y') AS name, CASE WHEN p_size % 3 > 0 THEN p_size END::INTEGER AS size FROM part")
+def csv_roundtrip(spark, d):
+    from civlake.scratch import new_path
+    from civlake.sources.files import read_csv_back, write_csv
+
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(' "x",\ny')).alias("name"), F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("size"))
+    path = new_path(spark, "csv")
+    write_csv(p, path)
+    return read_csv_back(spark, path, p.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +23,15 @@ BALLOTS = ("LASTN", "FIRSTN", "CNTYIDNUM", "AVSENTDATE", "AVRECVDATE", "AVRECVME
 def read_chunks(spark: SparkSession, paths: list[str], count: int | None = None, on_mismatch: str = "fail", schema: str = PARCELS) -> DataFrame:
     """JSON arrays in several files as one DataFrame; if `count` is given and the rows are not so many: fail, warn or ignore.
 
-    A file that holds a page of HTML or broken JSON fails with its name.
+    A file that is missing, or that holds a page of HTML or broken JSON, fails with its name.
     """
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(paths).select("*", F.col("_metadata.file_name").alias("_file"))
+    try:
+        landed = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(paths)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"a chunk is missing: {e.getMessageParameters()['path']}") from e
+        raise
+    rows = landed.select("*", F.col("_metadata.file_name").alias("_file"))
     bad = rows.filter("_corrupt is not null").select("_file", F.ltrim("_corrupt").startswith("<").alias("html"), rows.columns[0]).first()
     if bad:
         raise ValueError(f"{bad['_file']} holds {'a page of HTML' if bad['html'] else 'broken JSON'}, not records")

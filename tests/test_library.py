@@ -63,6 +63,9 @@ def test_roll_document_round_trip(spark, tmp_path):
     assert [got[3][c] for c in ("city", "state", "jurisdiction", "elig", "ballot", "ballot_status", "lat")] == ["FAIRMONT", "WV", "Unassigned", 3, None, "none", 40.5]
     export = rolls.voter_export(rolls.expanded_roll(rolls.read_roll_document(spark, str(tmp_path / "v.json"))), ["a", "b", "c"], True)
     assert export.columns[11:19] == ["a", "b", "c", "Elections Voted", "Early Voting", "Ballot Category", "Ballot Issued", "Ballot Returned"]
+    files.write_csv(export.coalesce(1), str(tmp_path / "csv"), line_end="\r\n")
+    text = next((tmp_path / "csv").glob("part-*")).read_bytes().decode()
+    assert text.count("\r\n") == 3 and '"O""Neil"' in text and ",2 ELM," in text
     assert [tuple(r)[11:16] for r in export.orderBy("Voter ID").collect()] == [("N", "N", "N", 0, ""), ("N", "Y", "N", 1, "Voted early")]
 
 

@@ -157,6 +157,8 @@ def test_chunks_count_and_html(spark, tmp_path):
         files.read_chunks(spark, paths, 5)
     with pytest.warns(UserWarning):
         files.read_chunks(spark, paths, 5, "warn")
+    with pytest.raises(FileNotFoundError, match="c9.json"):
+        files.read_chunks(spark, [*paths, str(tmp_path / "c9.json")])
     (tmp_path / "h.json").write_text("<html>no</html>")
     with pytest.raises(ValueError, match="HTML"):
         files.read_chunks(spark, [str(tmp_path / "h.json")])
