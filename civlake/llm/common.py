@@ -54,13 +54,16 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int, largest: int) -> DataFrame:
     """The inner join of rows and keyed, which has one row a key and tells in the column `size` how many of the rows have it.
 
     Keys with more than HOT_ROWS rows and more than one in HOT_KEYS of all `total` rows are at most HOT_KEYS; these are broadcast, so
-    that their rows are not shuffled and never meet in one task. The others are joined by a shuffle.
+    that their rows are not shuffled and never meet in one task. The others are joined by a shuffle, and so are all if no key has more rows than `largest`
+    and that is not hot.
     """
     most = max(HOT_ROWS, total // HOT_KEYS)
+    if largest <= most:
+        return rows.join(keyed.hint("merge"), keys)
     hot, cold = keyed.filter(F.col(size) > most), keyed.filter(F.col(size) <= most)
     apart = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(apart.join(cold.hint("merge"), keys))

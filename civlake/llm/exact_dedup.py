@@ -160,8 +160,8 @@ def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col:
     merged = both.select("text_sha256", F.least("keep_id", "new_id").alias("keep_id"), (F.col("group_size") + F.col("new_size")).alias("group_size"))
     alone = snapshot.groups.select("text_sha256", "keep_id", "group_size").unionByName(new.select("text_sha256", "keep_id", "group_size")).join(merged.select("text_sha256"), "text_sha256", "left_anti")
     groups = stash(merged.unionByName(alone), "groups")
-    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    return join_hot(rows, groups, ["text_sha256"], "group_size", total).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *others)
+    total, largest = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.coalesce(F.max("group_size"), F.lit(0))).first()
+    return join_hot(rows, groups, ["text_sha256"], "group_size", total, largest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *others)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

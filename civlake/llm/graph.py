@@ -65,16 +65,18 @@ def components(links: DataFrame) -> DataFrame:
     before, older = None, []
     while True:
         remove(spark, older)
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # the links, each from both ends, a sum that tells whether they are as before, and the most links of a node
+        degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"))
+        state = tuple(degrees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
         if state[0] == 0:
             return spark.createDataFrame([], "node long, root long")
         if state == before:
             break
         before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("links"))
-        large = join_hot(both, least, ["a"], "links", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_hot(both, least, ["a"], "links", state[0], state[2]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("links"))
         older = [WRITTEN[-1]]
-        now = stash(join_hot(large, small, ["a"], "links", 2 * state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "links")
+        now = stash(join_hot(large, small, ["a"], "links", state[0], state[2]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -520,7 +520,8 @@ def test_join_hot_equals_a_plain_join(spark, monkeypatch):
     rows = spark.range(500).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 40).alias("k"), "id")
     keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most"))
     want = sorted(map(tuple, rows.join(keyed, "k").select("k", "id", "n", "most").collect()))
-    assert sorted(map(tuple, common.join_hot(rows, keyed, ["k"], "n", 500).select("k", "id", "n", "most").collect())) == want
+    assert sorted(map(tuple, common.join_hot(rows, keyed, ["k"], "n", 500, 300).select("k", "id", "n", "most").collect())) == want
+    assert sorted(map(tuple, common.join_hot(rows, keyed, ["k"], "n", 500, 5).select("k", "id", "n", "most").collect())) == want
 
 
 def test_repeats_with_very_many_copies_of_a_text(spark, monkeypatch):
