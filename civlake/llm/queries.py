@@ -17,4 +17,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_near_dedup": lsh_forest.OP10_SQL,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from civlake.llm import chunks, exact_dedup, graph, language_id, lsh_forest, mixing, packing, quality, repeats, sentence_pieces, spot_signatures, token_counts
 from civlake.llm.common import documents
-from civlake.llm.queries import QUERIES
+from civlake.llm.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -532,3 +532,15 @@ def test_repeats_with_very_many_copies_of_a_text(spark, monkeypatch):
     df = spark.createDataFrame([(k % 70, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     got = sorted(tuple(r)[1:] for r in repeats.remove_repeats(df).collect())
     assert got == sorted(brute_repeats(texts, 200))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    df = QUERIES[name](spark, SMALL)
+    want = con.sql(ORACLE_SQL[name])
+    assert sorted(want.columns) == sorted(df.columns)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want.select(", ".join(df.columns)).fetchall()))
