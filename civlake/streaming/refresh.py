@@ -1,4 +1,7 @@
-"""Incremental refresh of reports: the same rules over a stream as over a batch."""
+"""Incremental refresh of reports: the same rules over a stream as over a batch.
+
+A sink's step gets a batch and its number, and writes under that number: a batch that is run again, after a failure or on purpose, writes the same again.
+"""
 
 from __future__ import annotations
 
@@ -81,3 +84,90 @@ def guarded(path: str, info, publish):
             spark.createDataFrame([(new["sha256"], new["latest"], number)], "sha256 string, latest string, number long").coalesce(1).write.mode("append").json(f"{path}/published")
 
     return step
+
+
+def _numbered(path: str, number: int) -> str:
+    return f"{path}/batch={number}"
+
+
+def once_each(path: str, keys: list[str]):
+    """A function (batch, number) that gives the rows of a batch whose keys no batch before it had, each once, and keeps the keys under the batch's number."""
+
+    def fresh(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        own = batch.dropDuplicates(keys)
+        taken = versions(spark, path, ", ".join(f"`{k}` {batch.schema[k].dataType.simpleString()}" for k in keys)).filter(F.col("batch") < number)
+        new = own.join(taken.select(*keys), keys, "left_anti")
+        new.select(*keys).write.mode("overwrite").parquet(_numbered(path, number))
+        return spark.read.schema(own.select(*keys).schema).parquet(_numbered(path, number)).join(own, keys).select(*batch.columns)
+
+    return fresh
+
+
+def admitted(rows: DataFrame, fresh, path: str, checkpoint: str) -> StreamingQuery:
+    """Pass on what is new of a stream, as files at `path`; a file that lands a second time adds nothing."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        # a batch's files go in before its listing: a batch run again writes files of the same names
+        fresh(batch, number).coalesce(1).write.mode("overwrite").parquet(f"{path}.batches/{number}")
+        _moved(batch.sparkSession, f"{path}.batches/{number}", f"{path}/part-{number:09d}.parquet")
+
+    _folder(rows.sparkSession, path)
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _fs(spark, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _folder(spark, path: str) -> None:
+    store, at = _fs(spark, path)
+    store.mkdirs(at)
+
+
+def _moved(spark, folder: str, file: str) -> None:
+    """The one part of a written folder under its own name, once; a file that is there already stays."""
+    store, at = _fs(spark, file)
+    if not store.exists(at):
+        part = next(f.getPath() for f in store.listStatus(_fs(spark, folder)[1]) if f.getPath().getName().startswith("part-"))
+        store.rename(part, at)
+    store.delete(_fs(spark, folder)[1], True)
+
+
+def upserted(counts: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Changed rows of an aggregate, a folder a batch; of a key's rows the one of the latest batch holds."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        if batch.groupBy(*keys).count().filter("count > 1").isEmpty():
+            batch.write.mode("overwrite").parquet(_numbered(path, number))
+        else:
+            raise ValueError(f"batch {number} has several rows of one key")
+
+    return counts.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def beside(rows: DataFrame, ts: str, first: str, as_of: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Counts of implausible rows, a folder a batch."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        implausible_counts(batch, ts, first, as_of).write.mode("overwrite").parquet(_numbered(path, number))
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versions(spark, path: str, schema: str) -> DataFrame:
+    """All batches' rows with their batch; none if nothing has been written."""
+    store, at = _fs(spark, path)
+    if not store.exists(at):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").parquet(path)
+
+
+def replay_last(spark, checkpoint: str) -> int:
+    """Take back the mark that a stopped stream's last batch is done, so that the next start runs it again; its number, -1 if there was none."""
+    store, at = _fs(spark, f"{checkpoint}/commits")
+    numbers = [int(f.getPath().getName()) for f in store.listStatus(at) if f.getPath().getName().isdigit()] if store.exists(at) else []
+    if numbers:
+        store.delete(_fs(spark, f"{checkpoint}/commits/{max(numbers)}")[1], False)
+    return max(numbers, default=-1)
