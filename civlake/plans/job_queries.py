@@ -104,15 +104,14 @@ def job_warnings(spark, d):
     return found.select("job", F.array_join(F.transform("w", lambda w: F.concat_ws(":", w["level"], w["what"])), " ").alias("warnings"), jobs.needs_attention(F.col("w")).alias("attention"))
 
 
-_DAYS = [[3, 4, 5, 6, 9], [1, 2, 5], [7], [1, 3, 4, 5], [1, 2]]
-_SPANS = ["3-6 9-9", "1-1 2-2 5-5", "7-7", "1-1 3-5", "1-1 2-2"]
-
-
-@query(f"SELECT p_partkey AS id, {_SPANS!r}[(p_partkey % 5 + 1)::INTEGER] AS spans FROM part")
+@query("""WITH d AS (SELECT DISTINCT user_id, day(ts)::INTEGER AS n FROM events WHERE event_type = 'purchase'), g AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY n) AS isle FROM d), i AS (SELECT user_id, min(n) AS a, max(n) AS b FROM g GROUP BY user_id, isle),
+s AS (SELECT user_id, a, CASE WHEN b = a + 1 THEN a || '-' || a || ' ' || b || '-' || b ELSE a || '-' || b END AS span FROM i)
+SELECT user_id AS id, string_agg(span, ' ' ORDER BY a) AS spans FROM s GROUP BY 1""")
 def collapsed_runs(spark, d):
-    days = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in _DAYS]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    spans = F.transform(jobs.collapsed_runs(days), lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(spans, " ").alias("spans"))
+    """The days of a month on which a user bought, as spans."""
+    bought = table(spark, d, "events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_set(F.dayofmonth("ts"))).alias("days"))
+    spans = F.transform(jobs.collapsed_runs(F.col("days")), lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string")))
+    return bought.select("id", F.array_join(spans, " ").alias("spans"))
 
 
 @query("""SELECT n_nationkey AS id, 'Job ' || n_name AS name, n_nationkey || ' 7 * * *|daily' || CASE WHEN n_nationkey % 2 = 0 THEN ';0 12 8 * *|' ELSE '' END AS crons, n_nationkey % 3 = 0 AS dispatchable FROM nation""")
@@ -123,12 +122,32 @@ def workflow_files(spark, d):
     return p.select("id", "w.name", F.array_join(F.transform("w.crons", lambda c: F.concat_ws("|", c["expr"], c["comment"])), ";").alias("crons"), "w.dispatchable")
 
 
-WORDS = {
-    "17 7 * * *": "daily at 2:17 AM", "0 12 8 * *": "monthly on the 8th at 7:00 AM", "0 7 * * 1": "Mondays at 2:00 AM", "5 * * * *": "hourly at :05", "*/20 * * * *": "every 20 minutes", "0 1-6 * * *": "6 times a day",
-    "0 3 8 * *": "monthly on the 8th at 10:00 PM (the evening before, local)", "0 12 1-3,9 2,3 *": "on the 1st–3rd and 9th in Feb and Mar at 7:00 AM", "30 14 * * 1-5": "weekdays at 9:30 AM", "0 12 13 * 5": "monthly on the 13th or Fridays at 7:00 AM",
-}
-
-
-@query("SELECT unnest(" + str(list(WORDS)) + ") AS expr, unnest(" + str(list(WORDS.values())) + ") AS words")
+@query(f"""WITH u AS (SELECT DISTINCT user_id AS id, (user_id % 60)::INTEGER AS mi, (user_id % 24)::INTEGER AS h, (user_id % 28 + 1)::INTEGER AS dom, (user_id % 7)::INTEGER AS dow, (user_id % 12 + 1)::INTEGER AS mon, user_id % 6 AS k FROM events),
+n AS (SELECT *, (h + 19) % 24 AS lh, h < 5 AS before FROM u),
+t AS (SELECT *, 'at ' || (CASE WHEN lh % 12 = 0 THEN 12 ELSE lh % 12 END) || ':' || lpad(mi::VARCHAR, 2, '0') || CASE WHEN lh < 12 THEN ' AM' ELSE ' PM' END AS time, dom || CASE WHEN dom IN (1, 21) THEN 'st' WHEN dom IN (2, 22) THEN 'nd' WHEN dom IN (3, 23) THEN 'rd' ELSE 'th' END AS nth,
+  ['Sundays', 'Mondays', 'Tuesdays', 'Wednesdays', 'Thursdays', 'Fridays', 'Saturdays'][dow + 1] AS days FROM n)
+SELECT id, CASE k WHEN 0 THEN 'daily ' || time WHEN 1 THEN days || ' ' || time || CASE WHEN before THEN ' (the evening before, local)' ELSE '' END WHEN 2 THEN 'monthly on the ' || nth || ' ' || time || CASE WHEN before THEN ' (the evening before, local)' ELSE '' END
+  WHEN 3 THEN 'hourly at :' || lpad(mi::VARCHAR, 2, '0') WHEN 4 THEN '4 times a day' ELSE 'monthly on the ' || nth || ' or ' || days || ' ' || time || CASE WHEN before THEN ' (the evening before, local)' ELSE '' END END AS words FROM t""")
 def described_schedules(spark, d):
-    return jobs.described(jobs.schedule_table(spark, [("", x) for x in WORDS]), "America/New_York", "2024-01-10 00:00:00").select("expr", "words")
+    """A schedule a user, of six kinds, with minutes, hours and days from its number; winter time in New York."""
+    k = F.col("user_id")
+    text = lambda c: c.cast("string")
+    minute, hour, dom, dow = text(k % 60), text(k % 24), text(k % 28 + 1), F.element_at(F.array(*map(F.lit, ("SUN", "mon", "2", "wed", "THU", "5", "6"))), (k % 7 + 1).cast("int"))
+    star = F.lit("*")
+    kinds = [(minute, hour, star, star, star), (minute, hour, star, star, dow), (minute, hour, dom, star, star), (minute, star, star, star, star), (minute, F.lit("1,7-9/2,20"), star, star, star), (minute, hour, dom, F.lit("1-12"), dow)]
+    expr = F.coalesce(*[F.when(k % 6 == n, F.concat_ws(" ", *fields)) for n, fields in enumerate(kinds)])
+    asked = table(spark, d, "events").select("user_id").distinct().select(k.alias("id"), jobs.cron_fields(expr).alias("f")).select("id", "f.*")
+    return jobs.described(asked, "America/New_York", "2024-01-10 00:00:00").select("id", "words")
+
+
+@query("""SELECT DISTINCT user_id AS id, CASE WHEN user_id % 9 = 0 THEN NULL ELSE (user_id % 60) || ' ' || (user_id % 24) || ' ' || (user_id % 5 + 1) || ',' || (user_id % 5 + 3) || ',' || (user_id % 5 + 5) || ' ' || (user_id % 12 + 1) || ' 0,1' END AS fields FROM events""")
+def parsed_schedules(spark, d):
+    """Schedules with steps, names and both Sundays, parsed where they stand; every ninth is none."""
+    k = F.col("user_id")
+    text = lambda c: c.cast("string")
+    months = F.element_at(F.array(*map(F.lit, jobs.MONTH_NAMES)), (k % 12 + 1).cast("int"))
+    days = F.concat(text(k % 5 + 1), F.lit("-"), text(k % 5 + 5), F.lit("/2"))
+    expr = F.concat_ws(" ", text(k % 60), F.when(k % 9 == 0, "25").otherwise(text(k % 24)), days, months, F.lit("mon,7"))
+    asked = table(spark, d, "events").select("user_id").distinct().select(k.alias("id"), jobs.cron_fields(expr).alias("f"))
+    joined = F.concat_ws(" ", *[F.array_join(F.col(f"f.{c}").cast("array<string>"), ",") for c in ("minutes", "hours", "doms", "months", "dows")])
+    return asked.select("id", F.when(F.col("f").isNotNull(), joined).alias("fields"))

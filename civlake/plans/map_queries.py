@@ -138,14 +138,16 @@ def expanded_roll(spark, d):
     return got.select("id", "precinct", "city", "state", "party", "mask", "elig", "ballot_status", F.coalesce("ballot.category", F.lit("")).alias("category"), "search")
 
 
-_NAMES = ["SOS_VAN_WERT_2026-10-17.txt", "sos_Lima_2026-01-02.csv", "roll.txt", "SOS_STARK_2026-1-1.txt"]
-
-
-@query("SELECT p_partkey AS id, ['Van Wert', 'Lima', NULL, NULL][(p_partkey % 4 + 1)::INTEGER] AS county, ['2026-10-17', '2026-01-02', NULL, NULL][(p_partkey % 4 + 1)::INTEGER] AS date FROM part")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END AS county, CASE WHEN o_orderkey % 4 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def roll_file_names(spark, d):
-    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    """File names of regions and order dates, in upper and lower case, and two kinds of names that are none."""
+    o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    k, day, county = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd"), F.replace("r_name", F.lit(" "), F.lit("_"))
+    name = F.when(k == 0, F.concat(F.lit("SOS_"), county, F.lit("_"), day, F.lit(".txt"))).when(k == 1, F.lower(F.concat(F.lit("sos_"), county, F.lit("_"), day, F.lit(".csv")))).when(k == 2, F.concat(county, F.lit("_"), day, F.lit(".txt"))).otherwise(F.concat(F.lit("SOS_"), county, F.date_format("o_orderdate", "_yyyy-M-d"), F.lit(".zip")))
     f = rolls.roll_file(name)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), f["county"].alias("county"), f["date"].alias("date"))
+    return rows.select(F.col("o_orderkey").alias("id"), f["county"].alias("county"), f["date"].alias("date"))
 
 
 @query("""SELECT page_id, name, value FROM (SELECT page_id, 'q' AS name, 'v' || page_id AS value FROM pages UNION ALL SELECT page_id, 'list', 'b' FROM pages WHERE page_id % 2 = 0)""")

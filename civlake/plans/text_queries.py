@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civlake.functions import columns as C
-from civlake.functions import display, names
+from civlake.functions import display, names, streets
 from civlake.operators import address
 from civlake.plans.adapter import table
 from civlake.plans.registry import query
@@ -38,87 +38,72 @@ def S(values) -> str:
     return f"WITH s AS (SELECT p_partkey AS id, {nth(values)} AS s FROM part) "
 
 
-#: raw spelling, then words of the street, without quadrant, core, core without its direction, direction at the end
-SPELLED = [
-    ("Main Street", "MAIN ST", "MAIN ST", "MAIN", None, None),
-    ("North High St.", "N HIGH ST", "N HIGH ST", "N HIGH", "HIGH", None),
-    ("Oak Avenue Northeast Apt 4", "OAK AVE NE", "OAK AVE", "OAK", None, "NE"),
-    ("South Park Road West #2", "S PARK RD W", "S PARK RD", "S PARK", "PARK", "W"),
-    ("1/2 Elm  Drive", "1 2 ELM DR", "1 2 ELM DR", "1 2 ELM", None, None),
-    ("E North St", "E N ST", "E N ST", "E N", "N", None),
-    ("High North St", "HIGH N ST", "HIGH N ST", "HIGH", None, None),
-    ("State Route 42 N", "SR 42 N", "SR 42", "SR 42", None, "N"),
-    ("US Rt 42", "SR 42", "SR 42", "SR 42", None, None),
-    ("County Rd 170", "CO RD 170", "CO RD 170", "CO RD 170", None, None),
-    ("Twp 134 Road", "TWP RD 134", "TWP RD 134", "TWP RD 134", None, None),
-    ("W 117th St, 2nd Floor", "W 117 ST", "W 117 ST", "W 117", "117", None),
-    ("Fourth Street", "4 ST", "4 ST", "4", None, None),
-    ("Hills & Dales Rd", "HILLS DALES RD", "HILLS DALES RD", "HILLS DALES", None, None),
-    ("So 3rd St", "S 3 ST", "S 3 ST", "S 3", "3", None),
-    ("Old Troy Pk N", "OLD TROY PIKE N", "OLD TROY PIKE", "OLD TROY", None, "N"),
-    ("N Park Avenue", "N PARK AVE", "N PARK AVE", "N PARK", "PARK", None),
-    ("Lake (SR 531) Rd, OH", "LAKE RD", "LAKE RD", "LAKE", None, None),
-    ("South Ave", "S AVE", "S AVE", "S", None, None),
-    ("Town Centre Plaza", "TOWN CTR PLZ", "TOWN CTR PLZ", "TOWN CTR PLZ", None, None),
-]
-
-
-_FIRST = [r[0] for r in SPELLED]
-_NUMBERED = [r for r in SPELLED if not r[0].startswith("1/2")]
-
-
-@query("SELECT p_partkey AS id, p_partkey::VARCHAR AS number, " + ", ".join(f"{nth([r[k] for r in _NUMBERED])} AS {c}" for k, c in enumerate(("raw", '"full"', "quad", "core", "bare", "side"))) + " FROM part")
+#: Endings of a street and what their words become, type and direction.
+_ENDS = [("Street", "ST", ""), ("Avenue Northeast Apt 4", "AVE", "NE"), ("Rd West #2", "RD", "W"), ("Drive, 2nd Floor", "DR", ""), ("Pk N", "PIKE", "N"), ("Centre Plaza (rear), OH", "CTR PLZ", ""), ("Blvd & 1st Fl", "BLVD", "")]
+_LEADS = [("", ""), ("North ", "N"), ("So ", "S"), ("Fourth ", "4")]
+_WORDS_SQL = f"""SELECT p_partkey AS id, upper(p_name) AS name, {nth([x[1] for x in _LEADS], "p_size")} AS lead, {nth([x[1] for x in _ENDS])} AS kind, {nth([x[2] for x in _ENDS])} AS side FROM part"""
+
+
+def _streets_of(spark, d):
+    """Streets of parts' names: a leading word, the name and an ending, each as a roll may write it."""
+    p, pick = table(spark, d, "part"), lambda vs, k: F.element_at(F.array(*[F.lit(v) for v in vs]), (F.col(k) % len(vs) + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("id"), F.concat(pick([x[0] for x in _LEADS], "p_size"), "p_name", F.lit(" "), pick([x[0] for x in _ENDS], "p_partkey")).alias("raw"))
+
+
+@query(f"""WITH w AS ({_WORDS_SQL})
+SELECT id, id::VARCHAR AS number, trim(lead || ' ' || name || ' ' || kind || ' ' || side) AS "full", trim(lead || ' ' || name || ' ' || kind) AS quad, trim(lead || ' ' || name || CASE WHEN kind = 'CTR PLZ' THEN ' CTR PLZ' ELSE '' END) AS core,
+  CASE WHEN lead IN ('N', 'S') THEN name || CASE WHEN kind = 'CTR PLZ' THEN ' CTR PLZ' ELSE '' END END AS bare, nullif(side, '') AS side FROM w""")
 def tokenize_core(spark, d):
-    p = picked(spark, d, [r[0] for r in _NUMBERED]).select("id", F.col("s").alias("raw"), F.concat_ws(" ", F.col("id").cast("string"), "s").alias("street"))
-    return address.with_forms(p).select("id", "number", "raw", "full", "quad", "core", "bare", "side")
+    p = _streets_of(spark, d).select("id", F.concat_ws(" ", F.col("id").cast("string"), "raw").alias("street"))
+    return address.with_forms(p).select("id", "number", "full", "quad", "core", "bare", "side")
 
 
-_NUMBERS = ["0{}", "{} 1/2", "{} 1 2", "{}-B", "{}C", "{} D"]
+_NUMBERS = ["0{}", "{} 1/2", "{} 1 2", "{}-B", "{}C", "{} D", "{}", "{} 1/2 D"]
 
 
-@query(f"SELECT p_partkey AS id, {nth(_NUMBERS)} AS form, p_partkey::VARCHAR || ' OAK ST' AS words FROM part")
+@query("SELECT p_partkey AS id, p_partkey || ' ' || upper(p_name) || ' ST' AS words FROM part")
 def tokenize_numbers(spark, d):
-    p = picked(spark, d, _NUMBERS)
-    raw = F.concat(F.replace("s", F.lit("{}"), F.col("id").cast("string")), F.lit(" Oak St"))
-    return p.select("id", F.col("s").alias("form"), address.normalised(raw).alias("words"))
-
-
-COMPOUNDS = {
-    "1810-12 N 4TH ST": ["1810 N 4TH ST", "1812 N 4TH ST"],
-    "1088 & 1100 N HIGH ST": ["1088 N HIGH ST", "1100 N HIGH ST"],
-    "16 S MARKET ST & 103-05 W LIBERTY ST": ["16 S MARKET ST", "103 W LIBERTY ST", "105 W LIBERTY ST"],
-    "5676-78-80 Mayberry Sq": ["5676 MAYBERRY SQ", "5678 MAYBERRY SQ", "5680 MAYBERRY SQ"],
-    "1291 1295 GRANDVIEW AVE": ["1291 GRANDVIEW AVE", "1295 GRANDVIEW AVE"],
-    "46638 Y & O RD": ["46638 Y & O RD"],
-    "2092 WOODVILLE RD & PATIOS": ["2092 WOODVILLE RD"],
-    "KENWOOD CENTRE\n7801 MONTGOMERY RD": ["KENWOOD CENTRE", "7801 MONTGOMERY RD"],
-    "12700 TWP RD 477\nAKA 9090 VETERANS WAY": ["12700 TWP RD 477", "9090 VETERANS WAY"],
-    "ARTS ANNEX, 6620 MONTGOMERY RD": ["6620 MONTGOMERY RD"],
-    "100-190 MALL DR": ["100 MALL DR"],
-    "": [""],
-}
-
-
-@query(f"SELECT id, unnest(a) AS address FROM (SELECT p_partkey AS id, {nth(list(COMPOUNDS.values()))} AS a FROM part)")
-def split_compound(spark, d):
-    return picked(spark, d, list(COMPOUNDS)).select("id", F.explode(address.compound_addresses(F.col("s"))).alias("address"))
+    n, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    form = F.element_at(F.array(*[F.lit(v) for v in _NUMBERS]), (F.col("p_partkey") % len(_NUMBERS) + 1).cast("int"))
+    raw = F.concat(F.replace(form, F.lit("{}"), n), F.lit(" "), name, F.lit(" St"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), address.normalised(raw).alias("words"))
+
 
+_ROADS = [("SR{}", "SR {}"), ("US Hwy {}", "SR {}"), ("State Rte {}", "SR {}"), ("CR {}", "CO RD {}"), ("County Road {}-A", "CO RD {}A"), ("Twp {} Road", "TWP RD {}"), ("TR {}", "TWP RD {}"), ("U.S. Route {}", "SR {}"), ("OH-{} W", "SR {} W")]
 
-SITUS = {
-    "100 MAIN ST": ("100 MAIN ST", ""),
-    "3595 LENNOX CL BRUNSWICK 44212": ("3595 LENNOX CL", "44212"),
-    "12 OAK RD  MIDDLETOWN 45014": ("12 OAK RD", "45014"),
-    "77 ELM AVE NEW MIDDLETOWN OH 44442": ("77 ELM AVE", "44442"),
-    "1344 PITTENGER RD, Weller Township": ("1344 PITTENGER RD", ""),
-    "9 LONG RD SOMEWHERE 44001-1234": ("9 LONG RD", "44001"),
-    "5 BROADWAY 44002": ("5 BROADWAY", "44002"),
-}
 
+@query(f"SELECT p_partkey AS id, p_partkey || ' ' || replace({nth([r[1] for r in _ROADS])}, '{{}}', (p_size + 1)::VARCHAR) AS words FROM part")
+def numbered_roads(spark, d):
+    form = F.element_at(F.array(*[F.lit(r[0]) for r in _ROADS]), (F.col("p_partkey") % len(_ROADS) + 1).cast("int"))
+    raw = F.concat_ws(" ", F.col("p_partkey").cast("string"), F.replace(form, F.lit("{}"), (F.col("p_size") + 1).cast("string")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), address.normalised(raw).alias("words"))
 
-@query(f"SELECT p_partkey AS id, {nth([v[0] for v in SITUS.values()])} AS street, {nth([v[1] for v in SITUS.values()])} AS zip FROM part")
+
+@query("""WITH p AS (SELECT p_partkey AS id, 1000 + p_partkey AS lo, 1000 + p_partkey + p_size AS hi, upper(p_name) || ' ST' AS street, p_partkey % 5 AS form FROM part)
+SELECT id, unnest(list_distinct(CASE form WHEN 0 THEN CASE WHEN hi > lo AND hi - lo <= 12 AND lo // 100 = hi // 100 THEN [lo || ' ' || street, hi || ' ' || street] ELSE [lo || ' ' || street] END
+  WHEN 1 THEN [lo || ' ' || street, hi || ' ' || street] WHEN 2 THEN [lo || ' ' || street, hi || ' ' || street, (hi + 1) || ' ' || street] WHEN 3 THEN [lo || ' ' || street] ELSE [upper(street), hi || ' ' || street] END)) AS address FROM p""")
+def split_compound(spark, d):
+    """Numbers of a part joined in five ways: a pair shortened to its last two digits, "&", a row of three, an addition, two lines."""
+    lo, street = 1000 + F.col("p_partkey"), F.concat("p_name", F.lit(" St"))
+    hi, k = lo + F.col("p_size"), F.col("p_partkey") % 5
+    text = lambda n: n.cast("string")
+    tail = F.when(F.floor(lo / 100) == F.floor(hi / 100), F.right(text(hi), F.lit(2))).otherwise(text(lo))
+    raw = F.when(k == 0, F.concat(text(lo), F.lit("-"), tail, F.lit(" "), street)).when(k == 1, F.concat(text(lo), F.lit(" & "), text(hi), F.lit(" "), street)).when(k == 2, F.concat(text(lo), F.lit("-"), text(hi), F.lit(", "), text(hi + 1), F.lit(" "), street))
+    raw = raw.when(k == 3, F.concat(text(lo), F.lit(" "), street, F.lit(" and patio"))).otherwise(F.concat(street, F.lit("\nAKA "), text(hi), F.lit(" "), street))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(streets.compound_addresses(raw)).alias("address"))
+
+
+@query("""SELECT c_custkey AS id, c_custkey || ' OAK ' || CASE WHEN c_nationkey % 2 = 0 THEN 'RD' ELSE 'TER' END AS street, CASE WHEN c_custkey % 4 = 3 THEN '' ELSE (44000 + c_nationkey)::VARCHAR END AS zip FROM customer""")
 def parcel_street_zip(spark, d):
-    got = address.parcel_street_zip(F.col("s"), ("Brunswick", "Middletown", "New Middletown"))
-    return picked(spark, d, list(SITUS)).select("id", got.alias("g")).select("id", "g.*")
+    """A customer's number, a street, a region's name and a ZIP, in four layouts."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    k = F.col("c_custkey")
+    street = F.concat(k.cast("string"), F.when(F.col("c_nationkey") % 2 == 0, " OAK RD").otherwise(" OAK TER"))
+    zip_code = (44000 + F.col("c_nationkey")).cast("string")
+    situs = F.when(k % 4 == 0, F.concat_ws(" ", street, "r_name", zip_code)).when(k % 4 == 1, F.concat(street, F.lit("  "), "r_name", F.lit(" "), zip_code, F.lit("-1234"))).when(k % 4 == 2, F.concat_ws(" ", street, "r_name", F.lit("OH"), zip_code)).otherwise(F.concat(street, F.lit(", "), "r_name"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(k.alias("id"), situs.alias("s"))
+    got = address.parcel_street_zip(F.col("s"), ("Africa", "America", "Asia", "Europe", "East", "Middle East"))
+    return rows.select("id", got.alias("g")).select("id", "g.*")
 
 
 _RANGES = "SELECT p_partkey AS id, p_size AS lo, p_size + (p_partkey % 20 - 3)::INTEGER AS hi FROM part"
@@ -157,39 +142,43 @@ def street_sort_parts(spark, d):
     return ordered.withColumn("place", F.row_number().over(Window.orderBy(*address.street_order(F.col("street")))))
 
 
-_KEYED = ["{}  Oak   St # 3", "{}B N Elm Rd", "Main St#9", "{} 1st Ave"]
+@query("SELECT p_partkey AS id, p_name || CASE p_partkey % 3 WHEN 0 THEN ' St' WHEN 1 THEN ' 1st Rd' ELSE '' END || '|' || (44000 + p_size) AS k FROM part")
+def street_key(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    raw = F.when(k % 3 == 0, F.concat(n, F.lit("  "), "p_name", F.lit("   St # 3"))).when(k % 3 == 1, F.concat(n, F.lit("B "), "p_name", F.lit(" 1st Rd"))).otherwise(F.concat("p_name", F.lit("#9")))
+    return table(spark, d, "part").select(k.alias("id"), address.street_key(raw, (44000 + F.col("p_size")).cast("string")).alias("k"))
 
 
-@query(f"SELECT p_partkey AS id, {nth(['Oak St|1', 'N Elm Rd|1', 'Main St|1', '1st Ave|1'])} AS k FROM part")
-def street_key(spark, d):
-    p = picked(spark, d, _KEYED).select("id", F.replace("s", F.lit("{}"), F.col("id").cast("string")).alias("s"))
-    return p.select("id", address.street_key(F.col("s"), F.lit("1")).alias("k"))
+#: Words of a document's text stand for a person's names: as many as its number says, with or without a comma and a suffix.
+_NAMES_SQL = """WITH w AS (SELECT doc_id AS id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1 : 1 + doc_id % 5], lambda x: upper(x)) AS w, doc_id % 2 = 0 AS comma, doc_id % 3 = 0 AS suffixed FROM documents)"""
 
 
-PEOPLE = {
-    "Abigail M. Heredos": ("HEREDOS", "ABIGAIL", "M", ""),
-    "George O. Fillinger II.": ("FILLINGER", "GEORGE", "O", "II"),
-    "Heredos, Abigail Mae Jr": ("HEREDOS", "ABIGAIL", "MAE", "JR"),
-    "Jr": ("JR", "", "", ""),
-    "Ann Jr": ("JR", "ANN", "", ""),
-    "  Mary   Ann  van Dyke ": ("DYKE", "MARY", "ANN VAN", ""),
-    "Cher,": ("CHER", "", "", ""),
-    "": ("", "", "", ""),
-}
-ROLL_PEOPLE = {"HAROLD L BOYLES JR": ("BOYLES", "JR HAROLD L"), "JR": ("JR", ""), "ANN SMITH III.": ("SMITH", "III ANN"), "ANN  SMITH": ("SMITH", "ANN"), "": ("", "")}
+def _named(spark, d):
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.lit(1), (1 + F.col("doc_id") % 5).cast("int"))
+    tail = F.when(F.col("doc_id") % 3 == 0, F.lit("  jr. ")).otherwise("")
+    rest = F.array_join(F.slice(F.col("w"), 2, F.greatest(F.size("w"), F.lit(1))), "  ")
+    first = F.coalesce(F.get("w", F.lit(0)), F.lit(""))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("w"), (F.col("doc_id") % 2 == 0).alias("comma"), tail.alias("tail")).select(
+        "id", F.concat(F.lit(" "), F.when(F.col("comma"), F.concat(first, F.lit(", "), rest)).otherwise(F.array_join("w", " ")), F.lit(" "), "tail").alias("s")
+    )
 
 
-@query(f"SELECT p_partkey AS id, {', '.join(f'{nth([v[k] for v in PEOPLE.values()])} AS {c}' for k, c in enumerate(('last', 'first', 'middle', 'suffix')))} FROM part".replace(" AS last", ' AS "last"').replace(" AS first", ' AS "first"'))
+@query(_NAMES_SQL + """, n AS (SELECT id, comma, CASE WHEN suffixed THEN list_append(w, 'JR') ELSE w END AS a FROM w), c AS (SELECT id, comma, a, CASE WHEN comma THEN a[2:] ELSE a END AS g, len(w) = 0 AS empty FROM n JOIN w USING (id, comma)),
+x AS (SELECT id, comma, a, CASE WHEN comma AND empty THEN a ELSE g END AS g, empty FROM c), y AS (SELECT *, len(g) > CASE WHEN comma THEN 1 ELSE 2 END AND g[-1] IN ('JR', 'SR', 'I', 'II', 'III', 'IV', 'V', 'VI') AS s FROM x), z AS (SELECT *, CASE WHEN s THEN g[:-2] ELSE g END AS r FROM y),
+v AS (SELECT *, CASE WHEN comma THEN r ELSE r[:-2] END AS given FROM z)
+SELECT id, CASE WHEN comma THEN CASE WHEN empty THEN '' ELSE a[1] END ELSE coalesce(r[-1], '') END AS "last", coalesce(given[1], '') AS "first", array_to_string(given[2:], ' ') AS middle, CASE WHEN s THEN g[-1] ELSE '' END AS suffix FROM v""")
 def split_names(spark, d):
-    return picked(spark, d, list(PEOPLE)).select("id", names.split_name(F.col("s")).alias("n")).select("id", "n.*")
+    return _named(spark, d).select("id", names.split_name(F.col("s")).alias("n")).select("id", "n.*")
 
 
-@query(f"SELECT p_partkey AS id, {nth([v[0] for v in ROLL_PEOPLE.values()])} AS last_name, {nth([v[1] for v in ROLL_PEOPLE.values()])} AS first_name FROM part")
+@query(_NAMES_SQL + """, n AS (SELECT id, CASE WHEN suffixed THEN list_append(w, 'JR') ELSE w END AS a FROM w), y AS (SELECT *, len(a) > 1 AND a[-1] IN ('JR', 'SR', 'I', 'II', 'III', 'IV', 'V', 'VI') AS s FROM n), z AS (SELECT *, CASE WHEN s THEN a[:-2] ELSE a END AS r FROM y)
+SELECT id, coalesce(r[-1], '') AS last_name, array_to_string(list_concat(CASE WHEN s THEN [a[-1]] ELSE [] END, r[:-2]), ' ') AS first_name FROM z""")
 def roll_names(spark, d):
-    return picked(spark, d, list(ROLL_PEOPLE)).select("id", names.roll_name(F.col("s")).alias("n")).select("id", "n.*")
+    plain = _named(spark, d).select("id", F.upper(F.replace("s", F.lit(","), F.lit(""))).alias("s"))
+    return plain.select("id", names.roll_name(F.col("s")).alias("n")).select("id", "n.*")
 
 
-_CSZ = ["Bay Village Oh 44140", "PARMA  OH  44129-1234", "somewhere", "", "Lima Oh 4580", "St. Clair oh 43950"]
+_CSZ = ["Two Words Oh 44000", "NEAR  OH  44001-1234", "somewhere", "", "Far Oh 4400", "St. Far oh 44002"]
 
 
 @query(S(_CSZ) + r""", t AS (SELECT id, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s, regexp_matches(trim(s), '^.+\s[A-Za-z]{2}\s+\d{5}(-\d{4})?$') AS ok FROM s)
@@ -198,40 +187,34 @@ def city_state_zip(spark, d):
     return picked(spark, d, _CSZ).select("id", names.city_state_zip(F.col("s")).alias("c")).select("id", "c.*")
 
 
-HOMES = {
-    ("NEW MIDDLETOWN VILLAGE", "X", "", ""): "New Middletown",
-    ("", "MCDONALD CITY", "Y", ""): "McDonald",
-    ("", "", "HOWLAND TWP ONLY", ""): "Howland Township",
-    ("", "", "", "BRECKSVILLE-00-G"): "Brecksville",
-    ("", "", "", "OLMSTED TOWNSHIP-01-A"): "Olmsted Township",
-    ("", "", "", "WARRENSVILLE HTS-02-B"): "Warrensville Heights",
-    ("", "", "", "PRECINCT 1"): "",
-    ("GENEVA-ON-THE-LAKE", "", "", ""): "Geneva-on-the-Lake",
-}
+#: A name from the tables as words with a capital letter each.
+_TITLE = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
-@query(f"SELECT p_partkey AS id, {nth(list(HOMES.values()))} AS home FROM part")
+@query(f"""SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN {_TITLE.format("r_name")} WHEN 1 THEN {_TITLE.format("c_mktsegment")} WHEN 2 THEN {_TITLE.format("r_name")} || ' Township' WHEN 3 THEN {_TITLE.format("c_mktsegment")} || ' Heights' ELSE {_TITLE.format("c_mktsegment")} || ' Township' END AS home
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def jurisdiction_of(spark, d):
-    p = picked(spark, d, ["|".join(k) for k in HOMES])
-    parts = F.split("s", r"\|", 4)
-    return p.select("id", names.jurisdiction(*(parts[k] for k in range(4))).alias("home"))
-
-
-DISTRICTS = {
-    "CITY OF COLUMBUS-WHITEHALL CSD": ("Columbus", ""),
-    "LIBERTY TWP-DELAWARE CORP-OLENTANGY LSD": ("Delaware", "Liberty Township"),
-    "VILLAGE OF MCARTHUR": ("McArthur", ""),
-    "ORANGE TOWNSHIP - OLENTANGY LSD": ("Orange Township", ""),
-    "COLUMBUS-SOUTHWESTERN CSD": ("Columbus", ""),
-    "OLENTANGY LSD": ("Unassigned", ""),
-    "": ("Unassigned", ""),
-    "GENOA TWP.-WESTERVILLE CORP.": ("Westerville", "Genoa Township"),
-}
+    """Village, city, township and precinct columns filled from regions and segments."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    k, none = F.col("c_custkey") % 5, F.lit("")
+    precinct = lambda kind: F.concat("c_mktsegment", F.lit(f"{kind}-"), F.lpad((F.col("c_custkey") % 90).cast("string"), 2, "0"), F.lit("-A"))
+    home = names.jurisdiction(
+        F.when(k == 0, F.concat("r_name", F.lit(" VILLAGE"))).otherwise(none), F.when(k == 0, "ELSEWHERE").when(k == 1, F.concat("c_mktsegment", F.lit(" CITY"))).otherwise(none),
+        F.when(k == 2, F.concat("r_name", F.lit(" TWP ONLY"))).otherwise(none), F.when(k == 3, precinct(" HTS")).when(k == 4, precinct(" TOWNSHIP")).otherwise(none),
+    )
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("c_custkey").alias("id"), home.alias("home"))
 
 
-@query(f"SELECT p_partkey AS id, {nth([v[0] for v in DISTRICTS.values()])} AS jurisdiction, {nth([v[1] for v in DISTRICTS.values()])} AS township FROM part")
+@query(f"""SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN {_TITLE.format("r_name")} WHEN 1 THEN {_TITLE.format("r_name")} WHEN 2 THEN {_TITLE.format("c_mktsegment")} || ' Township' WHEN 3 THEN {_TITLE.format("r_name")} ELSE 'Unassigned' END AS jurisdiction,
+  CASE c_custkey % 5 WHEN 1 THEN {_TITLE.format("c_mktsegment")} || ' Township' ELSE '' END AS township FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def parse_district(spark, d):
-    return picked(spark, d, list(DISTRICTS)).select("id", names.parse_district(F.col("s")).alias("p")).select("id", "p.*")
+    """Districts of regions, segments and schools: a city, a township with a corporation, a township, a bare name, schools only."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    k = F.col("c_custkey") % 5
+    raw = F.when(k == 0, F.concat(F.lit("City of "), "r_name", F.lit("-"), "c_mktsegment", F.lit(" CSD"))).when(k == 1, F.concat("c_mktsegment", F.lit(" TWP.-"), "r_name", F.lit(" CORP-"), "c_mktsegment", F.lit(" LSD")))
+    raw = raw.when(k == 2, F.concat("c_mktsegment", F.lit("  township - "), "r_name", F.lit(" LSD"))).when(k == 3, F.concat("r_name", F.lit("-"), "c_mktsegment", F.lit(" city schools"))).otherwise(F.concat("c_mktsegment", F.lit(" EVSD")))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return rows.select(F.col("c_custkey").alias("id"), names.parse_district(raw).alias("p")).select("id", "p.*")
 
 
 _TITLES = ["NEW middletown", "MCDONALD", "o'brien", "GENEVA-ON-THE-LAKE", "mc", "3rd st", "  a  b "]
@@ -252,12 +235,12 @@ def tidy_names(spark, d):
     return picked(spark, d, _BOUNDS).select("id", names.tidy_name(F.col("s"), F.col("id") % 2 == 0).alias("label"))
 
 
-_PLACES = {"City of Lima": "LIMA", "the village of Ada, Ohio": "ADA", "Shaker Heights": "SHAKER HTS", "Liberty Twp": "LIBERTY", "MOUNT VERNON OH": "MT VERNON", "Saint Clair Township": "ST CLAIR", "St. Clair": "ST CLAIR", "": ""}
-
-
-@query(f"SELECT p_partkey AS id, {nth(list(_PLACES.values()))} AS place FROM part")
+@query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 2 THEN upper(c_mktsegment) || ' HTS' WHEN 4 THEN 'MT ' || upper(c_mktsegment) WHEN 5 THEN 'ST ' || replace(upper(n_name), '_', ' ') ELSE replace(upper(n_name), '_', ' ') END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def place_keys(spark, d):
-    return picked(spark, d, list(_PLACES)).select("id", C.place_key(F.col("s")).alias("place"))
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    k, name, kind = F.col("c_custkey") % 6, F.lower("n_name"), F.col("c_mktsegment")
+    raw = F.when(k == 0, F.concat(F.lit("The City of "), name, F.lit(", Ohio"))).when(k == 1, F.concat(name, F.lit("  Twp"))).when(k == 2, F.concat(kind, F.lit(" Heights"))).when(k == 3, F.concat(F.lit("village of "), name)).when(k == 4, F.concat(F.lit("Mount "), kind, F.lit(" OH"))).otherwise(F.concat(F.lit("Saint "), name, F.lit(" Township")))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("id"), C.place_key(raw).alias("place"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '2024-03-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') WHEN 1 THEN strftime(DATE '1899-12-30' + (45000 + p_partkey % 900)::INTEGER, '%Y-%m-%d')
@@ -310,12 +293,11 @@ def deep_links(spark, d):
     return p.select("id", "link", F.nullif(back["q"], F.lit("")).alias("q"), back["lat"].alias("lat"))
 
 
-_RETRIES = {"100 Main St": "100 Main St, OH", "100 Main St, Lima 45801": None, "1 Oak St, Ohio": None, "1 Main Ct": "1 Main Ct, OH", "1 Elm St, PA": None, "1 Oak St NE ,": "1 Oak St NE, OH", "": None, "9 Elm OH": None, "2 Elm, QQ": "2 Elm, QQ, OH"}
-
-
-@query(f"SELECT p_partkey AS id, {nth(list(_RETRIES.values()))} AS again, 'address=' || replace(replace({nth([k.strip() for k in _RETRIES])}, ' ', '+'), ',', '%2C') || '&benchmark=Public_AR_Current&vintage=Current_Current&layers=Counties&format=json' AS request FROM part")
+@query("""WITH a AS (SELECT p_partkey AS id, p_size || ' ' || p_name || ' St' || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ', 45801' WHEN 2 THEN ', Ohio' WHEN 3 THEN ' ,' ELSE ', PA' END AS s, p_partkey % 5 AS k FROM part)
+SELECT id, CASE WHEN k IN (0, 3) THEN regexp_replace(s, '[ ,]+$', '') || ', OH' END AS again, 'address=' || replace(replace(trim(s), ' ', '+'), ',', '%2C') || '&benchmark=Public_AR_Current&vintage=Current_Current&layers=Counties&format=json' AS request FROM a""")
 def geocoder_retry(spark, d):
-    p = picked(spark, d, list(_RETRIES))
+    ends = F.element_at(F.array(*map(F.lit, ("", ", 45801", ", Ohio", " ,", ", PA"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_size").cast("string"), F.lit(" "), "p_name", F.lit(" St"), ends).alias("s"))
     return p.select("id", display.retry_address(F.col("s")).alias("again"), display.geocoder_query(F.col("s")).alias("request"))
 
 
@@ -325,15 +307,15 @@ def parcel_key_forms(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, display.query_key(raw, "dashed")).alias("dashed"), display.query_key(raw, "stripped").alias("bare"))
 
 
-_APPS = ["Van Wert", "Lima", "Stark"]
-_ASKED = ["VAN WERT COUNTY", "van-wert", "Lima County", "Nowhere", "", "stark"]
-
-
-@query(f"SELECT p_partkey AS id, {nth(['Van Wert', 'Van Wert', 'Lima', None, None, 'Stark'])} AS app FROM part")
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 < 3 THEN r_name END AS app FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def county_app(spark, d):
-    p = picked(spark, d, _ASKED).withColumn("k", names.county_key(F.col("s")))
-    apps = spark.createDataFrame([(a,) for a in _APPS], "app string").withColumn("k", names.county_key(F.col("app")))
-    return p.join(F.broadcast(apps), (p.k == apps.k) & (p.k != ""), "left").select("id", "app")
+    """Regions as counties that have an app, asked for in three spellings and by a name that none has."""
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    k = F.col("c_custkey") % 4
+    asked = F.when(k == 0, F.concat("r_name", F.lit(" COUNTY"))).when(k == 1, F.lower(F.replace("r_name", F.lit(" "), F.lit("-")))).when(k == 2, F.initcap("r_name")).otherwise(F.concat(F.lit("new "), "r_name"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("c_custkey").alias("id"), names.county_key(asked).alias("k"))
+    apps = r.select(F.col("r_name").alias("app"), names.county_key(F.col("r_name")).alias("k"))
+    return rows.join(apps, (rows.k == apps.k) & (rows.k != ""), "left").select("id", "app")
 
 
 @query("""WITH m AS (SELECT l_orderkey AS lookup, CASE WHEN l_linenumber % 3 = 0 THEN '39' || lpad((l_partkey % 200)::VARCHAR, 3, '0') WHEN l_linenumber % 3 = 1 THEN '18001' ELSE '39' END AS fips FROM lineitem)
