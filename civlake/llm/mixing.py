@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from civlake.llm.common import SPACE, documents, stash
+from civlake.llm.common import HOT_KEYS, HOT_ROWS, SPACE, documents, stash
 
 #: Documents that fly together in one shard; with two left from each, a level holds 1/2048 of the one before it.
 SHARD_DOCS = 4096
@@ -125,23 +125,29 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
     Null texts have size 0; a null source is a source of its own; a source without words has target
     0 and no copies. Rows that repeat an id are separate documents. A null id sorts last. An empty
-    table gives an empty result, and further columns of docs are not carried. Of equal rows any may be the one that is taken more often.
+    table gives an empty result, and further columns of docs are not carried. Of equal rows any may be the one that is taken more often. Rows alike in id and size that are very many
+    (more than HOT_ROWS and than one in HOT_KEYS of all) are dealt out to shards by their places in the table, so that no shard holds them all.
 
     A source whose target is a whole multiple of its words is met exactly. Any other misses its target by less than the largest of the at most `shard_docs`
     documents that take part in its landing, as a rule by far less, since these are small and exchanges follow.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    base = stash(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *others), "sizes")
+    base = stash(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *others).withColumn("__row", F.monotonically_increasing_id()).withColumn("order", F.xxhash64("doc_id", "size")), "sizes")
+    # what decides the shard: an id and a size, and a place for the few pairs of them that very many rows have
+    often = base.groupBy("order").agg(F.count(F.lit(1)).alias("alike")).filter(f"alike > {HOT_ROWS}")
+    often = stash(often, "alike")
+    most_alike = max(HOT_ROWS, base.count() // HOT_KEYS)
+    hot = often.filter(F.col("alike") > most_alike).select("order", F.lit(True).alias("__hot"))
+    base = base.join(F.broadcast(hot), "order", "left").withColumn("order", F.when(F.col("__hot"), F.xxhash64("order", "__row")).otherwise(F.col("order"))).drop("__hot", "__row")
     per_source = base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     dim = targets(per_source, share, most, weights).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")).withColumnRenamed("source", "__source")
+    salted = base.withColumn("salt", F.pmod("order", F.lit(SALTS)).cast("int")).withColumnRenamed("source", "__source")
     met = salted.join(dim, F.col("__source").eqNullSafe(F.col("source")) & (salted.salt == dim.salt)).drop("__source", "salt")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     met = (
         met.withColumn("rate", F.when(F.col("target") >= F.col("source_size") * F.lit(float(most)) * (1 - 1e-12), F.when(F.col("source_size") > 0, F.lit(float(most))).otherwise(0.0)).otherwise(rate))
         .withColumn("whole", F.floor("rate"))
         .withColumn("p", F.col("rate") - F.col("whole"))
-        .withColumn("order", F.xxhash64("doc_id", "size"))
         .withColumn("shards", F.ceil(F.col("n_docs") / shard_docs))
         .withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards")))
         .withColumn("last", F.col("shards") == 1)

@@ -1,7 +1,8 @@
 """Document fingerprints from spot signatures, in DataFrame operations only.
 
 A common word followed by a chain of content words (other common words between them are passed
-over, up to three at a time) is a spot; the set of a text's spots is its signature set, and the
+over, up to three at a time) is a spot. A text's signature set has its spots and the words whose hashes are
+the smallest, a few, so that texts with few spots or none have something to compare; the
 sorted hashes of the set are its fingerprint. Likeness is the Jaccard similarity of two sets. Near
 duplicates are found by joining on each set's rarest spots inside partitions by length, between sets whose
 sizes and places allow the similarity asked for.
@@ -27,6 +28,8 @@ COMMON = tuple(
 #: ASCII other than letters and digits parts words; all other characters belong to them.
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CHAIN = 2
+#: Words that a signature set holds beside its spots, at most: those with the smallest hashes.
+LEAST_WORDS = 16
 #: Rows of one spot and length that meet in one block, about.
 CELL_ROWS = 1024
 #: Ids that one window orders, about, and ranges at most: one window orders a row a range.
@@ -52,19 +55,21 @@ def spot_pattern(anchors: tuple[str, ...] = ANCHORS, common: tuple[str, ...] = C
     return rf"(?= ({any_of(anchors)}(?:(?: {passed}(?= )){{0,3}} (?!{passed} )[^ ]+){{{chain}}}) )"
 
 
-def signature(text: Column, anchors: tuple[str, ...] = ANCHORS, common: tuple[str, ...] = COMMON, chain: int = CHAIN) -> Column:
-    """The sorted distinct hashes of a text's spots.
+def signature(text: Column, anchors: tuple[str, ...] = ANCHORS, common: tuple[str, ...] = COMMON, chain: int = CHAIN, least_words: int = LEAST_WORDS) -> Column:
+    """The sorted distinct hashes of a text's spots and of those of its words that have the smallest hashes, `least_words` at most.
 
-    A text with words but without a spot has the hashes of its words instead, so that short texts can be told apart too; a set of words and a set
-    of spots have nothing in common, as two texts of which only one has spots are not alike. A text without words has none. Null counts as empty.
+    All words of the text are hashed, so that like texts have like smallest ones. A text that gains or loses a spot changes by that spot alone; a text without spots is
+    told by its words. A text without words has an empty set. Null counts as empty.
     """
     words = words_of(F.coalesce(text, F.lit("")))
+
     # a lambda's variable holds what is worked out once and used twice
-    spots = F.transform(
-        F.array(words),
-        lambda w: F.transform(F.array(F.regexp_extract_all(w, F.lit(spot_pattern(anchors, common, chain)), F.lit(1))), lambda s: F.when(F.size(s) > 0, s).otherwise(F.filter(F.split(w, " "), lambda x: x != "")))[0],
-    )[0]
-    return F.sort_array(F.array_distinct(F.transform(spots, lambda s: F.xxhash64(s))))
+    def both(w: Column) -> Column:
+        spots = F.transform(F.regexp_extract_all(w, F.lit(spot_pattern(anchors, common, chain)), F.lit(1)), lambda s: F.xxhash64(s))
+        each = F.array_distinct(F.transform(F.filter(F.split(w, " "), lambda x: x != ""), lambda x: F.xxhash64(x)))
+        return F.concat(spots, F.slice(F.array_sort(each), 1, least_words))
+
+    return F.sort_array(F.array_distinct(F.transform(F.array(words), both)[0]))
 
 
 def fingerprint(sig: Column) -> Column:
@@ -82,8 +87,8 @@ def likeness(a: Column, b: Column) -> Column:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rep_a, rep_b, similarity) of pairs of distinct signature sets that are alike; members() tells whose set a row has.
 
-    Rows with equal sets are one class, named by its smallest id (rows without an id take part in no class); each pair of classes appears once. Sets
-    without spots in common are never alike; empty sets, of null and wordless texts, are left out. An empty table gives an empty result, and further columns
+    Rows with equal sets are one class, named by its smallest id (rows without an id take part in no class); each pair of classes appears once. Empty
+    sets, of null and wordless texts, are left out. An empty table gives an empty result, and further columns
     are not carried.
 
     Sets are partitioned by length, each partition 1 / threshold times as wide as the one before, so that alike sets lie in one or in
