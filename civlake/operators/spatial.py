@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from civlake.functions.columns import all_of
 
 CELL = 60
+#: Where in a cell its middle is taken to be, east and north: off the middle, so that no corner with the decimals that surveys write falls on one.
+MIDDLE_X, MIDDLE_Y = 0.487162531, 0.512649377
 
 
 @dataclass(frozen=True)
@@ -90,35 +92,91 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
 
 
 def edge_table(spark: SparkSession, polygons: list[Polygon]) -> DataFrame:
-    """place, rank, x1, y1, x2, y2: a row an edge of each ring, holes too. For polygons that come as data, the same columns do."""
-    rows = [(p.name, p.rank, *map(float, (*a, *b))) for p in polygons for ring in p.rings for a, b in zip(ring, (*ring[1:], ring[0]), strict=True) if a[1] != b[1]]
-    return spark.createDataFrame(rows, "place string, rank int, x1 double, y1 double, x2 double, y2 double")
+    """place, rank, shape, x1, y1, x2, y2: a row an edge of each ring, holes too. For polygons that come as data, features.edges_of() gives the same columns."""
+    rows = [(p.name, p.rank, k, *map(float, (*a, *b))) for k, p in enumerate(polygons) for ring in p.rings for a, b in zip(ring, (*ring[1:], ring[0]), strict=True) if a != b]
+    return spark.createDataFrame(rows, "place string, rank int, shape long, x1 double, y1 double, x2 double, y2 double")
 
 
-def locate(points: DataFrame, edges: DataFrame, key: str = "id", band: float = 0.01) -> DataFrame:
-    """key and place of points (key, lon, lat) in a polygon of the edge table, of several that with the least rank, then name.
+def cell_cover(edges: DataFrame, cell: float) -> DataFrame:
+    """cx, cy, shapes: the square cells that polygons of the edge table cover, with the shapes of each, by rank and name.
 
-    A ray to the east crosses the edges of a polygon around the point an odd number of times. Points meet only edges that pass their band
-    of latitude, so a border of thousands of edges costs a point a few; crossings are counted in partial aggregates. No box test is needed.
+    A shape lists, for a cell that its border passes, the edges that do and whether the cell's middle is inside (odd = 1); a cell wholly inside has no edges. Edges are cut by rows of
+    cells, so that no step sees more than a polygon's edges in one row.
     """
-    at = lambda y: F.floor(y / band)
-    banded = edges.withColumn("band", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
-    lat, lon = F.col("lat"), F.col("lon")
-    crosses = ((F.col("y1") > lat) != (F.col("y2") > lat)) & (lon < (F.col("x2") - F.col("x1")) * (lat - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    met = points.select(key, "lon", "lat").withColumn("band", at(lat)).join(banded, "band").filter(crosses)
-    inside = met.groupBy(key, "place", "rank").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
-    return inside.groupBy(key).agg(F.min_by("place", F.struct("rank", "place")).alias("place"))
+    at = lambda v: F.floor(v / cell)
+    shape = ["place", "rank", "shape"]
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("cy", F.explode(F.sequence(at(low), at(high))))
+    on = lambda y: F.try_divide((F.col("x2") - F.col("x1")) * (y - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
+    flat = F.col("y1") == F.col("y2")
+    from_x = F.when(flat, F.col("x1")).otherwise(on(F.greatest(low, F.col("cy") * cell)))
+    to_x = F.when(flat, F.col("x2")).otherwise(on(F.least(high, (F.col("cy") + 1) * cell)))
+    # a hair wider, so that rounding leaves no cell out
+    touched = F.sequence(at(F.least(from_x, to_x) - cell * 1e-6), at(F.greatest(from_x, to_x) + cell * 1e-6))
+    ends = F.struct("x1", "y1", "x2", "y2")
+    border = rows.withColumn("cx", F.explode(touched)).groupBy(*shape, "cx", "cy").agg(F.collect_list(ends).alias("edges"))
+    middle = (F.col("cy") + MIDDLE_Y) * cell
+    across = rows.filter((F.col("y1") > middle) != (F.col("y2") > middle)).groupBy(*shape, "cy").agg(F.sort_array(F.collect_list(on(middle))).alias("xs"))
+    odd = lambda x: F.size(F.filter("xs", lambda xi: xi > x)) % 2
+    met = border.join(across, [*shape, "cy"], "left").withColumn("odd", F.coalesce(odd((F.col("cx") + MIDDLE_X) * cell), F.lit(0)))
+    spans = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda k: F.struct(F.ceil(F.get("xs", k) / cell - MIDDLE_X).alias("a"), F.floor(F.get("xs", k + 1) / cell - MIDDLE_X).alias("b")))
+    within = across.select(*shape, "cy", F.explode(F.filter(spans, lambda s: s["a"] <= s["b"])).alias("s")).select(*shape, "cy", F.explode(F.sequence("s.a", "s.b")).alias("cx"))
+    inner = within.join(border.select("shape", "place", "rank", "cx", "cy"), [*shape, "cx", "cy"], "left_anti").select(*shape, "cx", "cy", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("edges"), F.lit(1).alias("odd"))
+    every = met.select(*shape, "cx", "cy", "edges", "odd").unionByName(inner)
+    return every.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct("rank", "place", "shape", "odd", "edges"))).alias("shapes"))
+
+
+def locate(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0.02) -> DataFrame:
+    """key and place of points (key, lon, lat) in a polygon of the edge table, of several that with the least rank, then name."""
+    return _held(points, edges, key, cell).filter(F.size("__in") > 0).select(key, F.col("__in")[0]["place"].alias("place"))
+
+
+def locate_all(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0.02) -> DataFrame:
+    """key, place, rank and shape of points in each polygon of the edge table that holds them."""
+    return _held(points, edges, key, cell).select(key, F.explode("__in").alias("s")).select(key, "s.place", "s.rank", "s.shape")
+
+
+def _held(points: DataFrame, edges: DataFrame, key: str, cell: float) -> DataFrame:
+    """key and __in, the shapes that hold a point, by rank and name.
+
+    A point meets the one row of its cell. Cells inside a polygon answer without a look at an edge; in a border's cell the edges there are crossed from the cell's middle to the point, along
+    the row and up or down the column, and each crossing turns inside to outside. Points are joined once and not grouped again; where a crowded cell makes the join uneven, Spark splits its
+    points (adaptive skew join), as each needs the same row.
+    """
+    lon, lat = F.col("lon"), F.col("lat")
+    cover = cell_cover(edges, cell)
+    placed = points.select(key, "lon", "lat").withColumn("cx", F.floor(lon / cell)).withColumn("cy", F.floor(lat / cell))
+    mx, my = (F.col("cx") + MIDDLE_X) * cell, (F.col("cy") + MIDDLE_Y) * cell
+
+    def crossed(e: Column) -> Column:
+        # a level edge is not crossed along its row, an upright one not along its column
+        at_lat = F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
+        at_mx = F.try_divide((e["y2"] - e["y1"]) * (mx - e["x1"]), e["x2"] - e["x1"]) + e["y1"]
+        along = ((e["y1"] > lat) != (e["y2"] > lat)) & ((lon < at_lat) != (mx < at_lat))
+        up = ((e["x1"] > mx) != (e["x2"] > mx)) & ((lat < at_mx) != (my < at_mx))
+        return along != up
+
+    holds = lambda s: (s["odd"] + F.size(F.filter(s["edges"], crossed))) % 2 == 1
+    return placed.join(cover, ["cx", "cy"]).select(key, F.filter("shapes", holds).alias("__in"))
 
 
-def clipped(shapes: DataFrame, vertices: DataFrame, edges: DataFrame, share: float = 0.1, least: int = 8) -> DataFrame:
+def clipped(shapes: DataFrame, vertices: DataFrame, edges: DataFrame | None, share: float = 0.1, least: int = 8, box: tuple[float, float, float, float] | None = None, cell: float = 0.02) -> DataFrame:
     """name, kept, inside and vertices of shapes (name, lon, lat of an inner point, or null) whose outline is in vertices (name, seq, lon, lat).
 
-    Kept are those whose inner point lies in the mask of the edge table, and straddlers: with enough vertices, and enough of all of theirs, inside.
+    Kept are those whose inner point lies in the mask of the edge table, and straddlers: with enough vertices, and enough of all of theirs, inside. Without a mask, those whose inner point lies in the box
+    (west, south, east, north) are, and no vertex counts as inside.
     """
+    if edges is None:
+        if box is None:
+            raise ValueError("neither a mask nor a box")
+        w, s, e, n = box
+        count = vertices.groupBy("name").agg(F.count(F.lit(1)).alias("vertices"))
+        kept = F.coalesce(F.col("lon").between(w, e) & F.col("lat").between(s, n), F.lit(False))
+        return shapes.join(count, "name", "left").select("name", kept.alias("kept"), F.lit(0).cast("long").alias("inside"), F.coalesce("vertices", F.lit(0)).alias("vertices"))
     corner = vertices.withColumn("id", F.struct("name", "seq"))
-    found = locate(corner, edges).select("id", F.lit(True).alias("in"))
+    found = locate(corner, edges, cell=cell).select("id", F.lit(True).alias("in"))
     counts = corner.join(found, "id", "left").groupBy("name").agg(F.count("in").alias("inside"), F.count(F.lit(1)).alias("vertices"))
-    inner = locate(shapes.filter("lon is not null and lat is not null").withColumnRenamed("name", "id"), edges).select(F.col("id").alias("name"), F.lit(True).alias("point"))
+    inner = locate(shapes.filter("lon is not null and lat is not null").withColumnRenamed("name", "id"), edges, cell=cell).select(F.col("id").alias("name"), F.lit(True).alias("point"))
     met = shapes.select("name").join(counts, "name", "left").join(inner, "name", "left")
     n, v = F.coalesce("inside", F.lit(0)), F.coalesce("vertices", F.lit(0))
     kept = F.col("point").isNotNull() | ((n >= least) & (n >= v * share) & (v > 0))

@@ -47,6 +47,92 @@ def straddler_clip(spark, d):
     return spatial.clipped(shapes, vertices, spatial.edge_table(spark, PLACES), 0.3, 8)
 
 
+#: Jagged squares around suppliers' places, each fourth with a hole, each fifth with a second part: (ring, corner, x, y) by plain arithmetic.
+_SIDES, _STEPS = 4, 15
+
+
+def _jagged(x, y, r, turned: bool = False):
+    """The corners of a square of 2 r, every second one drawn in by a tenth of r; turned the other way round for a hole."""
+    def corner(k):
+        side, t, inward = F.floor(k / _STEPS), (k % _STEPS) / _STEPS * 2 - 1, 1 - (k % 2) * 0.1
+        dx = F.when(side == 0, t).when(side == 1, inward).when(side == 2, -t).otherwise(-inward)
+        dy = F.when(side == 0, -inward).when(side == 1, t).when(side == 2, inward).otherwise(-t)
+        return F.struct((x + dx * r).alias("x"), (y + dy * r).alias("y"))
+
+    ring = F.transform(F.sequence(F.lit(0), F.lit(_SIDES * _STEPS - 1)), corner)
+    return F.reverse(ring) if turned else ring
+
+
+def _shapes(spark, d):
+    """Features of suppliers: seq, properties and parts."""
+    k = F.col("s_suppkey")
+    x, y, r = -83.6 + (k * 37 % 120) / 100, 39.4 + (k * 53 % 120) / 100, 0.03 + (k % 7) / 100
+    outline = _jagged(x, y, r)
+    rings = F.when(k % 4 == 0, F.array(outline, _jagged(x, y, r / 2, True))).otherwise(F.array(outline))
+    parts = F.when(k % 5 == 0, F.array(rings, F.array(_jagged(x + 0.2, y - 0.1, r / 3)))).otherwise(F.array(rings))
+    return table(spark, d, "supplier").select(k.alias("seq"), F.create_map(F.lit("NAME"), "s_name", F.lit("RANK"), (k % 3).cast("string")).alias("properties"), parts.alias("parts"))
+
+
+def _from_file(spark, d):
+    from civlake.scratch import new_path
+    from civlake.sources.features import collection_lines, read_features
+    from civlake.sources.publish import publish
+
+    path = f"{new_path(spark, 'features')}/places.json"
+    publish(collection_lines(_shapes(spark, d)), path)
+    return read_features(spark, path)
+
+
+_F = f"""WITH m AS (SELECT vec_id, -83 + embedding[1]::DOUBLE AS lon, 40 + embedding[2]::DOUBLE AS lat FROM embeddings),
+s AS (SELECT s_suppkey AS k, s_name AS place, s_suppkey % 3 AS rank, -83.6 + (s_suppkey * 37 % 120) / 100.0::DOUBLE AS x, 39.4 + (s_suppkey * 53 % 120) / 100.0::DOUBLE AS y, 0.03 + (s_suppkey % 7) / 100.0::DOUBLE AS r FROM supplier),
+rings AS (SELECT k, place, rank, 0 AS ring, x, y, r FROM s UNION ALL SELECT k, place, rank, 1, x, y, r / 2 FROM s WHERE k % 4 = 0 UNION ALL SELECT k, place, rank, 2, x + 0.2, y - 0.1, r / 3 FROM s WHERE k % 5 = 0),
+o AS (SELECT k, place, rank, ring, i, x, y, r, i // {_STEPS} AS side, (i % {_STEPS}) / {_STEPS}.0::DOUBLE * 2 - 1 AS t, 1 - (i % 2) * 0.1::DOUBLE AS n FROM rings, (SELECT unnest(range({_SIDES * _STEPS})) AS i)),
+v AS (SELECT k, place, rank, ring, i, x + (CASE side WHEN 0 THEN t WHEN 1 THEN n WHEN 2 THEN -t ELSE -n END) * r AS x, y + (CASE side WHEN 0 THEN -n WHEN 1 THEN t WHEN 2 THEN n ELSE -t END) * r AS y FROM o),
+e AS (SELECT a.k, a.place, a.rank, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.k = b.k AND a.ring = b.ring AND b.i = (a.i + 1) % {_SIDES * _STEPS})
+"""
+
+
+@query(_F + """, h AS (SELECT vec_id, place, rank FROM m, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY vec_id, place, rank, k HAVING count(*) % 2 = 1)
+SELECT vec_id, arg_min(place, (rank, place)) AS place, count(*) AS holders FROM h GROUP BY 1""")
+def located_in_features(spark, d):
+    """Points in polygons that are read from a file: parts, holes and overlaps."""
+    from civlake.sources.features import edges_of
+
+    p = _points(spark, d).select(F.col("vec_id").alias("id"), "lon", "lat")
+    edges = edges_of(_from_file(spark, d), F.col("properties")["NAME"], F.col("properties")["RANK"].cast("int"))
+    found = spatial.locate(p, edges)
+    # each polygon alone, to count all that hold a point
+    alone = spatial.locate_all(p, edges).groupBy("id").agg(F.count(F.lit(1)).alias("holders"))
+    return found.join(alone, "id").select(F.col("id").alias("vec_id"), "place", "holders")
+
+
+@query(_F + """, b AS (SELECT k, place, min(x) AS west, min(y) AS south, max(x) AS east, max(y) AS north FROM v GROUP BY 1, 2)
+SELECT place, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north FROM b WHERE west <= -83.0 AND east >= -83.5 AND south <= 40.0 AND north >= 39.6 ORDER BY k LIMIT 20""")
+def viewport_features(spark, d):
+    from civlake.sources.features import in_viewport
+
+    seen = in_viewport(_from_file(spark, d), (-83.5, 39.6, -83.0, 40.0), 20)
+    return seen.select(F.col("properties")["NAME"].alias("place"), "west", "south", "east", "north")
+
+
+@query(_F + _E.replace("e AS (SELECT", "mask AS (SELECT") + """, c AS (SELECT v.k, v.place, ring, i, count(*) FILTER ((y1 > v.y) <> (y2 > v.y) AND v.x < (x2 - x1) * (v.y - y1) / (y2 - y1) + x1 AND mask.k = 0) % 2 + count(*) FILTER ((y1 > v.y) <> (y2 > v.y) AND v.x < (x2 - x1) * (v.y - y1) / (y2 - y1) + x1 AND mask.k = 1) % 2
+  + count(*) FILTER ((y1 > v.y) <> (y2 > v.y) AND v.x < (x2 - x1) * (v.y - y1) / (y2 - y1) + x1 AND mask.k = 2) % 2 > 0 AS within FROM v, mask GROUP BY 1, 2, 3, 4),
+n AS (SELECT place, count(*) AS vertices, count(*) FILTER (within) AS inside FROM c GROUP BY 1)
+SELECT place AS name, inside >= 8 AND inside >= vertices * 0.3::DOUBLE AS kept, inside, vertices FROM n UNION ALL SELECT place || ' by its point', x BETWEEN -83.2 AND -82.9 AND y BETWEEN 39.7 AND 40.2, 0, 0 FROM s""")
+def clipped_features(spark, d):
+    """Outlines from a file clipped by a mask; then, as if the mask had not come, by points and a box."""
+    from civlake.sources.features import corners_of
+
+    name = F.col("properties")["NAME"]
+    f = _from_file(spark, d)
+    shapes = f.select(name.alias("name"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
+    by_mask = spatial.clipped(shapes, corners_of(f, name), spatial.edge_table(spark, PLACES), 0.3, 8)
+    k = F.col("s_suppkey")
+    points = table(spark, d, "supplier").select(F.concat("s_name", F.lit(" by its point")).alias("name"), (-83.6 + (k * 37 % 120) / 100).alias("lon"), (39.4 + (k * 53 % 120) / 100).alias("lat"))
+    none = points.select("name", F.lit(0).alias("seq"), "lon", "lat").limit(0)
+    return by_mask.unionByName(spatial.clipped(points, none, None, box=(-83.2, 39.7, -82.9, 40.2)))
+
+
 @query(_M + """, c AS (SELECT floor((lon + 180) / 360 * (256 * 2.0 ** 11) / 60)::BIGINT AS cx, floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * (256 * 2.0 ** 11) / 60)::BIGINT AS cy, lat, lon, label FROM m WHERE lon BETWEEN -83.2 AND -82.8 AND lat BETWEEN 39.9 AND 40.2 AND label <> 1),
 g AS (SELECT cx, cy, label, count(*) AS n, sum(lat) AS slat, sum(lon) AS slon FROM c GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY cx, cy ORDER BY n DESC, label) AS r FROM g)
 SELECT 11 AS zoom, cx, cy, round(sum(slat) / sum(n), 6) AS lat, round(sum(slon) / sum(n), 6) AS lon, sum(n)::BIGINT AS n, max(label) FILTER (r = 1) AS dominant FROM k GROUP BY 2, 3""")
