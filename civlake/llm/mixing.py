@@ -132,13 +132,13 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     documents that take part in its landing, as a rule by far less, since these are small and exchanges follow.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    base = stash(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *others).withColumn("__row", F.monotonically_increasing_id()).withColumn("order", F.xxhash64("doc_id", "size")), "sizes")
+    base = stash(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *others).withColumn("__place", F.monotonically_increasing_id()).withColumn("order", F.xxhash64("doc_id", "size")), "sizes")
     # what decides the shard: an id and a size, and a place for the few pairs of them that very many rows have
     often = base.groupBy("order").agg(F.count(F.lit(1)).alias("alike")).filter(f"alike > {HOT_ROWS}")
     often = stash(often, "alike")
     most_alike = max(HOT_ROWS, base.count() // HOT_KEYS)
     hot = often.filter(F.col("alike") > most_alike).select("order", F.lit(True).alias("__hot"))
-    base = base.join(F.broadcast(hot), "order", "left").withColumn("order", F.when(F.col("__hot"), F.xxhash64("order", "__row")).otherwise(F.col("order"))).drop("__hot", "__row")
+    base = base.join(F.broadcast(hot), "order", "left").withColumn("order", F.when(F.col("__hot"), F.xxhash64("order", "__place")).otherwise(F.col("order"))).drop("__hot", "__place")
     per_source = base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     dim = targets(per_source, share, most, weights).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = base.withColumn("salt", F.pmod("order", F.lit(SALTS)).cast("int")).withColumnRenamed("source", "__source")
