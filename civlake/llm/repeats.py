@@ -216,10 +216,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text", w
     classes = stash(own.select("tid", row.alias("row")).groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("carrier")).filter(f"copies > {HOT_ROWS}"), "copies")
     most = max(HOT_ROWS, (classes.agg(F.sum("copies")).first()[0] or 0) // HOT_KEYS)
     hot = F.broadcast(classes.filter(F.col("copies") > most).select("tid", "carrier"))
-    marked = own.select("tid", "text", row.alias("row")).join(hot, "tid", "left")
     # rows that repeat an id and a text are one carrier
-    carriers = marked.filter("carrier = row").groupBy("tid").agg(F.first("text").alias("text"))
-    keyed = marked.filter("carrier is null").select("tid", "text").unionByName(carriers)
+    carriers = stash(own.select("tid", "text", row.alias("row")).join(hot, "tid").filter("carrier = row").groupBy("tid").agg(F.first("text").alias("text")), "carriers")
+    keyed = own.select("tid", "text").join(hot, "tid", "left_anti").unionByName(carriers)
     level = _sorted(keyed.mapInArrow(lambda batches: _phrases(batches, length), PIECE_SCHEMA))
     columns = ("tid", "start", "windows")
     found = level.filter("repeats").select(*columns)
