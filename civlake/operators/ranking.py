@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civlake.scratch import checkpointed
+from civlake.scratch import checkpointed, stashed
 
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -15,21 +15,46 @@ def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
+#: Parts of about equally many values that a key's values are counted by in a round, and different values of a key that are ordered at last, at most.
+PARTS, ORDERED = 32, 4096
+
+
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys and upper_median, the value at place floor(n / 2) of a key's sorted values that are not null; for keys of a known few, such as elections or pairs of columns.
+    """keys and upper_median, the value at place floor(n / 2) of a key's sorted values that are not null, for any number of keys."""
+    return selected(df, keys, value, lambda n: F.floor(n / 2), "upper_median")
+
+
+def selected(df: DataFrame, keys: list[str], value: str, place, name: str) -> DataFrame:
+    """keys and `name`, the value at a place (from 0, a function of a key's number of values) of each key's sorted values that are not null.
 
-    A sketch gives each key two values that its median surely lies between (its error is a hundredth of their distance in rank). Values below are only
-    counted; the few between are counted by value and ordered, so that no window sees more than them. The sketches of the few keys are broadcast.
+    All keys narrow at once: a round takes cuts from a sketch of each key's values, counts the values between the cuts exactly, and goes on with the part in which the place lies. The
+    sketch only has to cut well, not to be right. The first round has two cuts, close around the place; later ones, over values that rows share only once with their counts, many, so that what is
+    left shrinks each time whatever the values are. Counts are partial aggregates, and a key's window sees a row a part. When no key has more than ORDERED different values left, these are ordered. The rows are
+    computed once and written to the shared folder, as is what is left after a round. A place that no value has gives no row.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, F.array(F.lit(0.49), F.lit(0.51)), F.lit(10_000)).alias("q"))
-    met = rows.join(F.broadcast(sketch), keys)
-    low, high = F.col("q")[0], F.col("q")[1]
-    below = met.groupBy(*keys).agg(F.count(F.when(F.col(value) < low, 1)).alias("below"), F.first("n").alias("n"))
-    between = met.filter(F.col(value).between(low, high)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = between.join(F.broadcast(below), keys).withColumn("upto", F.col("below") + upto)
-    return placed.filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(*keys).agg(F.min(value).alias("upper_median"))
+    by = Window.partitionBy(*keys)
+    v, at, after = F.col("__v"), F.col("__at"), F.col("__upto") - F.col("__n")
+    running = lambda order: F.sum("__n").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = stashed(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.lit(1).cast("long").alias("__n")))
+    rank = (at * 100 / F.col("__rows")).cast("int")
+    grid = F.percentile_approx("__v", F.array(*[F.lit(k / 100) for k in range(101)]), F.lit(1000))
+    told = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), grid.alias("__grid")).withColumn("__at", place(F.col("__rows"))).filter("__at < __rows")
+    told = stashed(told.select(*keys, "__rows", "__at", F.get("__grid", F.greatest(rank - 1, F.lit(0))).alias("__low"), F.get("__grid", F.least(rank + 2, F.lit(100))).alias("__high")))
+    part = (v >= F.col("__low")).cast("int") + (v > F.col("__high")).cast("int")
+    first = True
+    while first or told.filter(f"__rows > {ORDERED}").limit(1).count():
+        if not first:
+            cuts = left.groupBy(*keys).agg(F.percentile_approx("__v", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), F.lit(PARTS * 32)).alias("__cuts"))
+            told = stashed(told.join(cuts, keys).withColumn("__cuts", F.when(F.col("__rows") > ORDERED, F.col("__cuts")).otherwise(F.array().cast(cuts.schema["__cuts"].dataType))))
+            part = F.size(F.filter("__cuts", lambda cut: cut <= v))
+        first = False
+        parts = left.join(told, keys).withColumn("__part", part).groupBy(*keys, "__part").agg(F.sum("__n").alias("__n"), F.first("__at").alias("__at"))
+        chosen = stashed(parts.withColumn("__upto", running("__part")).filter((F.col("__upto") > at) & (after <= at)).select(*keys, F.col("__part").alias("__own"), (at - after).alias("__at")))
+        kept = left.join(told.drop("__at", "__rows"), keys).withColumn("__part", part).join(chosen.select(*keys, "__own"), keys).filter("__part = __own")
+        left = stashed(kept.groupBy(*keys, "__v").agg(F.sum("__n").alias("__n")))
+        told = stashed(chosen.select(*keys, "__at").join(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), keys))
+    placed = left.withColumn("__upto", running("__v")).join(told.select(*keys, "__at"), keys)
+    return placed.filter(F.col("__upto") > at).groupBy(*keys).agg(F.min("__v").alias(name))
 
 
 def spread_sample(df: DataFrame, key: str, k: int) -> DataFrame:

@@ -30,3 +30,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stashed(df: DataFrame, name: str = "rows") -> DataFrame:
+    """df written to the shared folder as Parquet and read back, so that Spark knows its size when it plans joins."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

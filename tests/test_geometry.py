@@ -98,3 +98,27 @@ def test_a_clip_without_a_mask_goes_by_the_box(spark):
     assert got == {"in": (True, 0, 1), "edge": (True, 0, 0), "out": (False, 0, 0), "unknown": (False, 0, 2)}
     with pytest.raises(ValueError, match="neither"):
         spatial.clipped(shapes, corners, None)
+
+
+def test_selection_is_the_sorted_value_for_any_values(spark, monkeypatch):
+    from civlake.operators import ranking
+
+    rng = random.Random(1)
+    rows = []
+    for k in range(30):
+        for _ in range(rng.choice([1, 2, 7, 100, 900])):
+            rows.append((k, "x" if k % 2 else "y", rng.choice([rng.random() * 1e-9, rng.random() * 1e12, -rng.random(), float(rng.randrange(3)), None, 10.0 ** rng.randrange(-300, 300)])))
+    rows += [(99, "x", None)] * 5 + [(98, "x", 4.0)] * 2000 + [(98, "x", 5.0)] * 2001
+    df = spark.createDataFrame(rows, "k int, c string, v double").repartition(3)
+    want = {}
+    for key in {r[:2] for r in rows}:
+        values = sorted(r[2] for r in rows if r[:2] == key and r[2] is not None)
+        if values:
+            want[key] = values[len(values) // 2]
+    for ordered, parts in ((4096, 32), (5, 8)):
+        monkeypatch.setattr(ranking, "ORDERED", ordered)
+        monkeypatch.setattr(ranking, "PARTS", parts)
+        assert {tuple(r)[:2]: r["upper_median"] for r in ranking.upper_median(df, ["k", "c"], "v").collect()} == want
+    tenth = {tuple(r)[:2]: r["v10"] for r in ranking.selected(df, ["k", "c"], "v", lambda n: F.lit(10).cast("long"), "v10").collect()}
+    assert (98, "x") in tenth and tenth[98, "x"] == 4.0 and all(sum(r[:2] == key and r[2] is not None for r in rows) > 10 for key in tenth)
+    assert ranking.upper_median(df.limit(0), ["k"], "v").collect() == []
