@@ -95,37 +95,63 @@ def _probes_sql() -> str:
     return " UNION ALL ".join(f"SELECT id, unordered, {n} AS priority, {t} AS tier, '{r}' AS rule, '{d}' AS dir, '{k}|' || number || '|' || {f}" + (f" || '|' || {g}" if g else "") + f" AS key FROM a WHERE {f} IS NOT NULL" + (f" AND {g} IS NOT NULL" if g else "") for n, (t, r, d, k, f, g) in enumerate(rows))
 
 
-@query(_AP + ", " + _keys_sql() + f""", q AS ({_probes_sql()}),
+_TIERS = _keys_sql() + f""", q AS ({_probes_sql()}),
 m AS (SELECT q.*, k.*, spread < 0.004 AS together, len(coalesce(towns, [])) > 0 AND NOT list_has_any(towns, unordered) AS far FROM q JOIN k USING (key)),
 h AS (SELECT *, CASE WHEN rule = 'direction' THEN 1 WHEN rule = 'last' THEN 3 WHEN tier = 7 THEN 2 ELSE 0 END AS step FROM m WHERE rule = 'first' OR (together AND (rule IN ('near', 'direction') OR (rule = 'veto' AND NOT far) OR (rule = 'last' AND far AND township)))),
 g AS (SELECT *, count(*) OVER (PARTITION BY id, step) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id, step, dir ORDER BY priority) AS r FROM h) WHERE r = 1),
-b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, priority) AS r2 FROM g WHERE step <> 1 OR n = 1)
-SELECT id, tier, round(CASE WHEN rule = 'first' THEN flat ELSE lat END, 6) AS lat, round(CASE WHEN rule = 'first' THEN flon ELSE lon END, 6) AS lon, CASE WHEN rule = 'first' THEN 1 ELSE candidates END AS candidates, parcel_id, jurisdiction, precinct, step < 2 AS settled FROM b WHERE r2 = 1""")
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, priority) AS r2 FROM g WHERE step <> 1 OR n = 1),
+tiers AS (SELECT id, tier, round(CASE WHEN rule = 'first' THEN flat ELSE lat END, 6) AS lat, round(CASE WHEN rule = 'first' THEN flon ELSE lon END, 6) AS lon, CASE WHEN rule = 'first' THEN 1 ELSE candidates END AS candidates, parcel_id, jurisdiction, precinct, step FROM b WHERE r2 = 1)"""
+
+
+@query(_AP + ", " + _TIERS + " SELECT * EXCLUDE (step), step < 2 AS settled FROM tiers")
 def match_tiers(spark, d):
     p = _known(spark, d)
     keys = address.key_table(p.filter("kind = 0"), p.filter("kind = 1"), p.filter("kind = 2"))
     return address.match_keys(_asked(spark, d), keys)
 
 
-@query(_AP + f""", b AS (SELECT id, number, zip, 0 AS loose, core, bare FROM a UNION ALL SELECT id, number, '', 1, core, bare FROM a), f AS (SELECT *, 0 AS form, core AS want FROM b UNION ALL SELECT *, 1, bare FROM b WHERE bare IS NOT NULL),
-m AS (SELECT f.id, p.kind AS source, loose, form, p.core, lat, lon, string_split(p.core, ' ') AS x, string_split(want, ' ') AS y FROM f JOIN p ON f.number = p.number AND f.zip = p.zip WHERE p.kind < 2),
-g AS (SELECT id, source, loose, form, count(*) AS candidates, avg(lat) AS lat, avg(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS spread, count(DISTINCT core) AS names FROM m
+_PREFIX = f"""pb AS (SELECT id, unordered, number, zip, 0 AS loose, core, bare FROM a UNION ALL SELECT id, unordered, number, '', 1, core, bare FROM a), pf AS (SELECT *, 0 AS form, core AS want FROM pb UNION ALL SELECT *, 1, bare FROM pb WHERE bare IS NOT NULL),
+pn AS (SELECT *, core AS name FROM p WHERE kind < 2 UNION ALL SELECT *, led FROM p WHERE kind = 1 AND led IS NOT NULL),
+pm AS (SELECT pf.id, unordered, pn.kind AS source, loose, form, name, lat, lon, CASE WHEN pn.kind = 1 THEN nullif(place, 'UNASSIGNED') END AS town, string_split(name, ' ') AS x, string_split(want, ' ') AS y FROM pf JOIN pn ON pf.number = pn.number AND pf.zip = pn.zip),
+pg AS (SELECT id, unordered, source, loose, form, count(*) AS candidates, avg(lat) AS lat, avg(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS spread, count(DISTINCT name) AS names, list(town) FILTER (town IS NOT NULL) AS towns FROM pm
   WHERE (len(x) = 1 AND x[1] IN {_SHORT}) = (len(y) = 1 AND y[1] IN {_SHORT}) AND len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: NOT (x[i] = y[i] OR (length(x[i]) >= 4 AND length(y[i]) >= 4 AND (starts_with(x[i], y[i]) OR starts_with(y[i], x[i])))))) = 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source, loose, form) AS k FROM g WHERE spread < 0.004 AND (loose = 0 OR names = 1))
-SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, candidates FROM r WHERE k = 1""")
+pk AS (SELECT *, row_number() OVER (PARTITION BY id, source, loose ORDER BY form) AS f FROM pg WHERE spread < 0.004 AND (loose = 0 OR names = 1)),
+pr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source, loose) AS k FROM pk WHERE f = 1 AND NOT (source = 1 AND loose = 1 AND len(coalesce(towns, [])) > 0 AND NOT list_has_any(towns, unordered))),
+prefixed AS (SELECT id, round(lat, 6) AS lat, round(lon, 6) AS lon, candidates FROM pr WHERE k = 1)"""
+
+
+@query(_AP + ", " + _PREFIX + " SELECT * FROM prefixed")
 def match_prefix(spark, d):
     return address.match_prefix(_asked(spark, d), _known(spark, d).filter("kind < 2").withColumn("source", F.col("kind")))
 
 
-@query(_AP + """, u AS (SELECT core AS street, zip, count(DISTINCT coalesce(side, '')) AS n FROM p GROUP BY 1, 2),
-m AS (SELECT a.id, abs(p.number::INT - a.number::INT) + CASE WHEN (p.number::INT - a.number::INT) % 2 <> 0 THEN 0.5::DOUBLE ELSE 0 END AS distance, lat, lon, coalesce(p.side, '') = coalesce(a.side, '') AS own, n FROM a JOIN p ON a.core = p.core AND a.zip = p.zip JOIN u ON u.street = p.core AND u.zip = p.zip),
-x AS (SELECT *, 1 AS pool FROM m UNION ALL SELECT *, 0 FROM m WHERE own AND n > 1),
-t AS (SELECT id, pool, distance, avg(lat) AS lat, avg(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS spread, row_number() OVER (PARTITION BY id, pool ORDER BY distance) AS k FROM x WHERE distance <= 12 GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pool) AS j FROM t WHERE k = 1 AND spread < CASE WHEN distance = 0 THEN 0.02 ELSE 0.012 END)
-SELECT id, distance, round(lat, 6) AS lat, round(lon, 6) AS lon FROM r WHERE j = 1""")
+_NEAREST = """nz AS (SELECT *, zip AS geo FROM p UNION ALL SELECT *, CASE WHEN kind = 1 THEN place ELSE city END FROM p), nc AS (SELECT core || '|' || geo AS street, coalesce(side, '') AS side, number::BIGINT AS n, lat, lon FROM nz WHERE coalesce(geo, '') <> ''),
+ns AS (SELECT street, count(DISTINCT side) AS sides FROM nc GROUP BY 1),
+nf AS (SELECT id, number::BIGINT AS want, coalesce(side, '') AS own, f, form, unnest([0, 1, 2]) AS gk, unnest([zip, p1, p2]) AS geo FROM (SELECT *, 0 AS f, core AS form FROM a UNION ALL SELECT *, 1, bare FROM a WHERE bare IS NOT NULL)),
+nq AS (SELECT id, want, own, f * 10 + gk AS k, form || '|' || geo AS street FROM nf WHERE coalesce(geo, '') <> ''),
+nm AS (SELECT id, k, abs(n - want) + CASE WHEN (n - want) % 2 <> 0 THEN 0.5::DOUBLE ELSE 0 END AS distance, lat, lon, side = own AS mine, sides FROM nq JOIN nc USING (street) JOIN ns USING (street)),
+nx AS (SELECT *, 1 AS pool FROM nm UNION ALL SELECT *, 0 FROM nm WHERE mine AND sides > 1),
+nt AS (SELECT id, k, pool, distance, count(*) AS c, avg(lat) AS lat, avg(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS spread, row_number() OVER (PARTITION BY id, k, pool ORDER BY distance) AS r FROM nx WHERE distance <= 12 GROUP BY 1, 2, 3, 4),
+nr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, pool) AS j FROM nt WHERE r = 1 AND spread < CASE WHEN distance = 0 THEN 0.02 ELSE 0.012 END),
+nearby AS (SELECT id, distance, round(lat, 6) AS lat, round(lon, 6) AS lon, c AS candidates FROM nr WHERE j = 1)"""
+
+
+@query(_AP + ", " + _NEAREST + " SELECT * FROM nearby")
 def match_nearest(spark, d):
-    as_street = lambda df: df.withColumn("number", F.col("number").cast("int")).withColumn("street", F.col("core"))
-    return address.match_nearest(as_street(_asked(spark, d)), as_street(_known(spark, d)), 12)
+    return address.match_nearest(_asked(spark, d), _known(spark, d).withColumn("source", F.col("kind")), 12)
+
+
+@query(_AP + ", " + _TIERS + ", " + _PREFIX + ", " + _NEAREST + """, voters AS (SELECT number, core, min(lat) AS la, max(lat) AS lb, min(lon) AS oa, max(lon) AS ob, min(precinct) AS own, min(precinct) = max(precinct) AS one FROM p WHERE kind = 2 GROUP BY 1, 2),
+f AS (SELECT a.id, a.number, a.core, CASE WHEN t.step < 2 THEN t.tier WHEN x.id IS NOT NULL THEN 6 WHEN t.step = 2 THEN 7 WHEN n.id IS NOT NULL THEN 8 WHEN t.step = 3 THEN 5 END AS tier, coalesce(t.step < 2 OR (x.id IS NULL AND (t.step = 2 OR (n.id IS NULL AND t.step = 3))), false) AS keyed, t.lat AS tlat, t.lon AS tlon, t.candidates AS tc, t.parcel_id, t.jurisdiction, t.precinct,
+  x.lat AS xlat, x.lon AS xlon, x.candidates AS xc, n.lat AS nlat, n.lon AS nlon, n.candidates AS nc FROM a LEFT JOIN tiers t USING (id) LEFT JOIN prefixed x USING (id) LEFT JOIN nearby n USING (id)),
+r AS (SELECT id, number, core, tier, CASE WHEN keyed THEN tlat WHEN tier = 6 THEN xlat ELSE nlat END AS lat, CASE WHEN keyed THEN tlon WHEN tier = 6 THEN xlon ELSE nlon END AS lon, CASE WHEN keyed THEN tc WHEN tier = 6 THEN xc ELSE nc END AS candidates,
+  CASE WHEN keyed THEN parcel_id END AS parcel_id, CASE WHEN keyed THEN jurisdiction END AS jurisdiction, CASE WHEN keyed THEN precinct END AS precinct FROM f WHERE tier IS NOT NULL)
+SELECT id, tier::INTEGER AS tier, lat, lon, candidates, parcel_id, jurisdiction, CASE WHEN tier < 8 THEN coalesce(precinct, CASE WHEN one AND greatest(greatest(lb, lat) - least(la, lat), greatest(ob, lon) - least(oa, lon)) < 0.004 THEN own END) END AS precinct FROM r LEFT JOIN voters USING (number, core)""")
+def match_address(spark, d):
+    p = _known(spark, d)
+    rows = lambda k: p.filter(f"kind = {k}").select("seq", "street", "city", "zip", "lat", "lon", "jurisdiction", "parcel_id", "precinct")
+    asked = _asked(spark, d).select("id", "street", "city", "zip", "muni")
+    return address.match_address(asked, rows(0), rows(1), rows(2), 12)
 
 
 @query(_AP + "SELECT core || '|' || zip AS street, list_sort(list(DISTINCT precinct)) AS precincts FROM p WHERE kind = 2 GROUP BY 1")
