@@ -117,6 +117,14 @@ def any_date(value: Column) -> Column:
     return F.when(days.isNotNull(), F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), days), "yyyy-MM-dd")).when(text.rlike(r"^\d{8}$"), compact).otherwise(iso_date(text))
 
 
+def sale_date(value: Column) -> Column:
+    """The day (UTC) of milliseconds since 1970, as yyyy-MM-dd; the empty text for 0, which is never, for days up to 1900-01-01, beyond what a calendar has, and for what is no number."""
+    ms = F.trim(value.cast("string")).try_cast("double")
+    fits = ms.isNotNull() & ~F.isnan(ms) & (ms != 0) & (F.abs(ms) <= 8.64e15)
+    day = F.date_format(F.timestamp_millis(F.when(fits & (F.abs(ms) < 2.5e14), ms).cast("long")), "yyyy-MM-dd")
+    return F.when(day > "1900-01-01", day).otherwise("")
+
+
 def decoded_entities(html: Column) -> Column:
     """The five named entities, the no-break space and decimal numbers of ASCII characters as characters; the ampersand last."""
     codes = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(r"&#(\d{2,3});"), F.lit(1)), lambda n: n.cast("int")))

@@ -107,3 +107,21 @@ def alias_match(names: DataFrame, known: DataFrame) -> DataFrame:
     exact = known.select(F.upper("name").alias("u"), F.col("name").alias("exact"))
     met = names.join(exact, F.upper(names.name) == exact.u, "left").join(loose, "name", "left")
     return met.select("name", F.coalesce("exact", F.when(F.col("n") == 1, F.col("loose"))).alias("known"))
+
+
+def canonical_names(names: DataFrame, known: DataFrame) -> DataFrame:
+    """name, known: the same name whatever its case, else the only known one with as many words, the same words behind the first and a first word that begins with the name's, else the name itself.
+
+    Names are few and distinct on both sides or made so; a known name's first word is cut to every length, so that beginnings meet in an equi-join.
+    """
+    words = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
+    tail = lambda c: F.array_join(F.slice(words(c), 2, 1000), " ")
+    asked = names.select("name").filter("name != ''").distinct().withColumn("__l", F.lower("name")).withColumn("head", words(F.col("name"))[0]).withColumn("tail", tail(F.col("name")))
+    told = known.select(F.col("name").alias("known")).distinct()
+    same = told.groupBy(F.lower("known").alias("__l")).agg(F.min("known").alias("exact"))
+    first = words(F.col("known"))[0]
+    cuts = F.transform(F.sequence(F.lit(1), F.length(first)), lambda k: F.left(first, k))
+    begins = told.filter("known != ''").select("known", tail(F.col("known")).alias("tail"), F.explode(cuts).alias("head"))
+    only = begins.groupBy("head", "tail").agg(F.min("known").alias("begun"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    met = asked.join(same, "__l", "left").join(only, ["head", "tail"], "left")
+    return met.select("name", F.coalesce("exact", "begun", "name").alias("known"))

@@ -84,9 +84,15 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
-def count_by(df: DataFrame, column: str, sort: str = "count") -> DataFrame:
-    """value, n, place: the counts of a column's values, by name or the most frequent first."""
-    order = [F.asc("value")] if sort == "name" else [F.desc("n"), F.asc("value")]
+def alphabetic(text: Column) -> Column:
+    """A text to sort by as people sort: letters in their order whatever their case or accents, which only decide between texts that are else alike; small letters go first."""
+    return F.collate(text, "UNICODE")
+
+
+def count_by(df: DataFrame, column: str, sort: str = "count", collated: bool = False) -> DataFrame:
+    """value, n, place: the counts of a column's values, by name or the most frequent first; collated names are in the order of alphabetic()."""
+    name = F.asc(alphabetic(F.col("value"))) if collated else F.asc("value")
+    order = [name] if sort == "name" else [F.desc("n"), name]
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
@@ -98,8 +104,8 @@ def first_seen_index(df: DataFrame, column: str, seq: str) -> DataFrame:
 
 
 def voters_order(primary: Column, descending: bool = False) -> list[Column]:
-    """The primary key in its direction, then last name, first name and id upwards."""
-    return [primary.desc() if descending else primary.asc(), F.asc("last"), F.asc("first"), F.asc("id")]
+    """The primary key in its direction, then last name and first name in alphabetic() order and id upwards."""
+    return [primary.desc() if descending else primary.asc(), alphabetic(F.col("last")).asc(), alphabetic(F.col("first")).asc(), F.asc("id")]
 
 
 def ballot_order() -> list[Column]:

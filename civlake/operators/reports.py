@@ -240,6 +240,17 @@ def drills(elections: list[Election], one: Election, other: Election, times: int
     }
 
 
+def early_drills(day: str, party: str, month: str, ahead: int, place: str, as_of: str) -> dict[str, Column]:
+    """Predicates behind the counts of early votes and registrations: a day's ballots of a party, a month's registrations, ballots back by as many days before a day as a pace is read at, ballots of a place."""
+    back, returned = F.col("ballot") == "returned", F.to_date("returned")
+    return {
+        "day and party": back & (returned == F.lit(day).cast("date")) & (F.col("party") == party),
+        "month": F.date_format("registered", "yyyy-MM") == month,
+        "pace": back & (F.date_diff(F.lit(as_of).cast("date"), returned) >= ahead),
+        "place": back & (F.col("jurisdiction") == place),
+    }
+
+
 def drill_counts(voters: DataFrame, rules: dict[str, Column], names: list[str]) -> DataFrame:
     """drill, n, least, most (ids) for each of the drills, in one scan."""
     sums = [x for k, name in enumerate(names) for x in (count_if(rules[name]).alias(f"n_{k}"), F.min(F.when(rules[name], F.col("id"))).alias(f"l_{k}"), F.max(F.when(rules[name], F.col("id"))).alias(f"m_{k}"))]

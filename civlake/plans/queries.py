@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civlake.functions import columns as C
 from civlake.operators import address, elections, ingest, parcels, ranking, reports, spatial
 from civlake.operators.selection import Selection, facet_counts, word_prefixes
-from civlake.plans import address_queries, flow_queries, job_queries, layout_queries, map_queries, roll_queries, text_queries  # noqa: F401  register their queries
+from civlake.plans import address_queries, flow_queries, job_queries, layout_queries, map_queries, roll_queries, rule_queries, text_queries  # noqa: F401  register their queries
 from civlake.plans.adapter import ELECTIONS, V, table, voters, votes
 from civlake.plans.registry import ORACLE_SQL, QUERIES, query
 

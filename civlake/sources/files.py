@@ -45,9 +45,10 @@ def read_chunks(spark: SparkSession, paths: list[str], count: int | None = None,
     return rows.drop("_corrupt", "_file")
 
 
-def read_delimited(spark: SparkSession, path: str, required: tuple[str, ...] = (), sep: str = ",", multi_line: bool = False) -> DataFrame:
-    """A CSV with a header, all columns as text. multi_line reads quoted line ends, at the price of files that are not split. ValueError names required columns that are missing."""
-    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
+def read_delimited(spark: SparkSession, path: str, required: tuple[str, ...] = (), sep: str = ",", multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    """A CSV with a header, all columns as text; lines end in LF, CR LF or CR, and a mark of byte order is no part of the first name. multi_line reads quoted line ends, at the price of files that are not split. ValueError names
+    required columns that are missing."""
+    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("encoding", encoding).csv(path)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {', '.join(missing)}")
@@ -88,6 +89,15 @@ def read_roll(spark: SparkSession, path: str, since: int = 2020) -> tuple[DataFr
     return last.select("id", "r.*"), names
 
 
+def rows_left_out(spark: SparkSession, path: str, key: str = "COUNTY_ID", sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """why, n of the rows of a roll that cannot be taken: "width", more or fewer cells than the header has, else "id", no whole number."""
+    names = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path).columns
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField("_wrong", T.StringType())])
+    rows = spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_wrong").option("enforceSchema", True).option("columnPruning", False).csv(path)  # a pruned read counts no cells
+    why = F.when(F.col("_wrong").isNotNull(), "width").when(~F.coalesce(F.trim(f"`{key}`"), F.lit("")).rlike(r"^\d+$"), "id")
+    return rows.select(why.alias("why"), *[F.col(f"`{c}`") for c in names]).filter("why is not null").groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
 def malformed_rows(df: DataFrame, key: str = "COUNTY_ID") -> int:
     """How many rows read_roll leaves out, since their id is no whole number."""
     return df.filter(F.col(key).try_cast("long").isNull()).count()

@@ -61,10 +61,10 @@ def expanded_roll(doc: DataFrame) -> DataFrame:
 
 def roll_tuples(voters: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(last, first, id, line) of voters (id, precinct, last, first, street, city, zip, registered, party, mask, lat, lon, jurisdiction, status, category, issued, returned), each a JSON tuple, sorted by name and id over all partitions; and each dictionary as (value, index), in the order of first appearance."""
-    placed = voters.withColumn("__at", F.struct("last", "first", "id"))
-    dictionaries = {}
+    base = voters.withColumn("__at", F.struct("last", "first", "id"))
+    placed, dictionaries = base, {}
     for name in ("precinct", "city", "zip", "party", "jurisdiction", "status", "category"):
-        words = first_seen_index(placed.filter(F.col(name).isNotNull()), name, "__at")
+        words = first_seen_index(base.filter(F.col(name).isNotNull()), name, "__at")
         dictionaries[name] = words
         placed = placed.join(words.select(F.col("value").alias(name), F.col("index").alias(f"k_{name}")), name, "left")
     text = lambda c: F.regexp_replace(F.to_json(F.array(F.coalesce(F.col(c), F.lit("")))), r"^\[|\]$", "")
