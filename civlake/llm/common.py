@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ SPACE = r"\x20\x09-\x0D"
 SLICE_BYTES = 8 << 20
 #: The folders that stash() wrote in this session, in order.
 WRITTEN: list[str] = []
+#: Where the run that is under way in this thread notes the folders it writes; none if no run asked for it.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +44,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and is computed once."""
+    return stashed(df, name)[0]
+
+
+def stashed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """stash(), and the folder it wrote."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def noting():
+    """The folders that stash() writes in this block and thread, as a list that grows; those of other threads and runs are not in it."""
+    before, own = _NOTED.get(), []
+    token = _NOTED.set(own)
+    try:
+        yield own
+    finally:
+        _NOTED.reset(token)
+        if before is not None:
+            before.extend(own)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civlake.llm.common import WRITTEN, join_hot, remove, stash
+from civlake.llm.common import join_hot, remove, stashed
 
 #: Nodes that one task's forest holds before it is sent on.
 FOREST_NODES = 500_000
@@ -61,7 +61,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b and a is not null and b is not null")
-    now = stash(ends.mapInArrow(lambda batches: spanning((x.column(0).to_pylist(), x.column(1).to_pylist()) for x in batches), "a long, b long").distinct(), "links")
+    now, path = stashed(ends.mapInArrow(lambda batches: spanning((x.column(0).to_pylist(), x.column(1).to_pylist()) for x in batches), "a long, b long").distinct(), "links")
     before, older = None, []
     while True:
         remove(spark, older)
@@ -75,6 +75,6 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("links"))
         large = join_hot(both, least, ["a"], "links", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("links"))
-        older = [WRITTEN[-1]]
-        now = stash(join_hot(large, small, ["a"], "links", 2 * state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "links")
+        older = [path]
+        now, path = stashed(join_hot(large, small, ["a"], "links", 2 * state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
