@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civlake.llm import exact_dedup, lsh_forest, mixing, quality, sentence_pieces
-from civlake.llm.common import WRITTEN, documents, remove, stash
+from civlake.llm.common import documents, noting, remove, stash, stashed
 
 ROW = "__row"
 
@@ -78,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read back, and what it wrote on the way is removed."""
     docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        mark = len(WRITTEN)
-        docs = stash(stage(spark, docs, sf_dir), name)
-        remove(spark, WRITTEN[mark:-1] + before)
-        before = WRITTEN[-1:]
+        with noting() as written:
+            docs, path = stashed(stage(spark, docs, sf_dir), name)
+        remove(spark, [p for p in written if p != path] + before)
+        before = [path]
     return docs
