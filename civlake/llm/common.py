@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: No slice of a batch that goes through numpy holds more text than this, but for a single longer row.
 SLICE_BYTES = 8 << 20
-#: The folders that stash() wrote in this session, in order.
-WRITTEN: list[str] = []
 #: Where the run that is under way in this thread notes the folders it writes; none if no run asked for it.
 _NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
@@ -52,7 +50,6 @@ def stashed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
     if (noted := _NOTED.get()) is not None:
         noted.append(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -117,3 +117,24 @@ def test_empty_tables(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, corpus).collect() == [], name
+
+
+def test_two_runs_at_once_keep_their_own_tables(spark, tmp_path):
+    """Both runs end with the rows of a run alone, and each leaves only its last table."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+    from civlake.llm import common
+
+    rows = [(k, f"the {k} text of number {k * k} with some words and more {'good' * (k % 3)}", "en", "s" if k % 2 else "t", 9) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = common.shared_dir(spark)
+    alone = sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    before = set(os.listdir(folder))
+    with ThreadPoolExecutor(2) as pool:
+        runs = list(pool.map(lambda _: corpus_pipeline.run(spark, str(tmp_path)), range(2)))
+    assert [sorted(map(str, r.collect())) for r in runs] == [alone, alone]
+    left = {f.split("-")[0] for f in set(os.listdir(folder)) - before}
+    assert left == {"sentence_pieces"} and len(set(os.listdir(folder)) - before) == 2
