@@ -137,10 +137,13 @@ def test_address_tiers(spark):
 
 
 def test_nearest_number_and_side(spark):
-    point = "number int, street string, zip string, side string, lat double, lon double"
-    points = spark.createDataFrame([(20, "HIGH", "1", None, 40.3, -83.0), (59, "PARK", "1", "E", 40.0, -83.0), (61, "PARK", "1", "W", 41.0, -83.0)], point)
-    asked = spark.createDataFrame([(1, 12, "HIGH", "1", None), (2, 90, "HIGH", "1", None), (3, 60, "PARK", "1", "W"), (4, 59, "PARK", "1", None)], "id long, number int, street string, zip string, side string")
-    assert {r["id"]: (r["distance"], r["lat"]) for r in address.match_nearest(asked, points).collect()} == {1: (8.0, 40.3), 3: (1.5, 41.0), 4: (0.0, 40.0)}
+    point = "source int, number string, core string, zip string, side string, lat double, lon double"
+    points = spark.createDataFrame([(0, "20", "HIGH", "1", None, 40.3, -83.0), (0, "59", "PARK", "1", "E", 40.0, -83.0), (0, "61", "PARK", "1", "W", 41.0, -83.0), (1, "70", "HIGH", "", None, 42.0, -83.0), (0, "5", "OAK", "1", None, None, None)], point)
+    points = points.withColumn("city", F.lit("")).withColumn("jurisdiction", F.when(F.col("number") == "70", "Far Township"))
+    asked = spark.createDataFrame([(1, "12", "HIGH", "1", None), (2, "90", "HIGH", "1", None), (3, "60", "PARK", "1", "W"), (4, "59", "PARK", "1", None), (5, "5", "OAK", "1", None)], "id long, number string, core string, zip string, side string")
+    asked = asked.withColumn("bare", F.lit(None).cast("string")).withColumn("city", F.lit("")).withColumn("muni", F.when(F.col("id") == 2, "Far Twp"))
+    got = {r["id"]: (r["distance"], r["lat"]) for r in address.match_nearest(asked, points).collect()}
+    assert got == {1: (8.0, 40.3), 2: (20.0, 42.0), 3: (1.5, 41.0), 4: (0.0, 40.0)}
 
 
 @pytest.mark.parametrize("name, wanted, want", [("RIVER", "RIVERSIDE", True), ("OAK HILL", "OAK", True), ("OAK", "OAKS", False), ("E", "E MAIN", False), ("E", "E", True), ("MAIN", "ELM", False)])
