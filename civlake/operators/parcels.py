@@ -78,8 +78,8 @@ def pin_coverage(points: DataFrame) -> DataFrame:
 
 
 def date_profile(df: DataFrame, column: str) -> DataFrame:
-    """One row: parsed, unparsed, first, last, and placeholders: on or before 1900-01-01, in 1900-1910, the epoch."""
-    d = F.to_date(column)
+    """One row: parsed, unparsed, first, last, and placeholders: on or before 1900-01-01, in 1900-1910, the epoch. The column holds days, or texts of which some may be none."""
+    d = F.col(column).try_cast("date")
     return df.agg(
         count_if(d.isNotNull()).alias("parsed"),
         count_if(d.isNull()).alias("unparsed"),

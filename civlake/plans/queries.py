@@ -262,10 +262,13 @@ def assessed_value(spark, d):
     return table(spark, d, "part").select("p_partkey", C.assessed(F.col("p_retailprice")).alias("assessed"))
 
 
-@query("""SELECT count(*) AS parsed, 0::BIGINT AS unparsed, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last, 0::BIGINT AS floor, 0::BIGINT AS decade,
-  count(*) FILTER (o_orderdate::DATE = DATE '1970-01-01') AS epoch FROM orders""")
+@query("""WITH t AS (SELECT try_cast(CASE o_orderkey % 10 WHEN 0 THEN 'n/a' WHEN 1 THEN '' WHEN 2 THEN '1900-01-01' WHEN 3 THEN '1903-02-0' || (o_orderkey % 9 + 1) WHEN 4 THEN '1970-01-01' WHEN 5 THEN '2001-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS d FROM orders)
+SELECT count(d) AS parsed, count(*) - count(d) AS unparsed, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*) FILTER (d <= DATE '1900-01-01') AS floor, count(*) FILTER (d > DATE '1900-01-01' AND d < DATE '1911-01-01') AS decade, count(*) FILTER (d = DATE '1970-01-01') AS epoch FROM t""")
 def date_profile(spark, d):
-    return parcels.date_profile(table(spark, d, "orders"), "o_orderdate")
+    """Order dates as texts, some of them placeholders and some no dates."""
+    k = F.col("o_orderkey") % 10
+    text = F.when(k == 0, "n/a").when(k == 1, "").when(k == 2, "1900-01-01").when(k == 3, F.concat(F.lit("1903-02-0"), (F.col("o_orderkey") % 9 + 1).cast("string"))).when(k == 4, "1970-01-01").when(k == 5, "2001-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return parcels.date_profile(table(spark, d, "orders").select(text.alias("day")), "day")
 
 
 @query("SELECT upper(trim(event_type)) AS value, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM events)::DOUBLE, 6) AS pct FROM events WHERE upper(trim(event_type)) IN ('ERROR', 'CLICK', 'UNKNOWN') GROUP BY 1")
