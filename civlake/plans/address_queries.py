@@ -13,11 +13,11 @@ from civlake.plans.text_queries import nth
 ASKED = [
     ("Main Street", "MAIN ST", "MAIN ST", "MAIN", None, None), ("North High St.", "N HIGH ST", "N HIGH ST", "N HIGH", "HIGH", None), ("Oak Ave NE Apt 4", "OAK AVE NE", "OAK AVE", "OAK", None, "NE"),
     ("Elm Drive", "ELM DR", "ELM DR", "ELM", None, None), ("South Park Road West", "S PARK RD W", "S PARK RD", "S PARK", "PARK", "W"), ("River Lane", "RIVER LN", "RIVER LN", "RIVER", None, None),
-    ("Superior Street", "SUPERIOR ST", "SUPERIOR ST", "SUPERIOR", None, None), ("Pine Avenue W", "PINE AVE W", "PINE AVE", "PINE", None, "W"), ("State Route 42", "SR 42", "SR 42", "SR 42", None, None),
+    ("Linden Street", "LINDEN ST", "LINDEN ST", "LINDEN", None, None), ("Pine Avenue W", "PINE AVE W", "PINE AVE", "PINE", None, "W"), ("State Route 42", "SR 42", "SR 42", "SR 42", None, None),
 ]
 KNOWN = [
     ("MAIN ST", "MAIN ST", "MAIN ST", "MAIN", None, None), ("HIGH ST", "HIGH ST", "HIGH ST", "HIGH", None, None), ("OAK AVE", "OAK AVE", "OAK AVE", "OAK", None, None), ("ELM CT", "ELM CT", "ELM CT", "ELM", None, None),
-    ("S PARK RD E", "S PARK RD E", "S PARK RD", "S PARK", "PARK", "E"), ("RIVERSIDE LN", "RIVERSIDE LN", "RIVERSIDE LN", "RIVERSIDE", None, None), ("N SUPERIOR ST", "N SUPERIOR ST", "N SUPERIOR ST", "N SUPERIOR", "SUPERIOR", None),
+    ("S PARK RD E", "S PARK RD E", "S PARK RD", "S PARK", "PARK", "E"), ("RIVERSIDE LN", "RIVERSIDE LN", "RIVERSIDE LN", "RIVERSIDE", None, None), ("N LINDEN ST", "N LINDEN ST", "N LINDEN ST", "N LINDEN", "LINDEN", None),
     ("PINE AVE W", "PINE AVE W", "PINE AVE", "PINE", None, "W"), ("RT 42", "SR 42", "SR 42", "SR 42", None, None), ("N HIGH ST", "N HIGH ST", "N HIGH ST", "N HIGH", "HIGH", None), ("OAK AVE SW", "OAK AVE SW", "OAK AVE", "OAK", None, "SW"),
 ]
 

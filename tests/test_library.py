@@ -120,7 +120,7 @@ def test_read_query(text, required, zips):
 
 
 def test_election_rules(spark):
-    assert elections.described_file("2023 November Trumbull County General.csv") == {"id": "2023-11-general-trumbull", "label": "November 2023 Trumbull General", "year": 2023, "season": "general", "month": 11, "qualifier": "Trumbull"}
+    assert elections.described_file("2023 November Sample County General.csv") == {"id": "2023-11-general-sample", "label": "November 2023 Sample General", "year": 2023, "season": "general", "month": 11, "qualifier": "Sample"}
     assert elections.described_file("voted_primary_2024_absentee.csv")["label"] == "2024 Primary" and elections.described_file("notes.csv") is None
     es = [Election(k, str(2019 + k), "general" if k % 2 == 0 else "primary") for k in range(4)] + [Election(4, "2023", "general", provisional=True)]
     y = yardsticks(es, es[-1])
