@@ -97,10 +97,11 @@ def layout_sheets_returns(spark, d):
 @query(_B + """, x AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY back IS NOT NULL DESC, coalesce(back, asked) DESC, kind DESC, seq DESC) = 1), y AS (SELECT *, CASE WHEN kind = 1 THEN 'UOCAVA MAIL' WHEN kind = 2 THEN 'HAND CARRY' WHEN back = asked THEN 'IN OFFICE' ELSE 'MAIL' END AS app FROM x)
 SELECT k::VARCHAR AS "CNTYIDNUM", a AS "AVSENTDATE", r AS "AVRECVDATE", CASE WHEN r = '' THEN 'NOT RECEIVED' WHEN app = 'IN OFFICE' THEN 'CAST IN PERSON' ELSE 'MAILED' END AS "AVRECVMETH", app AS "AVAPPTYPE", CASE WHEN kind = 1 THEN 'CANADA' ELSE '' END AS "COUNTRY", CASE WHEN kind = 1 THEN 'APT' WHEN kind = 3 THEN 'APT LINE 3' ELSE 'APT' END AS "AVADDR2", 'day' || kind AS "SOURCE" FROM y""")
 def layout_daily_files(spark, d):
+    """Files list the latest order first."""
     r = _rows(spark, d)
     serial = lambda c: F.coalesce(F.datediff(F.col(c), F.lit("1899-12-30").cast("date")).cast("string"), F.lit(""))
     cells = {**_lit(*[f"c{k}" for k in range(18)]), "c1": F.col("k").cast("string"), "c7": F.lit("Apt"), "c8": F.when(F.col("kind") == 1, "Canada").when(F.col("kind") == 3, "Line 3").otherwise(""), "c15": serial("asked"), "c16": serial("back"), "c17": _pick(("", "Uocava", "carry out", "", "", "", ""))}
-    return layouts.daily_files(r.select(F.concat(F.lit("day"), F.col("kind").cast("string")).alias("file"), *[c.alias(n) for n, c in cells.items()])).select("CNTYIDNUM", "AVSENTDATE", "AVRECVDATE", "AVRECVMETH", "AVAPPTYPE", "COUNTRY", "AVADDR2", "SOURCE")
+    return layouts.daily_files(r.select((-F.col("seq")).alias("seq"), F.concat(F.lit("day"), F.col("kind").cast("string")).alias("file"), *[c.alias(n) for n, c in cells.items()])).select("CNTYIDNUM", "AVSENTDATE", "AVRECVDATE", "AVRECVMETH", "AVAPPTYPE", "COUNTRY", "AVADDR2", "SOURCE")
 
 
 @query(_B + """, x AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY k ORDER BY back IS NOT NULL DESC, CASE WHEN back IS NULL THEN asked END DESC, seq) = 1),

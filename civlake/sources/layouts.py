@@ -172,10 +172,10 @@ def unmatched_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def daily_files(rows: DataFrame) -> DataFrame:
-    """Daily files by column position (cells c0 to c17, file): of a voter the row that is returned, then the latest, then of the last file. A blank method is in person if sent and returned at the same moment."""
+    """Daily files by column position (cells c0 to c17, file and seq): of a voter the row that is returned, then the latest, then of the last file, there the first. A blank method is in person if sent and returned at the same moment."""
     moment = lambda c: F.coalesce(F.date_format(F.timestamp_seconds(F.floor((F.col(c).try_cast("double") - 25569) * 86400 + 0.5)), "yyyy-MM-dd HH:mm:ss"), F.nullif(iso_date(mdy(F.col(c))), F.lit("")))
     r = rows.withColumn("id", _whole("c1")).filter("id is not null").withColumn("sent", moment("c15")).withColumn("ret", moment("c16")).withColumn("app", moment("c14"))
-    best = best_row(r, ["id"], [F.col("ret").isNotNull(), F.coalesce("ret", "sent", F.lit("")), F.col("file")])
+    best = best_row(r, ["id"], [F.col("ret").isNotNull(), F.coalesce("ret", "sent", F.lit("")), F.col("file"), -F.col("seq")])
     way = F.coalesce(F.nullif(_upper("c17"), F.lit("")), F.when(F.col("ret").eqNullSafe(F.col("sent")) & F.col("ret").isNotNull(), "IN PERSON").otherwise("MAIL"))
     app = coded(way, {"IN PERSON": "IN OFFICE", "MAIL": "MAIL", "UOCAVA": "UOCAVA MAIL", "CARRY OUT": "HAND CARRY"})
     country = F.when((_c("c8") != "") & ~_c("c8").rlike(r"\d") & (_c("c9") == ""), _upper("c8")).otherwise("")
