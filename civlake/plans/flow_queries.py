@@ -104,10 +104,10 @@ def published_roll(spark, d):
 
 
 def _in_drops(spark, rows, at: str, path: str, cuts: list[str]):
-    """Land rows in one file a drop, by time, and hand on after each."""
+    """Land rows drop by drop, by time, and hand on after each."""
     bounds = ["0001-01-01", *cuts, "9999-12-31"]
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        rows.filter((F.col(at) >= F.lit(low).cast("timestamp")) & (F.col(at) < F.lit(high).cast("timestamp"))).coalesce(1).write.mode("append").parquet(path)
+        rows.filter((F.col(at) >= F.lit(low).cast("timestamp")) & (F.col(at) < F.lit(high).cast("timestamp"))).write.mode("append").parquet(path)
         yield
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,15 +18,16 @@ MISSES = "job string, last_started timestamp, next_slot timestamp"
 _EPOCH = datetime(1970, 1, 1)
 
 
-def _ms(t) -> int:
-    return int((pd.Timestamp(t).tz_localize(None) - pd.Timestamp(_EPOCH)) // pd.Timedelta(microseconds=1) + 999) // 1000
+def _ms(t: datetime) -> int:
+    return -((_EPOCH - t.replace(tzinfo=None)) // timedelta(milliseconds=1))
 
 
 class _Watch(StatefulProcessor):
     """Of one job: runs that the watermark has not passed, and the last one that it has, with the slot that follows it.
 
     A run settles when the watermark comes to it, by a timer, so that rows out of order within the watermark's delay do no harm. A slot is missed if its grace ends before the next
-    run, which a timer at that moment tells, or the next run's settling where both come in one batch.
+    run, which a timer at that moment tells, or the next run's settling where both come in one batch. A batch's runs of a job go into the state at once and have one timer, so that
+    calls grow with jobs, not with runs.
     """
 
     def __init__(self, grace_ms: int):
@@ -34,41 +35,53 @@ class _Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "started timestamp", "due timestamp")
+        self.waiting = handle.getListState("waiting", "started timestamp, due timestamp")
         self.last = handle.getValueState("last", "started timestamp, due timestamp, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
         for pdf in rows:
-            for started, due in zip(pdf["started"], pdf["due"], strict=True):
-                if pd.isna(started):
-                    continue
-                self.waiting.updateValue((started.to_pydatetime(),), (None if pd.isna(due) else due.to_pydatetime(),))
-                self.handle.registerTimer(max(_ms(started), timerValues.getCurrentWatermarkInMs() + 1))
+            known = pdf[pdf["started"].notna()].drop_duplicates("started")
+            new += [(started.to_pydatetime(), None if pd.isna(due) else due.to_pydatetime()) for started, due in zip(known["started"], known["due"], strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(started for started, _ in new), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # all that the watermark has passed at once: a timer set for a moment behind it would wait for another batch
         now, found = timerValues.getCurrentWatermarkInMs(), []
-        settled = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if _ms(k[0]) <= now)
-        for started, due in settled:
-            found += self._judged(_ms(started))
-            self.waiting.removeKey((started,))
-            if not self.last.exists() or self.last.get()[0] < started:
-                self.last.update((started, due, False))
-                if due is not None:
-                    self.handle.registerTimer(max(_ms(due) + self.grace_ms + 1, now + 1))
-        found += self._judged(now)
+        waiting = dict(self.waiting.get()) if self.waiting.exists() else {}
+        settled = sorted(started for started in waiting if _ms(started) <= now)
+        last = self.last.get() if self.last.exists() else None
+        for started in settled:
+            last = self._judged(last, _ms(started), found)
+            if last is None or last[0] < started:
+                last = (started, waiting.pop(started), False)
+            else:
+                del waiting[started]
+        last = self._judged(last, now, found)
+        if settled:
+            self.waiting.clear()
+            if waiting:
+                self.waiting.appendList(list(waiting.items()))
+                self._wake(min(waiting), now)
+            if last[1] is not None and not last[2]:
+                self.handle.registerTimer(max(_ms(last[1]) + self.grace_ms + 1, now + 1))
+        if last is not None and (settled or found):
+            self.last.update(last)
         if found:
             yield pd.DataFrame({"job": [key[0]] * len(found), "last_started": pd.to_datetime([f[0] for f in found]), "next_slot": pd.to_datetime([f[1] for f in found])})
 
-    def _judged(self, now: int) -> list[tuple]:
-        if not self.last.exists():
-            return []
-        started, due, told = self.last.get()
-        if told or due is None or _ms(due) + self.grace_ms >= now:
-            return []
-        self.last.update((started, due, True))
-        return [(started, due)]
+    def _wake(self, started: datetime, now: int) -> None:
+        """One timer for the earliest run that waits; it sets the next."""
+        self.handle.registerTimer(max(_ms(started), now + 1))
+
+    def _judged(self, last: tuple | None, now: int, found: list[tuple]) -> tuple | None:
+        if last is None or last[2] or last[1] is None or _ms(last[1]) + self.grace_ms >= now:
+            return last
+        found.append((last[0], last[1]))
+        return (last[0], last[1], True)
 
     def close(self) -> None:
         """State is the store's."""
