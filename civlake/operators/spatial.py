@@ -131,6 +131,11 @@ def locate(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0
     return _held(points, edges, key, cell).filter(F.size("__in") > 0).select(key, F.col("__in")[0]["place"].alias("place"))
 
 
+def locate_counted(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0.02) -> DataFrame:
+    """key, place as locate() gives it, and holders, how many polygons of the edge table hold the point."""
+    return _held(points, edges, key, cell).filter(F.size("__in") > 0).select(key, F.col("__in")[0]["place"].alias("place"), F.size("__in").cast("long").alias("holders"))
+
+
 def locate_all(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0.02) -> DataFrame:
     """key, place, rank and shape of points in each polygon of the edge table that holds them."""
     return _held(points, edges, key, cell).select(key, F.explode("__in").alias("s")).select(key, "s.place", "s.rank", "s.shape")

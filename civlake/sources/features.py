@@ -14,12 +14,15 @@ _RINGS = "array<array<array<double>>>"
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """file, seq (from 0, in the file's order), properties, parts, west, south, east and north of the features at a path.
 
-    A file is one collection, read by one task, or with `lines` a feature a line, read in pieces; seq then only tells rows apart. parts are polygons of rings of (x, y), the first ring of each its outline and
-    the others holes; a feature without a polygon has none and no box. The box is the one given, else that of all corners.
+    A file is one collection, read by one task, or with `lines` a feature a line, read in pieces; a collection whose first and last line hold no feature, as collection_lines() gives it, may be read so too, and seq then
+    has gaps. parts are polygons of rings of (x, y), the first ring of each its outline and the others holes; a feature without a polygon has none and no box. The box is the one given, else that of all corners.
     """
     if lines:
-        rows = spark.read.schema("properties map<string,string>, bbox array<double>, geometry struct<type:string,coordinates:string>").json(path)
-        found = rows.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("seq"), F.struct("properties", "bbox", "geometry").alias("f"))
+        rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.trim("value", F.lit(", \t\r")).alias("line"))
+        # a piece has fewer lines than bytes, so that its first byte and a line's place in it order the whole file
+        first = rows.groupBy("file", "block").agg(F.min("row").alias("first"))
+        features = rows.filter(F.startswith("line", F.lit("{")) & ~F.col("line").rlike(r'^\{\s*"type"\s*:\s*"FeatureCollection"'))
+        found = features.join(F.broadcast(first), ["file", "block"]).select("file", (F.col("block") + F.col("row") - F.col("first")).alias("seq"), F.from_json("line", _FEATURE).alias("f"))
     else:
         rows = spark.read.schema(f"features array<{_FEATURE}>").option("multiLine", True).json(path)
         found = rows.select(F.col("_metadata.file_name").alias("file"), F.posexplode("features").alias("seq", "f"))
