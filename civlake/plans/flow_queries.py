@@ -140,10 +140,10 @@ def refreshed_days(spark, d):
     counts = lambda s: refresh.daily_counts(s, "ts", "event_type", "40 days", "2024-01-03", "2024-02-01")
     publish_once = refresh.once_each(f"{days}/taken", ["event_id"])
     for drop in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1, F.col("event_id") % 2 == 1):
-        typed.filter(drop).coalesce(1).write.mode("append").parquet(path)
-        rows = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        typed.filter(drop).write.mode("append").parquet(path)
+        rows = spark.readStream.schema(typed.schema).parquet(path)
         refresh.admitted(rows, publish_once, f"{days}/new", f"{marks}/admitted").awaitTermination()
-        new = spark.readStream.schema(typed.schema).parquet(f"{days}/new")
+        new = spark.readStream.schema(typed.schema).option("recursiveFileLookup", True).parquet(f"{days}/new")
         refresh.upserted(counts(new), f"{days}/counts", ["day", "event_type"], f"{marks}/counts").awaitTermination()
         refresh.replay_last(spark, f"{marks}/counts")
         refresh.upserted(counts(new), f"{days}/counts", ["day", "event_type"], f"{marks}/counts").awaitTermination()

@@ -105,12 +105,12 @@ def once_each(path: str, keys: list[str]):
 
 
 def admitted(rows: DataFrame, fresh, path: str, checkpoint: str) -> StreamingQuery:
-    """Pass on what is new of a stream, as files at `path`; a file that lands a second time adds nothing."""
+    """Pass on what is new of a stream, as a folder a batch at `path` (to be read with recursiveFileLookup); a file that lands a second time adds nothing."""
 
     def step(batch: DataFrame, number: int) -> None:
-        # a batch's files go in before its listing: a batch run again writes files of the same names
-        fresh(batch, number).coalesce(1).write.mode("overwrite").parquet(f"{path}.batches/{number}")
-        _moved(batch.sparkSession, f"{path}.batches/{number}", f"{path}/part-{number:09d}.parquet")
+        # a batch's files go in at once: a batch run again after that changes nothing
+        fresh(batch, number).write.mode("overwrite").parquet(f"{path}.batches/{number}")
+        _moved(batch.sparkSession, f"{path}.batches/{number}", f"{path}/batch-{number:09d}")
 
     _folder(rows.sparkSession, path)
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -126,13 +126,13 @@ def _folder(spark, path: str) -> None:
     store.mkdirs(at)
 
 
-def _moved(spark, folder: str, file: str) -> None:
-    """The one part of a written folder under its own name, once; a file that is there already stays."""
-    store, at = _fs(spark, file)
-    if not store.exists(at):
-        part = next(f.getPath() for f in store.listStatus(_fs(spark, folder)[1]) if f.getPath().getName().startswith("part-"))
-        store.rename(part, at)
-    store.delete(_fs(spark, folder)[1], True)
+def _moved(spark, folder: str, to: str) -> None:
+    """A written folder under its own name, once; one that is there already stays."""
+    store, at = _fs(spark, to)
+    if store.exists(at):
+        store.delete(_fs(spark, folder)[1], True)
+    else:
+        store.rename(_fs(spark, folder)[1], at)
 
 
 def upserted(counts: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
