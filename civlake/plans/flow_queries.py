@@ -99,7 +99,7 @@ def published_roll(spark, d):
     path = f"{new_path(spark, 'published')}/roll.json"
     told = [{"label": e.label, "countyWide": e.scope is None, "scope": [] if e.scope is not None else None, "provisional": e.provisional} for e in ELECTIONS]
     publish.publish_roll(asked, path, {"county": "Test", "runDate": AS_OF[:10]}, told, ["id", "precinct", "lastName"])
-    got = rolls.expanded_roll(rolls.read_roll_document(spark, path))
+    got = rolls.expanded_roll(*rolls.read_roll_lines(spark, path))
     return got.select("id", "precinct", "last", "party", "mask", "elig", "ballot_status", F.coalesce("ballot.category", F.lit("")).alias("category"), F.coalesce("ballot.returned", F.lit("")).alias("returned"), "jurisdiction")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StringType, StructType
 
-from civlake.sources.rolls import csv_lines, roll_tuples
+from civlake.sources.rolls import csv_lines, placed_tuples
 from civlake.sources.stores import read_bytes, store_of, write_bytes
 
 #: Bytes that pass through at once when parts are joined.
@@ -145,31 +145,30 @@ def sparing_lines(df: DataFrame) -> tuple[str, DataFrame]:
 
 
 def roll_document_lines(voters: DataFrame, head: dict, elections: list[dict], fields: list[str]) -> DataFrame:
-    """Lines, in order, of one JSON document: the head's members, elections, names of the tuples' fields, the dictionaries and the tuples of voters (as roll_tuples() takes them).
+    """Lines, in order, of one JSON document: the head's members, elections, names of the tuples' fields, the dictionaries and the tuples of voters (as roll_tuples() takes them), a voter a line.
 
     Dictionaries and tuples stay tables; of each list the first entry has no comma before it.
     """
     spark = voters.sparkSession
-    tuples, dictionaries = roll_tuples(voters)
+    tuples, dictionaries = placed_tuples(voters)
     names = {"precinct": "precincts", "city": "cities", "zip": "zips", "party": "parties", "status": "statuses", "jurisdiction": "jurisdictions", "category": "ballotCategories"}
     start = json.dumps(head | {"elections": elections, "fields": fields}, ensure_ascii=False)[:-1]
-    nothing = [F.lit("").alias("last"), F.lit("").alias("first"), F.lit(0).cast("long").alias("id")]
     fixed = [(0, start)]
     sections = []
     for k, (name, words) in enumerate(dictionaries.items()):
         fixed += [(3 * k + 1, f', "{names[name]}": ['), (3 * k + 3, "]")]
         entry = F.concat(F.when(F.col("index") > 0, ",").otherwise(""), F.regexp_replace(F.to_json(F.array("value")), r"^\[|\]$", ""))
-        sections.append(words.select(F.lit(3 * k + 2).alias("section"), F.lit("").alias("last"), F.lit("").alias("first"), F.col("index").cast("long").alias("id"), entry.alias("line")))
+        sections.append(words.select(F.lit(3 * k + 2).alias("section"), F.col("index").cast("long").alias("place"), entry.alias("line")))
     end = 3 * len(dictionaries) + 1
     fixed += [(end, ', "voters": ['), (end + 2, "]}")]
-    least = tuples.agg(F.min(F.struct("last", "first", "id")).alias("__least"))
-    body = tuples.crossJoin(F.broadcast(least)).withColumn("line", F.concat(F.when(F.struct("last", "first", "id") == F.col("__least"), "").otherwise(","), F.col("line")))
-    whole = spark.createDataFrame(fixed, "section int, line string").select("section", *nothing, "line")
-    for s in [*sections, body.select(F.lit(end + 1).alias("section"), "last", "first", F.col("id").cast("long").alias("id"), "line")]:
+    least = tuples.agg(F.min("place").alias("__least"))
+    body = tuples.crossJoin(F.broadcast(least)).withColumn("line", F.concat(F.when(F.col("place") == F.col("__least"), "").otherwise(","), F.col("line")))
+    whole = spark.createDataFrame(fixed, "section int, line string").select("section", F.lit(0).cast("long").alias("place"), "line")
+    for s in [*sections, body.select(F.lit(end + 1).alias("section"), "place", "line")]:
         whole = whole.unionByName(s)
-    return whole.orderBy("section", "last", "first", "id").select("line")
+    return whole.orderBy("section", "place").select("line")
 
 
 def publish_roll(voters: DataFrame, path: str, head: dict, elections: list[dict], fields: list[str]) -> None:
-    """A roll as one JSON document at `path`, in the place of an older one once it is whole; read_roll_document() reads it."""
+    """A roll as one JSON document at `path`, in the place of an older one once it is whole; read_roll_lines() reads it in pieces, read_roll_document() as one row."""
     publish(roll_document_lines(voters, head, elections, fields), path)

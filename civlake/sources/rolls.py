@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civlake.functions.columns import count_if
 from civlake.operators.elections import Election
-from civlake.operators.ranking import first_seen_index
 from civlake.operators.reports import baseline_of
+from civlake.scratch import stashed
 
 ROLL_DOCUMENT = (
     "county string, elections array<struct<label:string,countyWide:boolean,scope:array<string>,provisional:boolean>>, precincts array<string>, cities array<string>, zips array<string>, parties array<string>, jurisdictions array<string>, "
@@ -24,13 +24,25 @@ def read_roll_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROLL_DOCUMENT).option("multiLine", True).json(path)
 
 
-def expanded_roll(doc: DataFrame) -> DataFrame:
+def read_roll_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A document with a voter a line, as publish_roll() writes it, read in pieces: one row of the document without its voters, and a row (v) a voter.
+
+    The other lines, as many as the dictionaries have entries, are the document of nobody; a piece's first byte and a line's number in it order them.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    tuples = F.col("value").rlike(r"^,?\[")
+    rest = lines.filter(~tuples).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "row", "value"))), lambda x: x["value"]), "").alias("text"))
+    doc = stashed(rest.select(F.from_json("text", ROLL_DOCUMENT).alias("d")).select("d.*"), "document")
+    return doc, lines.filter(tuples).select(F.from_json(F.ltrim("value", F.lit(",")), "array<string>").alias("v"))
+
+
+def expanded_roll(doc: DataFrame, voters: DataFrame | None = None) -> DataFrame:
     """A row a voter of a roll document: dictionary numbers as values, "CITY, ST" parted, mask and elig, ballot and its status, a search text.
 
-    Dictionaries become small tables of position and value that voters join, so that no row carries them. Elections not county-wide are open to the precincts of their
+    The voters are a table of tuples (v), or else the document's own list, which is one row and so one task's work. Dictionaries become small tables of position and value that voters join, so that no row carries them. Elections not county-wide are open to the precincts of their
     scope; one in progress only to who voted in it; who voted was eligible. A ballot is a list of category, issued, returned, from file, issue.
     """
-    v = doc.select(F.explode("voters").alias("v"))
+    v = doc.select(F.explode("voters").alias("v")) if voters is None else voters
     number = lambda k: F.try_element_at("v", F.lit(k + 1)).try_cast("int")
     text = lambda k: F.coalesce(F.try_element_at("v", F.lit(k + 1)), F.lit(""))
     ballot = F.from_json(F.try_element_at("v", F.lit(15)), "array<string>")
@@ -59,19 +71,31 @@ def expanded_roll(doc: DataFrame) -> DataFrame:
     return out.withColumn("ballot_status", status).withColumn("search", search)
 
 
-def roll_tuples(voters: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(last, first, id, line) of voters (id, precinct, last, first, street, city, zip, registered, party, mask, lat, lon, jurisdiction, status, category, issued, returned), each a JSON tuple, sorted by name and id over all partitions; and each dictionary as (value, index), in the order of first appearance."""
-    base = voters.withColumn("__at", F.struct("last", "first", "id"))
+def placed_tuples(voters: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """roll_tuples() in no order, with the place of each row in it (a number that grows, with gaps).
+
+    Voters are computed and sorted once and written; dictionaries are found in one pass over them, and are written too, so that Spark knows how small they are when voters join them.
+    """
+    base = stashed(voters.orderBy("last", "first", "id").withColumn("place", F.monotonically_increasing_id()), "voters")
+    names = ("precinct", "city", "zip", "party", "jurisdiction", "status", "category")
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names]))
+    firsts = base.select("place", kinds.alias("w")).select("place", "w.*").filter("value is not null").groupBy("name", "value").agg(F.min("place").alias("first"))
+    words = stashed(firsts.select("name", "value", (F.row_number().over(Window.partitionBy("name").orderBy("first")) - 1).alias("index")), "dictionaries")
     placed, dictionaries = base, {}
-    for name in ("precinct", "city", "zip", "party", "jurisdiction", "status", "category"):
-        words = first_seen_index(base.filter(F.col(name).isNotNull()), name, "__at")
-        dictionaries[name] = words
-        placed = placed.join(words.select(F.col("value").alias(name), F.col("index").alias(f"k_{name}")), name, "left")
+    for name in names:
+        dictionaries[name] = words.filter(F.col("name") == name).select("value", "index")
+        placed = placed.join(dictionaries[name].select(F.col("value").alias(name), F.col("index").alias(f"k_{name}")), name, "left")
     text = lambda c: F.regexp_replace(F.to_json(F.array(F.coalesce(F.col(c), F.lit("")))), r"^\[|\]$", "")
     plain = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
     ballot = F.when(F.col("category").isNull(), "0").otherwise(F.concat(F.lit("["), F.concat_ws(",", plain("k_category", "0"), text("issued"), text("returned"), F.lit("0")), F.lit("]")))
     cells = [plain("id", "null"), plain("k_precinct", "-1"), text("last"), text("first"), text("street"), plain("k_city", "-1"), plain("k_zip", "-1"), text("registered"), plain("k_party", "-1"), plain("mask", "0"), plain("lat", "null"), plain("lon", "null"), F.lit("0"), plain("k_jurisdiction", "-1"), ballot, plain("k_status", "-1")]
-    return placed.orderBy("last", "first", "id").select("last", "first", "id", F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("line")), dictionaries
+    return placed.select("place", "last", "first", "id", F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]")).alias("line")), dictionaries
+
+
+def roll_tuples(voters: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(last, first, id, line) of voters (id, precinct, last, first, street, city, zip, registered, party, mask, lat, lon, jurisdiction, status, category, issued, returned), each a JSON tuple, sorted by name and id over all partitions; and each dictionary as (value, index), in the order of first appearance."""
+    tuples, dictionaries = placed_tuples(voters)
+    return tuples.orderBy("place").drop("place"), dictionaries
 
 
 def roll_file(name: Column) -> Column:
