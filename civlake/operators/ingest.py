@@ -69,15 +69,16 @@ def resolve_precinct(rows: DataFrame, prior: DataFrame, neighbours: DataFrame) -
     return met.select("id", F.coalesce(single, before, near, F.array_min("candidates")).alias("precinct"), reason.alias("reason"))
 
 
-def match_persons(ballots: DataFrame, roll: DataFrame) -> DataFrame:
-    """ballots (seq, last, first, house and, if known, zip) with voter_id and how.
+def match_persons(ballots: DataFrame, roll: DataFrame, kept: tuple[str, ...] = (), told: tuple[str, ...] = ()) -> DataFrame:
+    """ballots (seq, last, first, house and, if known, zip) with voter_id and how, the columns `kept` of the ballot and `told` of the voter on the roll, null without one.
 
     A name and house that one voter has, else a name that one voter has, of several the one in the ballot's ZIP, else a new number. The roll has id, last, first, house
     and, if ballots have a ZIP, zip. Voters are counted by key before they are joined.
     """
 
     def unique(keys: list[str], name: str) -> DataFrame:
-        return roll.groupBy(*keys).agg(F.min("id").alias(name), F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
+        voter = [F.min("id").alias(name), *[F.min(c).alias(f"{name}_{c}") for c in told]]
+        return roll.groupBy(*keys).agg(*voter, F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
 
     met = ballots.join(unique(["last", "first", "house"], "a"), ["last", "first", "house"], "left").join(unique(["last", "first"], "b"), ["last", "first"], "left")
     found = ["a", "b"]
@@ -85,7 +86,8 @@ def match_persons(ballots: DataFrame, roll: DataFrame) -> DataFrame:
         met = met.join(unique(["last", "first", "zip"], "c"), ["last", "first", "zip"], "left")
         found.append("c")
     how = F.when(F.col("a").isNotNull(), "house").when(F.coalesce(*found).isNotNull(), "name").otherwise("new")
-    return met.select("seq", F.coalesce(*found, F.col("seq") + SYNTHETIC_FROM).alias("voter_id"), how.alias("how"))
+    own = [F.coalesce(*[F.when(F.col(x).isNotNull(), F.struct(F.col(f"{x}_{c}").alias("v"))) for x in found])["v"].alias(c) for c in told]
+    return met.select("seq", F.coalesce(*found, F.col("seq") + SYNTHETIC_FROM).alias("voter_id"), how.alias("how"), *kept, *own)
 
 
 def ballot_summary(voters: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civlake.functions.columns import clean, iso_date
+from civlake.functions.columns import ANY_DAY, all_of, clean, iso_date, with_iso_dates
 from civlake.functions.display import APP_TYPES, CHALLENGES, PARTIES, VAULT_TYPES, coded
 from civlake.functions.names import city_state_zip, split_name
 from civlake.operators.ingest import match_persons
 from civlake.operators.ranking import best_row, majority
+from civlake.scratch import stashed
 
 #: The interchange layout's columns (fixed values).
 PLATFORM = "LASTN FIRSTN MIDDLEN SUFFIXN PARTYAFFIL CNTYIDNUM AVADDR1 AVADDR2 CITY STATE ZIPCODE COUNTRY AVSENTDATE AVRECVDATE AVRECVMETH AVAPPTYPE PRECNAME AVAPPDATE AVBALSTAT SOURCE".split()
@@ -286,32 +287,47 @@ def platform_ballots(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return best_row(r, ["id"], [F.col("seq")]).drop("seq")
 
 
+def _header(cells: DataFrame, label: str) -> DataFrame:
+    """One row: seq and labels of the first row of a sheet that has the label in a cell, as h, which is null if none has. Only rows that hold the label's words are tidied."""
+    tidy = F.transform("cells", lambda c: F.lower(clean(c)))
+    text = F.lower(F.array_join("cells", "\n"))
+    likely = all_of([F.contains(text, F.lit(w)) for w in label.lower().split()])
+    return cells.filter(likely).filter(F.array_contains(tidy, label.lower())).agg(F.min_by(F.struct("seq", tidy.alias("labels")), "seq").alias("h"))
+
+
 def sheet_rows(cells: DataFrame, label: str) -> DataFrame:
     """Rows of a sheet (seq, cells) behind the first that has the label in a cell, as a map from that row's labels to cells; no header, no rows."""
-    tidy = F.transform("cells", lambda c: F.lower(clean(c)))
-    header = cells.filter(F.array_contains(tidy, label.lower())).agg(F.min_by(F.struct("seq", tidy.alias("labels")), "seq").alias("h"))
-    behind = cells.crossJoin(F.broadcast(header)).filter(F.col("h").isNotNull() & (F.col("seq") > F.col("h.seq")))
+    behind = cells.crossJoin(F.broadcast(_header(cells, label))).filter(F.col("h").isNotNull() & (F.col("seq") > F.col("h.seq")))
     # of repeated labels the first counts
     named = F.filter(F.arrays_zip(F.col("h.labels").alias("k"), F.col("cells").alias("v"), F.sequence(F.lit(1), F.size("h.labels")).alias("i")), lambda e: F.array_position("h.labels", e["k"]) == e["i"])
     return behind.select("seq", F.map_from_entries(F.transform(named, lambda e: F.struct(e["k"], clean(e["v"])))).alias("row"))
 
 
+def sheet_columns(cells: DataFrame, label: str, names: dict[str, str]) -> DataFrame:
+    """sheet_rows() with the cells of the labels in `names` as columns of the names given there, empty where there is none; a label's place is looked up once, in the header."""
+    places = _header(cells, label).filter("h is not null").select(F.col("h.seq").alias("__head"), *[(F.array_position("h.labels", k) - 1).cast("int").alias(f"__{c}") for k, c in names.items()])
+    behind = cells.crossJoin(F.broadcast(places)).filter("seq > __head")
+    return behind.select("seq", *[clean(F.get("cells", F.col(f"__{c}"))).alias(c) for c in names.values()])
+
+
 def sheet_ballots(cells: DataFrame, roll: DataFrame) -> DataFrame:
     """voter_id, how, precinct, category, issued, returned of a tracking sheet whose header stands anywhere, matched to the roll (id, last, first, house, zip, precinct) by name.
 
-    A precinct's code that the roll's voters do not tell is named as most of the matched ballots of that code.
+    A precinct's code that the roll's voters do not tell is named as most of the matched ballots of that code. What is matched is written once, and so are the codes' names.
     """
-    rows = sheet_rows(cells, "Category/Org").select("seq", *[clean(F.try_element_at("row", F.lit(k))).alias(c) for k, c in {"category/org": "cat", "issued": "issued", "av id": "av", "returned": "returned", "name": "name", "mailed to": "street", "city": "city", "precinct": "code"}.items()])
-    rows = rows.filter(F.col("av").rlike(r"^\d+$"))
-    letters = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]", " "), " +", " "))
+    named = {"category/org": "cat", "issued": "issued", "av id": "av", "returned": "returned", "name": "name", "mailed to": "street", "city": "city", "precinct": "code"}
+    rows = sheet_columns(cells, "Category/Org", named).filter(F.col("av").rlike(r"^\d+$") & F.col("av").try_cast("long").isNotNull())
+    letters = lambda c: F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
     parts = F.split("name", ",", 2)
-    asked = rows.select(F.col("av").try_cast("long").alias("seq"), letters(parts[0]).alias("last"), F.split(letters(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))), " ")[0].alias("first"), F.regexp_extract(letters(F.col("street")), r"^(\d+)\b", 1).alias("house"), city_state_zip(F.col("city"))["zip"].alias("zip"))
-    found = match_persons(asked, roll).select(F.col("seq").alias("av_id"), "voter_id", "how")
     c = F.upper("cat")
     category = F.when(c == "NH", "N").when(c == "OS-CI", "CO").when(c == "OS-MI", "MO").when(c == "MIL", "M").when(c == "EVOFF", "EV").otherwise("A")
-    met = rows.join(found, rows.av.try_cast("long") == found.av_id).join(roll.select(F.col("id").alias("voter_id"), F.col("precinct").alias("held")), "voter_id", "left")
-    common = majority(met.filter("held is not null"), "code", "held", "seq").select("code", F.col("held").alias("usual"))
-    return met.join(common, "code", "left").select("voter_id", "how", F.coalesce("held", "usual", "code").alias("precinct"), category.alias("category"), iso_date(mdy(F.col("issued"))).alias("issued"), iso_date(mdy(F.col("returned"))).alias("returned"))
+    asked = rows.select(
+        F.col("av").try_cast("long").alias("seq"), letters(parts[0]).alias("last"), F.split(letters(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))), " ")[0].alias("first"), F.regexp_extract(letters(F.col("street")), r"^(\d+)\b", 1).alias("house"), city_state_zip(F.col("city"))["zip"].alias("zip"),
+        F.col("seq").alias("at"), "code", category.alias("category"), "issued", "returned",
+    )
+    met = stashed(match_persons(with_iso_dates(asked, ("issued", "returned"), ANY_DAY), roll, ("at", "code", "category", "issued", "returned"), ("precinct",)), "matched")
+    common = stashed(majority(met.filter("precinct is not null"), "code", "precinct", "at").select("code", F.col("precinct").alias("usual")), "usual")
+    return met.join(common, "code", "left").select("voter_id", "how", F.coalesce("precinct", "usual", "code").alias("precinct"), "category", "issued", "returned")
 
 
 def spreadsheet_roll(cells: DataFrame) -> DataFrame:
