@@ -259,13 +259,17 @@ def positional_ballots(rows: DataFrame) -> DataFrame:
     """
     cell = lambda k: clean(F.try_element_at("cells", F.lit(k + 1)))
     careful = cell(9) != ""
-    r = rows.filter(cell(19).rlike(r"^\d+$")).select(
-        cell(19).try_cast("long").alias("id"), F.when(careful, cell(9)).otherwise(cell(10)).alias("name"), F.when(careful, cell(10)).otherwise("").alias("care_of"), cell(11).alias("mail_to"), cell(12).alias("csz"), cell(14).alias("precinct"),
-        F.coalesce(F.nullif(cell(15), F.lit("")), F.lit("--")).alias("party"), F.upper(cell(16)).alias("category"), iso_date(cell(17)).alias("issued"), iso_date(cell(18)).alias("returned"), "seq",
+    # only what the choice is made by is read from every row
+    r = rows.filter(cell(19).rlike(r"^\d+$")).select(cell(19).try_cast("long").alias("id"), cell(17).alias("issued"), cell(18).alias("returned"), "seq", F.slice("cells", 10, 8).alias("cells"))
+    r = with_iso_dates(r, ("issued", "returned"))
+    back = F.when(F.col("returned") != "", F.col("returned"))
+    best = r.groupBy("id").agg(F.max_by(F.struct("issued", "cells"), F.struct("issued", "seq")).alias("b"), F.max_by(back, F.when(back.isNotNull(), F.col("seq"))).alias("returned"))
+    cell = lambda k: clean(F.try_element_at("b.cells", F.lit(k - 8)))
+    careful = cell(9) != ""
+    return best.select(
+        "id", F.when(careful, cell(9)).otherwise(cell(10)).alias("name"), F.when(careful, cell(10)).otherwise("").alias("care_of"), cell(11).alias("mail_to"), cell(12).alias("csz"), cell(14).alias("precinct"),
+        F.coalesce(F.nullif(cell(15), F.lit("")), F.lit("--")).alias("party"), F.upper(cell(16)).alias("category"), F.col("b.issued").alias("issued"), F.coalesce("returned", F.lit("")).alias("returned"),
     )
-    back = r.filter("returned != ''").groupBy("id").agg(F.max_by("returned", "seq").alias("__back"))
-    best = best_row(r, ["id"], [F.col("issued"), F.col("seq")])
-    return best.join(back, "id", "left").withColumn("returned", F.coalesce("__back", F.lit(""))).drop("__back", "seq")
 
 
 def platform_ballots(rows: DataFrame, seq: str = "seq") -> DataFrame:
