@@ -52,29 +52,34 @@ def spanning(pairs: Iterable[tuple[list[int], list[int]]]) -> Iterable[pa.Record
     yield forest.links()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, spanned: bool = False) -> DataFrame:
     """(node, root) of every node of links (a long, b long); root is the smallest node that can be reached.
 
     Each round gives every node's larger neighbours, then its smaller ones, the smallest of them as
     neighbour, until nothing changes. The minima are partial aggregates, so that a node with many
     links gathers in no task, and joins with such nodes broadcast them. Null nodes and loops are left out; no links, no rows.
+    spanned says that each partition's links come from spanning(), so that a second worker beside the one that made them is not needed.
     """
     spark = links.sparkSession
     ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b and a is not null and b is not null")
-    now, path = stashed(ends.mapInArrow(lambda batches: spanning((x.column(0).to_pylist(), x.column(1).to_pylist()) for x in batches), "a long, b long").distinct(), "links")
+    if not spanned:
+        ends = ends.mapInArrow(lambda batches: spanning((x.column(0).to_pylist(), x.column(1).to_pylist()) for x in batches), "a long, b long")
+    now, path = stashed(ends.distinct(), "links")
     before, older = None, []
     while True:
         remove(spark, older)
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # the links from both ends, a sum that tells whether they are as before, and the most links of a node
+        degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"))
+        state = tuple(degrees.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
         if state[0] == 0:
             return spark.createDataFrame([], "node long, root long")
         if state == before:
             break
-        before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        before, (total, _, largest) = state, state
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("links"))
-        large = join_hot(both, least, ["a"], "links", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_hot(both, least, ["a"], "links", total, largest).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("links"))
         older = [path]
-        now, path = stashed(join_hot(large, small, ["a"], "links", 2 * state[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "links")
+        now, path = stashed(join_hot(large, small, ["a"], "links", total, largest).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct(), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

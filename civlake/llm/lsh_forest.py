@@ -236,10 +236,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
     rows = stash(_signed(own, k, others), "signed")
-    total = rows.count()
     classes = stash(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
     ordered = _forest(classes, "rep").repartitionByRange("tree", "path", "rep").sortWithinPartitions("tree", "path", "rep")
-    families = stash(components(ordered.mapInArrow(_neighbours, "a long, b long")), "families")
+    families = stash(components(ordered.mapInArrow(_neighbours, "a long, b long"), spanned=True), "families")
     members = families.join(classes.select(F.col("rep").alias("node"), "n", "sig"), "node").select("root", F.col("node").alias("rep"), "n", "sig")
     blocks, large = _blocks(members)
     blocks = stash(blocks, "blocks")
@@ -274,7 +273,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     found = found.groupBy("rep").agg(F.min("root").alias("root"))
     named = stash(classes.join(found, "rep", "left").select("s1", "s2", "copies", F.coalesce("root", "rep").alias("root")), "named")
     has_class = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    met = join_hot(rows.filter(has_class), named, ["s1", "s2"], "copies", total).drop("copies")
+    total, largest = named.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    met = join_hot(rows.filter(has_class), named, ["s1", "s2"], "copies", total, largest).drop("copies")
     final = met.unionByName(rows.filter(~has_class).withColumn("root", F.lit(None).cast("long"))).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return final.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *others)
 

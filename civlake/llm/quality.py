@@ -172,12 +172,16 @@ def fit(docs: DataFrame, trusted: DataFrame, positives: int = POSITIVES, unlabel
                 yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
 
     got = sorted((p, bytes(x)) for p, x in rows.mapInArrow(run, "positive boolean, x binary").collect())
-    x = np.array([np.frombuffer(x, np.float32) for _, x in got], np.float64).reshape(-1, N_FEATURES)
     positive = np.array([p for p, _ in got], bool)
+    x = np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    del got
     if not positive.any() or positive.all():
         return Scorer(np.zeros(N_FEATURES), np.ones(N_FEATURES), [np.zeros((N_FEATURES, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(1)], 0.5)
     mean, scale = x.mean(0), x.std(0) + 1e-2
-    x = np.clip((x - mean) / scale, -6, 6)
+    # in place: the sample is the largest thing that the driver's Python holds
+    x -= mean
+    x /= scale
+    np.clip(x, -6, 6, out=x)
     # half of either sample fits the ranking from which the prior is read off the other half
     half = np.zeros(len(x), bool)
     for own in (np.flatnonzero(positive), np.flatnonzero(~positive)):

@@ -138,3 +138,46 @@ def test_two_runs_at_once_keep_their_own_tables(spark, tmp_path):
     assert [sorted(map(str, r.collect())) for r in runs] == [alone, alone]
     left = {f.split("-")[0] for f in set(os.listdir(folder)) - before}
     assert left == {"sentence_pieces"} and len(set(os.listdir(folder)) - before) == 2
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from civlake.llm import common
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    setting = spark.conf.get(key)
+    rows = spark.range(5000, numPartitions=3).selectExpr("id % 7 AS k").groupBy("k").count()
+    kept = common.stash(rows, "counts")
+    assert not files() - before and spark.conf.get(key) == setting
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_links_take_one_worker_a_task_and_no_broadcast_where_none_is_hot(spark, corpus, monkeypatch):
+    from civlake.llm import graph
+
+    plans, write = [], graph.stashed
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "stashed", noted)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["near_dedup"](spark, spark.read.parquet(f"{corpus}/documents.parquet"), corpus)
+    # a plan is cut into stages at its exchanges
+    assert plans and max(stage.count("MapInArrow") for p in plans for stage in p.split("Exchange")) == 1
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_hot_keys_apart_from_the_others_or_all_by_a_shuffle(spark, monkeypatch):
+    from civlake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    rows = spark.createDataFrame([(0 if n < 300 else n, n) for n in range(400)], "k long, id long")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    want = sorted(map(tuple, rows.join(keyed, "k").collect()))
+    for largest, broadcast in ((300, True), (100, False)):
+        joined = common.join_hot(rows, keyed, ["k"], "n", 400, largest)
+        assert sorted(map(tuple, joined.select("k", "id", "n").collect())) == want
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == broadcast
