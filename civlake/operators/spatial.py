@@ -97,14 +97,16 @@ def edge_table(spark: SparkSession, polygons: list[Polygon]) -> DataFrame:
     return spark.createDataFrame(rows, "place string, rank int, shape long, x1 double, y1 double, x2 double, y2 double")
 
 
-def cell_cover(edges: DataFrame, cell: float) -> DataFrame:
+def cell_cover(edges: DataFrame, cell: float, each: bool = True) -> DataFrame:
     """cx, cy, shapes: the square cells that polygons of the edge table cover, with the shapes of each, by rank and name.
 
-    A shape lists, for a cell that its border passes, the edges that do and whether the cell's middle is inside (odd = 1); a cell wholly inside has no edges. Edges are cut by rows of
-    cells, so that no step sees more than a polygon's edges in one row.
+    A shape lists, for a cell that its border passes, the edges that do (level ones cross no row and are left out), where they cross the column of the cell's middle (ups), and whether the middle is inside (odd = 1); a
+    cell wholly inside has no edges. What a point asks of an edge is worked out here, once a cell. alike is how many equal polygons a shape stands for, as the edge table tells in a column of that name, else one. Without
+    `each`, those that hold a cell wholly are one shape there, the first of them, with the sum of alike. Edges are cut by rows of cells, so that no step sees more than a polygon's edges in one row.
     """
     at = lambda v: F.floor(v / cell)
-    shape = ["place", "rank", "shape"]
+    edges = edges if "alike" in edges.columns else edges.withColumn("alike", F.lit(1).cast("long"))
+    shape = ["place", "rank", "shape", "alike"]
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = edges.withColumn("cy", F.explode(F.sequence(at(low), at(high))))
     on = lambda y: F.try_divide((F.col("x2") - F.col("x1")) * (y - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
@@ -113,56 +115,65 @@ def cell_cover(edges: DataFrame, cell: float) -> DataFrame:
     to_x = F.when(flat, F.col("x2")).otherwise(on(F.least(high, (F.col("cy") + 1) * cell)))
     # a hair wider, so that rounding leaves no cell out
     touched = F.sequence(at(F.least(from_x, to_x) - cell * 1e-6), at(F.greatest(from_x, to_x) + cell * 1e-6))
-    ends = F.struct("x1", "y1", "x2", "y2")
-    border = rows.withColumn("cx", F.explode(touched)).groupBy(*shape, "cx", "cy").agg(F.collect_list(ends).alias("edges"))
+    dx, dy, middle_x = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), (F.col("cx") + MIDDLE_X) * cell
+    # nulls are not collected
+    edge = F.when(~flat, F.struct(low.alias("low"), high.alias("high"), "x1", "y1", dx.alias("dx"), dy.alias("dy")))
+    up = F.when((F.col("x1") > middle_x) != (F.col("x2") > middle_x), F.try_divide(dy * (middle_x - F.col("x1")), dx) + F.col("y1"))
+    border = rows.withColumn("cx", F.explode(touched)).groupBy(*shape, "cx", "cy").agg(F.collect_list(edge).alias("edges"), F.collect_list(up).alias("ups"))
     middle = (F.col("cy") + MIDDLE_Y) * cell
     across = rows.filter((F.col("y1") > middle) != (F.col("y2") > middle)).groupBy(*shape, "cy").agg(F.sort_array(F.collect_list(on(middle))).alias("xs"))
     odd = lambda x: F.size(F.filter("xs", lambda xi: xi > x)) % 2
     met = border.join(across, [*shape, "cy"], "left").withColumn("odd", F.coalesce(odd((F.col("cx") + MIDDLE_X) * cell), F.lit(0)))
     spans = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda k: F.struct(F.ceil(F.get("xs", k) / cell - MIDDLE_X).alias("a"), F.floor(F.get("xs", k + 1) / cell - MIDDLE_X).alias("b")))
     within = across.select(*shape, "cy", F.explode(F.filter(spans, lambda s: s["a"] <= s["b"])).alias("s")).select(*shape, "cy", F.explode(F.sequence("s.a", "s.b")).alias("cx"))
-    inner = within.join(border.select("shape", "place", "rank", "cx", "cy"), [*shape, "cx", "cy"], "left_anti").select(*shape, "cx", "cy", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("edges"), F.lit(1).alias("odd"))
-    every = met.select(*shape, "cx", "cy", "edges", "odd").unionByName(inner)
-    return every.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct("rank", "place", "shape", "odd", "edges"))).alias("shapes"))
+    inner = within.join(border.select(*shape, "cx", "cy"), [*shape, "cx", "cy"], "left_anti")
+    if not each:
+        inner = inner.groupBy("cx", "cy").agg(F.min(F.struct("rank", "place", "shape")).alias("s"), F.sum("alike").alias("alike")).select("cx", "cy", "s.*", "alike")
+    none = {c: F.array().cast(border.schema[c].dataType).alias(c) for c in ("edges", "ups")}
+    every = met.select(*shape, "cx", "cy", *none, "odd").unionByName(inner.select(*shape, "cx", "cy", *none.values(), F.lit(1).alias("odd")))
+    return every.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct("rank", "place", "shape", "odd", "edges", "ups", "alike"))).alias("shapes"))
 
 
 def locate(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0.02) -> DataFrame:
     """key and place of points (key, lon, lat) in a polygon of the edge table, of several that with the least rank, then name."""
-    return _held(points, edges, key, cell).filter(F.size("__in") > 0).select(key, F.col("__in")[0]["place"].alias("place"))
+    return _held(points, edges, key, cell, False, _if_any(lambda found: F.struct(found[0]["place"].alias("place"))))
 
 
 def locate_counted(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0.02) -> DataFrame:
-    """key, place as locate() gives it, and holders, how many polygons of the edge table hold the point."""
-    return _held(points, edges, key, cell).filter(F.size("__in") > 0).select(key, F.col("__in")[0]["place"].alias("place"), F.size("__in").cast("long").alias("holders"))
+    """key, place as locate() gives it, and holders, how many polygons of the edge table hold the point; each of those that are alike counts."""
+    holders = lambda found: F.aggregate(found, F.lit(0).cast("long"), lambda n, s: n + s["alike"])
+    return _held(points, edges, key, cell, False, _if_any(lambda found: F.struct(found[0]["place"].alias("place"), holders(found).alias("holders"))))
 
 
 def locate_all(points: DataFrame, edges: DataFrame, key: str = "id", cell: float = 0.02) -> DataFrame:
-    """key, place, rank and shape of points in each polygon of the edge table that holds them."""
-    return _held(points, edges, key, cell).select(key, F.explode("__in").alias("s")).select(key, "s.place", "s.rank", "s.shape")
+    """key, place, rank and shape of points in each polygon of the edge table that holds them; of those that the table has as one, alike, in that one."""
+    return _held(points, edges, key, cell, True, lambda found: F.transform(found, lambda s: F.struct(s["place"].alias("place"), s["rank"].alias("rank"), s["shape"].alias("shape"))))
 
 
-def _held(points: DataFrame, edges: DataFrame, key: str, cell: float) -> DataFrame:
-    """key and __in, the shapes that hold a point, by rank and name.
+def _if_any(answer):
+    """answer(found) as the only row of found that is not empty. What is found is worked out once, which a filter on it would do again."""
+    return lambda found: F.transform(F.filter(F.array(found), lambda f: F.size(f) > 0), answer)
+
+
+def _held(points: DataFrame, edges: DataFrame, key: str, cell: float, each: bool, answers) -> DataFrame:
+    """key and the rows answers(found), where found are the shapes that hold a point, by rank and name; those around its whole cell are one shape, unless each is asked for.
 
     A point meets the one row of its cell. Cells inside a polygon answer without a look at an edge; in a border's cell the edges there are crossed from the cell's middle to the point, along
     the row and up or down the column, and each crossing turns inside to outside. Points are joined once and not grouped again; where a crowded cell makes the join uneven, Spark splits its
     points (adaptive skew join), as each needs the same row.
     """
     lon, lat = F.col("lon"), F.col("lat")
-    cover = cell_cover(edges, cell)
+    cover = cell_cover(edges, cell, each)
     placed = points.select(key, "lon", "lat").withColumn("cx", F.floor(lon / cell)).withColumn("cy", F.floor(lat / cell))
     mx, my = (F.col("cx") + MIDDLE_X) * cell, (F.col("cy") + MIDDLE_Y) * cell
 
     def crossed(e: Column) -> Column:
-        # a level edge is not crossed along its row, an upright one not along its column
-        at_lat = F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-        at_mx = F.try_divide((e["y2"] - e["y1"]) * (mx - e["x1"]), e["x2"] - e["x1"]) + e["y1"]
-        along = ((e["y1"] > lat) != (e["y2"] > lat)) & ((lon < at_lat) != (mx < at_lat))
-        up = ((e["x1"] > mx) != (e["x2"] > mx)) & ((lat < at_mx) != (my < at_mx))
-        return along != up
-
-    holds = lambda s: (s["odd"] + F.size(F.filter(s["edges"], crossed))) % 2 == 1
-    return placed.join(cover, ["cx", "cy"]).select(key, F.filter("shapes", holds).alias("__in"))
+        at_lat = e["dx"] * (lat - e["y1"]) / e["dy"] + e["x1"]
+        return (e["low"] <= lat) & (e["high"] > lat) & ((lon < at_lat) != (mx < at_lat))
+
+    passed = lambda s: F.size(F.filter(s["edges"], crossed)) + F.size(F.filter(s["ups"], lambda y: (lat < y) != (my < y)))
+    holds = lambda s: (s["odd"] + passed(s)) % 2 == 1
+    return placed.join(cover, ["cx", "cy"]).select(key, F.inline(answers(F.filter("shapes", holds))))
 
 
 def clipped(shapes: DataFrame, vertices: DataFrame, edges: DataFrame | None, share: float = 0.1, least: int = 8, box: tuple[float, float, float, float] | None = None, cell: float = 0.02) -> DataFrame:

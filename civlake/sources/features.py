@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civlake.operators.spatial import in_box
+from civlake.scratch import stashed
 
 _FEATURE = "struct<properties:map<string,string>,bbox:array<double>,geometry:struct<type:string,coordinates:string>>"
 _RINGS = "array<array<array<double>>>"
@@ -41,11 +42,19 @@ def _axis(corners, axis: str):
     return F.transform(corners, lambda p: p[axis])
 
 
-def edges_of(features: DataFrame, place, rank) -> DataFrame:
-    """place, rank, shape, x1, y1, x2, y2: a row an edge of every ring of features, as locate() takes them; rings close by themselves."""
-    rings = features.select(place.alias("place"), rank.alias("rank"), F.xxhash64("file", "seq").alias("shape"), F.explode(F.flatten("parts")).alias("ring")).filter(F.size("ring") >= 3)
+def edges_of(features: DataFrame, place, rank, once: bool = False) -> DataFrame:
+    """place, rank, shape, x1, y1, x2, y2: a row an edge of every ring of features, as locate() takes them; rings close by themselves.
+
+    With `once`, features whose parts are equal are one: the one of the least rank, then place, with `alike`, how many they are, as locate_counted() counts them. These are written, so that the file is read once.
+    """
+    shapes, told = features.select(place.alias("place"), rank.alias("rank"), F.xxhash64("file", "seq").alias("shape"), "parts"), ["place", "rank", "shape"]
+    if once:
+        # the hash in front decides nearly all comparisons of parts when they are sorted
+        equal = shapes.groupBy(F.xxhash64("parts").alias("hash"), "parts").agg(F.min(F.struct("rank", "place", "shape")).alias("s"), F.count(F.lit(1)).alias("alike"))
+        shapes, told = stashed(equal.select("s.*", "alike", "parts"), "outlines"), [*told, "alike"]
+    rings = shapes.select(*told, F.explode(F.flatten("parts")).alias("ring")).filter(F.size("ring") >= 3)
     pairs = F.arrays_zip(F.col("ring").alias("p"), F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)).alias("q"))
-    return rings.select("place", "rank", "shape", F.explode(pairs).alias("e")).select("place", "rank", "shape", F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")).filter("x1 != x2 or y1 != y2")
+    return rings.select(*told, F.explode(pairs).alias("e")).select(*told, F.col("e.p.x").alias("x1"), F.col("e.p.y").alias("y1"), F.col("e.q.x").alias("x2"), F.col("e.q.y").alias("y2")).filter("x1 != x2 or y1 != y2")
 
 
 def corners_of(features: DataFrame, name) -> DataFrame:
@@ -58,14 +67,17 @@ def in_viewport(features: DataFrame, box: tuple[float, float, float, float], mos
     return features.filter(in_box(box)).orderBy("file", "seq").limit(most)
 
 
-def collection_lines(features: DataFrame) -> DataFrame:
-    """Lines of one collection of features (seq, properties, parts) in the order of seq."""
+def collection_lines(features: DataFrame, ordered: bool = False) -> DataFrame:
+    """Lines of one collection of features (seq, properties, parts) in the order of seq; `ordered` if they stand so already, by partitions and in them, which saves the sort of their outlines."""
     pair = lambda p: F.array(p["x"], p["y"])
     rings = F.transform("parts", lambda part: F.transform(part, lambda ring: F.transform(ring, pair)))
     single = F.size("parts") == 1
     kind, shape = F.when(single, "Polygon").otherwise("MultiPolygon"), F.when(single, F.to_json(rings[0])).otherwise(F.to_json(rings))
     body = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json("properties"), F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), shape, F.lit("}}"))
-    first = features.agg(F.min("seq").alias("__first"))
-    inner = features.crossJoin(F.broadcast(first)).select(F.lit(1).alias("k"), "seq", F.concat(F.when(F.col("seq") > F.col("__first"), ",").otherwise(""), body).alias("line"))
+    # as a literal: under a join Spark would drop the order of the features
+    first = features.agg(F.min("seq")).first()[0]
+    inner = features.select(F.lit(1).alias("k"), "seq", F.concat(F.when(F.col("seq") > F.lit(first), ",").otherwise(""), body).alias("line"))
     ends = features.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "k int, line string").select("k", F.lit(0).cast("long").alias("seq"), "line")
+    if ordered:
+        return ends.filter("k = 0").unionByName(inner).unionByName(ends.filter("k = 2")).select("line")
     return ends.unionByName(inner).orderBy("k", "seq").select("line")
